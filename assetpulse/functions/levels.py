@@ -124,12 +124,16 @@ def recommendations(level: Column) -> Column:
              .otherwise(arr("low")))
 
 
+# A slope counts as declining below this (guards against rounding noise on flat series).
+DECLINE_EPS = 1e-9
+
+
 def risk_factors(days_since_last: Column, purchases_90d: Column, trend: Column) -> Column:
     """Array of the risk factors that apply (null entries removed)."""
     return F.array_compact(F.array(
         F.when(days_since_last >= 30, F.lit(RISK_FACTORS[0])),
         F.when(purchases_90d < 5, F.lit(RISK_FACTORS[1])),
-        F.when(trend < 0, F.lit(RISK_FACTORS[2])),
+        F.when(trend < -DECLINE_EPS, F.lit(RISK_FACTORS[2])),
     ))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels
-from .ranks import exact_percentiles, quantile_bin
+from .ranks import exact_percentiles_many, quantile_bin
 
 KEY = "customer_id"
 WINDOW_SIZES = (7, 14, 30)
@@ -57,6 +57,11 @@ def with_latest(per_customer: DataFrame, latest: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------
 # D9 churn indicators
+def churn_probability(days: Column) -> Column:
+    """Logistic curve centred on 45 days with scale 15."""
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-(days - F.lit(45)) / F.lit(15.0)))
+
+
 def churn_columns(days: Column) -> list[Column]:
     d = days
     return [
@@ -67,17 +72,14 @@ def churn_columns(days: Column) -> list[Column]:
         ((d >= 15) & (d < 30)).cast("int").alias("at_risk"),
         F.greatest(F.least(F.lit(1.0) - d / F.lit(365.0), F.lit(1.0)), F.lit(0.0))
          .alias("health_score"),
-        (F.lit(1.0) / (F.lit(1.0) + F.exp(-(d - F.lit(45)) / F.lit(15.0))))
-         .alias("churn_probability"),
+        churn_probability(d).alias("churn_probability"),
     ]
 
 
 def churn_indicators(tx: DataFrame) -> DataFrame:
     tx = clean(tx)
     last = tx.groupBy(KEY).agg(F.max("invoice_date").alias("last_purchase"))
-    # max over the per-customer maxima: the shuffle of ``last`` is reused.
-    ref = last.agg(F.max("last_purchase").alias("ref_date"))
-    j = with_latest(last, ref)
+    j = with_latest(last, latest_date(tx, "ref_date"))
     return j.select(KEY, *churn_columns(days_between(F.col("last_purchase"), F.col("ref_date"))))
 
 
@@ -89,7 +91,7 @@ def rfm_base(tx: DataFrame) -> DataFrame:
     g = tx.groupBy(KEY).agg(F.max("invoice_date").alias("_last"),
                             F.count(F.lit(1)).alias("frequency"),
                             F.sum("amount").alias("monetary"))
-    ref = g.agg((F.max("_last") + F.expr("INTERVAL 1 DAY")).alias("_ref"))
+    ref = tx.agg((F.max("invoice_date") + F.expr("INTERVAL 1 DAY")).alias("_ref"))
     return (with_latest(g, ref)
             .select(KEY, days_between(F.col("_last"), F.col("_ref")).alias("recency"),
                     "frequency", "monetary"))
@@ -97,11 +99,9 @@ def rfm_base(tx: DataFrame) -> DataFrame:
 
 def quintile_edges(base: DataFrame, accuracy: int = 10000) -> dict[str, list[float]]:
     """Exact quintile edges of recency, frequency and monetary (money rounded to cents)."""
-    return {
-        "recency": exact_percentiles(base, "recency", QUINTILES, accuracy),
-        "frequency": exact_percentiles(base, "frequency", QUINTILES, accuracy),
-        "monetary": exact_percentiles(base, F.round("monetary", 2), QUINTILES, accuracy),
-    }
+    return exact_percentiles_many(
+        base, {"recency": "recency", "frequency": "frequency",
+               "monetary": F.round("monetary", 2)}, QUINTILES, accuracy)
 
 
 def _edge_cols(edges: list[float]) -> list[Column]:
@@ -262,8 +262,7 @@ def clv_features(tx: DataFrame) -> DataFrame:
                             F.min("invoice_date").alias("first_purchase_date"),
                             F.max("invoice_date").alias("last_purchase_date"),
                             F.count("invoice_date").alias("total_days_active"))
-    ref = g.agg(F.max("last_purchase_date").alias("_ref"))
-    return _clv_finish(with_latest(g, ref))
+    return _clv_finish(with_latest(g, latest_date(tx, "_ref")))
 
 
 def _clv_finish(j: DataFrame, extra: list | None = None) -> DataFrame:

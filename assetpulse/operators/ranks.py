@@ -2,17 +2,22 @@
 
 ``percentile`` in Spark is exact but its final merge holds every distinct
 value of the column in one task, which does not scale to billions of keys.
-Here the exact k-th smallest value is found in two bounded passes:
-
-1. ``percentile_approx`` (a mergeable sketch, partial aggregation on every
-   executor) gives, for each wanted rank, a value interval ``[lo, hi]`` that
-   provably contains it (sketch rank error is at most ``n / accuracy``).
-2. One pass counts the rows below each ``lo`` and groups the rows inside the
-   intervals by value.  The intervals hold about ``4 n / accuracy`` rows each,
-   so the per-interval running count is a bounded window.
-
-If an interval misses (it cannot for a correct sketch, but we check), it is
-widened and the pass repeated.  The result equals Spark's ``percentile``.
+Here the exact k-th smallest values are found in bounded passes shared by
+all requested columns:
+
+1. one aggregate: ``count`` and ``percentile_approx`` (a mergeable sketch,
+   partial aggregation on every executor) per column.  For each wanted rank
+   this gives a value interval ``[lo, hi]`` that holds it (the sketch's rank
+   error is at most ``n / accuracy``);
+2. one aggregate: rows below each ``lo``;
+3. one pass: rows inside the intervals grouped by (column, value) -- about
+   ``4 n / accuracy`` rows per interval -- and a running count per interval
+   (a bounded window).
+
+An interval that misses (we check; the sketch bound says it cannot) is
+replaced by the whole range and the passes repeated, so the result is exact
+either way.
+Results equal Spark's exact ``percentile`` (linear interpolation).
 """
 
 from __future__ import annotations
@@ -25,106 +30,138 @@ from pyspark.sql import functions as F
 DEFAULT_ACCURACY = 10000
 
 
-def _kth_pass(x: DataFrame, targets: list[tuple[int, float | None, float | None]]):
-    """For (k, lo, hi) targets return {k: value or None if the interval missed}."""
-    below = []
-    for i, (_, lo, _) in enumerate(targets):
-        cond = F.lit(False) if lo is None else (F.col("x") < F.lit(lo))
-        below.append(F.sum(F.when(cond, 1).otherwise(0)).alias(f"b{i}"))
-    below_row = x.agg(*below).first()
-    in_any = F.lit(False)
-    tgt_rows = []
-    for i, (k, lo, hi) in enumerate(targets):
-        c = F.lit(True)
-        if lo is not None:
-            c = c & (F.col("x") >= F.lit(lo))
-        if hi is not None:
-            c = c & (F.col("x") <= F.lit(hi))
-        in_any = in_any | c
-        tgt_rows.append((i, k, lo, hi, int(below_row[f"b{i}"] or 0)))
-    spark = x.sparkSession
-    tg = spark.createDataFrame(tgt_rows, "t int, k long, lo double, hi double, below long")
-    cand = x.where(in_any).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
-    # Each candidate value joins the (few) targets whose interval holds it.
-    j = cand.join(F.broadcast(tg),
-                  (F.col("lo").isNull() | (F.col("x") >= F.col("lo")))
-                  & (F.col("hi").isNull() | (F.col("x") <= F.col("hi"))))
-    w = Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    j = j.withColumn("reach", F.col("below") + F.sum("n").over(w))
-    hits = (j.where(F.col("reach") >= F.col("k") + 1)
-             .groupBy("t").agg(F.min("x").alias("v")).collect())
-    found = {r["t"]: r["v"] for r in hits}
+def _as_col(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def _find(x: DataFrame, targets: list[tuple[int, int, float | None, float | None]]):
+    """targets: (column index, rank k, lo, hi).  Returns {(i, k): value|None}.
+
+    One pass: each row contributes, per target, either to that target's
+    "below lo" bucket (x = NULL) or to its (target, value) candidate group;
+    partial aggregation collapses both before the shuffle.  A running count
+    over each target's candidates (NULL bucket first) finds the rank.
+    """
+    keys = []
+    for t, (i, _, lo, hi) in enumerate(targets):
+        c = F.col(f"c{i}")
+        below = F.lit(False) if lo is None else (c < F.lit(lo))
+        inside = F.lit(True) if hi is None else (c <= F.lit(hi))
+        keys.append(F.when(below, F.struct(F.lit(t).alias("t"), F.lit(None).cast("double").alias("x")))
+                     .when(c.isNotNull() & inside, F.struct(F.lit(t).alias("t"), c.alias("x"))))
+    exploded = x.select(F.explode(F.array_compact(F.array(*keys))).alias("e"))
+    cand = exploded.groupBy(F.col("e.t").alias("t"), F.col("e.x").alias("x")) \
+                   .agg(F.count(F.lit(1)).alias("n"))
+    k_of = F.create_map(*[F.lit(v) for t, (_, k, _, _) in enumerate(targets) for v in (t, k)])
+    w = Window.partitionBy("t").orderBy(F.col("x").asc_nulls_first()) \
+              .rowsBetween(Window.unboundedPreceding, 0)
+    j = cand.select("t", "x", "n", F.sum("n").over(w).alias("reach"), k_of[F.col("t")].alias("k"))
+    res = (j.groupBy("t")
+            .agg(F.min(F.when(F.col("x").isNotNull() & (F.col("reach") >= F.col("k") + 1),
+                              F.col("x"))).alias("v"),
+                 F.coalesce(F.max(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("below"))
+            .collect())
+    hits = {r["t"]: (r["v"], r["below"]) for r in res}
     out = {}
-    for i, (k, lo, hi, below_n) in enumerate((t[1], t[2], t[3], t[4]) for t in tgt_rows):
-        v = found.get(i)
-        # below_n > k means lo was already past the wanted rank.
-        out[k] = None if (v is None or below_n > k) else v
+    for t, (i, k, _, _) in enumerate(targets):
+        v, below_n = hits.get(t, (None, 0))
+        out[(i, k)] = None if (v is None or below_n > k) else v
     return out
 
 
-def kth_smallest(df: DataFrame, col: str | Column, ks: list[int], n: int | None = None,
-                 accuracy: int = DEFAULT_ACCURACY) -> dict[int, float]:
-    """Exact k-th smallest non-null values (0-based ranks) of a numeric column."""
-    x = df.select((F.col(col) if isinstance(col, str) else col).cast("double").alias("x")) \
-          .where(F.col("x").isNotNull())
-    if n is None:
-        n = x.count()
-    ks = sorted(set(int(k) for k in ks))
-    if n == 0 or not ks:
-        return {}
-    if any(k < 0 or k >= n for k in ks):
-        raise ValueError("rank out of range")
+def exact_percentiles_many(df: DataFrame, cols: dict[str, str | Column], probs: list[float],
+                           accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
+    """Exact ``percentile(col, probs)`` for several numeric columns in shared passes."""
+    names = list(cols)
+    x = df.select(*[_as_col(cols[nm]).cast("double").alias(f"c{i}") for i, nm in enumerate(names)])
     margin = 3.0 / accuracy
-    todo = list(ks)
-    result: dict[int, float] = {}
-    for attempt in range(3):
-        probs = []
-        for k in todo:
-            p = k / n
-            probs += [max(0.0, p - margin), min(1.0, p + margin)]
-        approx = x.agg(F.percentile_approx("x", probs, accuracy).alias("q")).first()["q"]
-        targets = []
-        for i, k in enumerate(todo):
-            lo, hi = approx[2 * i], approx[2 * i + 1]
-            if probs[2 * i] <= 0.0:
+    qprobs = []
+    for p in probs:
+        qprobs += [max(0.0, p - margin), min(1.0, p + margin)]
+    aggs = []
+    for i in range(len(names)):
+        aggs += [F.count(f"c{i}").alias(f"n{i}"),
+                 F.percentile_approx(f"c{i}", qprobs, accuracy).alias(f"q{i}")]
+    first = x.agg(*aggs).first()
+    need = {}      # (i, k) -> (lo, hi)
+    pos = {}
+    for i in range(len(names)):
+        n = first[f"n{i}"]
+        approx = first[f"q{i}"]
+        pos[i] = [p * (n - 1) for p in probs] if n else []
+        for j, p in enumerate(pos[i]):
+            lo, hi = approx[2 * j], approx[2 * j + 1]
+            if qprobs[2 * j] <= 0.0:
                 lo = None
-            if probs[2 * i + 1] >= 1.0:
+            if qprobs[2 * j + 1] >= 1.0:
                 hi = None
-            if attempt == 2:
-                lo, hi = None, None      # last resort: whole range, still exact
-            targets.append((k, lo, hi))
-        got = _kth_pass(x, targets)
-        todo = [k for k in todo if got.get(k) is None]
-        result.update({k: v for k, v in got.items() if v is not None})
+            for k in {int(math.floor(p)), int(math.ceil(p))}:
+                prev = need.get((i, k))
+                if prev is None:
+                    need[(i, k)] = (lo, hi)
+                else:   # union of intervals for the same rank
+                    need[(i, k)] = (None if lo is None or prev[0] is None else min(lo, prev[0]),
+                                    None if hi is None or prev[1] is None else max(hi, prev[1]))
+    found: dict[tuple[int, int], float] = {}
+    for attempt in range(2):
+        todo = [(i, k, lo, hi) for (i, k), (lo, hi) in need.items() if (i, k) not in found]
         if not todo:
             break
-        margin *= 10
-    return result
+        got = _find(x, todo)
+        found.update({key: v for key, v in got.items() if v is not None})
+        # a miss (never expected) falls back to the whole range: still exact
+        for key, v in got.items():
+            if v is None:
+                need[key] = (None, None)
+    out = {}
+    for i, nm in enumerate(names):
+        res = []
+        for p in pos[i]:
+            lo_i, hi_i = int(math.floor(p)), int(math.ceil(p))
+            lo_v, hi_v = found[(i, lo_i)], found[(i, hi_i)]
+            if hi_i == lo_i or hi_v == lo_v:
+                res.append(lo_v)
+            else:
+                res.append((hi_i - p) * lo_v + (p - lo_i) * hi_v)
+        out[nm] = res if res else [None for _ in probs]
+    return out
 
 
 def exact_percentiles(df: DataFrame, col: str | Column, probs: list[float],
                       accuracy: int = DEFAULT_ACCURACY) -> list[float | None]:
-    """Same values as Spark's ``percentile(col, probs)`` (linear interpolation)."""
-    x = df.select((F.col(col) if isinstance(col, str) else col).cast("double").alias("x")) \
-          .where(F.col("x").isNotNull())
-    n = x.count()
-    if n == 0:
-        return [None for _ in probs]
-    pos = [p * (n - 1) for p in probs]
-    ks = set()
-    for p in pos:
-        ks.add(int(math.floor(p)))
-        ks.add(int(math.ceil(p)))
-    vals = kth_smallest(x, "x", sorted(ks), n=n, accuracy=accuracy)
-    out = []
-    for p in pos:
-        lo_i, hi_i = int(math.floor(p)), int(math.ceil(p))
-        lo_v, hi_v = vals[lo_i], vals[hi_i]
-        if hi_i == lo_i or hi_v == lo_v:
-            out.append(lo_v)
-        else:
-            out.append((hi_i - p) * lo_v + (p - lo_i) * hi_v)
-    return out
+    return exact_percentiles_many(df, {"v": col}, probs, accuracy)["v"]
+
+
+def kth_smallest(df: DataFrame, col: str | Column, ks: list[int],
+                 accuracy: int = DEFAULT_ACCURACY) -> dict[int, float]:
+    """Exact k-th smallest non-null values (0-based ranks)."""
+    x = df.select(_as_col(col).cast("double").alias("c0")).where(F.col("c0").isNotNull())
+    row = x.agg(F.count("c0").alias("n")).first()
+    n = row["n"]
+    ks = sorted(set(int(k) for k in ks))
+    if any(k < 0 or k >= n for k in ks):
+        raise ValueError("rank out of range")
+    if not ks:
+        return {}
+    margin = 3.0 / accuracy
+    probs = []
+    for k in ks:
+        probs += [max(0.0, k / n - margin), min(1.0, k / n + margin)]
+    approx = x.agg(F.percentile_approx("c0", probs, accuracy).alias("q")).first()["q"]
+    need = {k: (None if probs[2 * j] <= 0 else approx[2 * j],
+                None if probs[2 * j + 1] >= 1 else approx[2 * j + 1]) for j, k in enumerate(ks)}
+    found: dict[int, float] = {}
+    for _ in range(2):
+        todo = [(0, k) + need[k]
+                for k in ks if k not in found]
+        if not todo:
+            break
+        got = _find(x, todo)
+        found.update({k: v for (_, k), v in got.items() if v is not None})
+        for (_, k), v in got.items():
+            if v is None:
+                need[k] = (None, None)
+    return found
 
 
 def quantile_bin(x: Column, edges: list[Column | float]) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import levels
 from ..operators import customer as cf
+from ..operators import monitor, scoring, sensor
 from ..sources import tables
 from . import features
 
@@ -111,3 +112,138 @@ def q_trend(spark, sf_dir):
 @query("all_features")
 def q_all_features(spark, sf_dir):
     return finish(features.all_features(_tx(spark, sf_dir)), 13)
+
+
+# ---------------------------------------------------------------------------
+# Equipment side
+def _readings(spark, sf_dir):
+    return tables.readings(spark, sf_dir)
+
+
+def _sensor(spark, sf_dir):
+    return sensor.sensor_features(_readings(spark, sf_dir))
+
+
+@query("sensor_features")
+def q_sensor_features(spark, sf_dir):
+    s = _sensor(spark, sf_dir)
+    return finish(s.select("udi", "equipment_id", "type", "type_encoded", "power",
+                           "temperature_ratio", "tool_wear_rate", "machine_failure"))
+
+
+@query("failure_type_counts")
+def q_failure_type_counts(spark, sf_dir):
+    return sensor.failure_type_counts(_readings(spark, sf_dir))
+
+
+@query("class_distribution")
+def q_class_distribution(spark, sf_dir):
+    return finish(sensor.class_distribution(_readings(spark, sf_dir)))
+
+
+@query("class_histogram")
+def q_class_histogram(spark, sf_dir):
+    return finish(sensor.class_histogram(sensor.derive(_readings(spark, sf_dir))))
+
+
+@query("label_correlation")
+def q_label_correlation(spark, sf_dir):
+    return finish(sensor.label_correlation(_sensor(spark, sf_dir)))
+
+
+@query("correlation_matrix")
+def q_correlation_matrix(spark, sf_dir):
+    return finish(sensor.correlation_matrix(_sensor(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Scoring rules and monitoring (fixed score columns, no model needed)
+def _customer_scored(spark, sf_dir):
+    return scoring.score_customers(scoring.customer_scores(_tx(spark, sf_dir)))
+
+
+def _alerts(spark, sf_dir):
+    return scoring.score_equipment(scoring.equipment_scores(_readings(spark, sf_dir)))
+
+
+@query("risk_levels")
+def q_risk_levels(spark, sf_dir):
+    return finish(_customer_scored(spark, sf_dir))
+
+
+@query("alert_levels")
+def q_alert_levels(spark, sf_dir):
+    return finish(_alerts(spark, sf_dir))
+
+
+@query("alert_rules")
+def q_alert_rules(spark, sf_dir):
+    c = scoring.customer_scores(_tx(spark, sf_dir)).select(
+        F.lit("churn").alias("type"), F.col("customer_id").alias("entity_id"), "probability")
+    e = scoring.equipment_scores(_readings(spark, sf_dir)).select(
+        F.lit("failure").alias("type"), F.col("udi").alias("entity_id"),
+        F.col("failure_probability").alias("probability"))
+    rules = scoring.alert_rules(spark, scoring.DEFAULT_RULES)
+    return finish(scoring.apply_alert_rules(c.unionByName(e), rules))
+
+
+@query("risk_factors")
+def q_risk_factors(spark, sf_dir):
+    r = scoring.risk_factors(_tx(spark, sf_dir))
+    return finish(r.withColumn("factors", F.array_join("factors", "|"))
+                   .withColumn("recommendations", F.array_join("recommendations", "|")), 13)
+
+
+@query("batch_summary")
+def q_batch_summary(spark, sf_dir):
+    return finish(monitor.batch_summary(_alerts(spark, sf_dir)))
+
+
+@query("kpis")
+def q_kpis(spark, sf_dir):
+    return finish(monitor.kpis(_customer_scored(spark, sf_dir)))
+
+
+@query("risk_counts")
+def q_risk_counts(spark, sf_dir):
+    return monitor.risk_counts(_customer_scored(spark, sf_dir))
+
+
+@query("health_histogram")
+def q_health_histogram(spark, sf_dir):
+    return monitor.health_histogram(_customer_scored(spark, sf_dir))
+
+
+@query("health_status_share")
+def q_health_status_share(spark, sf_dir):
+    return finish(monitor.health_status_share(_customer_scored(spark, sf_dir)))
+
+
+@query("weekly_risk_share")
+def q_weekly_risk_share(spark, sf_dir):
+    return finish(monitor.weekly_risk_share(_customer_scored(spark, sf_dir)))
+
+
+@query("monthly_churn")
+def q_monthly_churn(spark, sf_dir):
+    m = monitor.monthly_churn(_tx(spark, sf_dir))
+    return m.withColumn("month_end", F.col("month_end").cast("timestamp_ntz"))
+
+
+DRIFT_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min"]
+
+
+@query("feature_drift")
+def q_feature_drift(spark, sf_dir):
+    r = _readings(spark, sf_dir).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
+    mid = r.agg(((F.min("_us") + F.max("_us")) / 2.0).alias("m")).first()["m"]
+    base = r.where(F.col("_us") < F.lit(mid))
+    cur = r.where(F.col("_us") >= F.lit(mid))
+    return finish(monitor.feature_drift(base, cur, DRIFT_FEATURES))
+
+
+@query("latest_predictions")
+def q_latest_predictions(spark, sf_dir):
+    a = _alerts(spark, sf_dir).select("udi", "equipment_id", "scored_at",
+                                      "failure_probability", "alert_level")
+    return finish(monitor.latest(a, [F.desc("scored_at"), F.desc("udi")], 10))

@@ -30,15 +30,26 @@ from ..operators import customer as cf
 KEY = cf.KEY
 
 
-def customer_table(tx: DataFrame) -> DataFrame:
-    """Per-customer aggregates shared by every feature family (not yet scored)."""
+def customer_aggregates(tx: DataFrame) -> DataFrame:
+    """Per-customer aggregates of the three families, joined on customer_id."""
     tx = cf.clean(tx)
     g = tx.groupBy(KEY).agg(*cf._behavior_aggs())
     spans = cf.day_spans(tx)
     last_n = cf.last_n_features(tx)
-    j = g.join(spans, KEY, "left").join(last_n, KEY, "left")
-    ref = g.agg(F.max("_last").alias("_ref"))
-    j = cf.with_latest(j, ref)
+    return g.join(spans, KEY, "left").join(last_n, KEY, "left")
+
+
+def customer_table(agg: DataFrame, latest=None) -> DataFrame:
+    """Feature columns (RFM scores excluded) from :func:`customer_aggregates`.
+
+    The latest date is a max over the per-customer maxima, so the row-level
+    data is not scanned again for it: either a value already computed
+    (``latest``) or a one-row aggregate joined by broadcast.
+    """
+    if latest is None:
+        j = cf.with_latest(agg, agg.agg(F.max("_last").alias("_ref")))
+    else:
+        j = agg.withColumn("_ref", F.lit(latest))
     d = cf.days_between(F.col("_last"), F.col("_ref"))
     n = F.col("total_transactions")
     life = cf.days_between(F.col("_first"), F.col("_last"))
@@ -69,7 +80,11 @@ def customer_table(tx: DataFrame) -> DataFrame:
 
 
 def all_features(tx: DataFrame, accuracy: int = 10000) -> DataFrame:
-    base = customer_table(tx).persist(StorageLevel.MEMORY_AND_DISK)
+    """customer_id + 58 features.  The per-customer aggregate is persisted: it
+    feeds the latest-date row, the quintile edges and the final projection."""
+    agg = customer_aggregates(tx).persist(StorageLevel.MEMORY_AND_DISK)
+    latest = agg.agg(F.max("_last")).first()[0]
+    base = customer_table(agg, latest)
     edges = cf.quintile_edges(base, accuracy)
     scored = cf.rfm_scores_from(base, edges)
     return scored.select(KEY, *cf.FEATURE_COLUMNS).na.fill(0)

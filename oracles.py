@@ -171,3 +171,170 @@ ORACLES: dict[str, str] = {
   LEFT JOIN clv USING (customer_id) LEFT JOIN churn USING (customer_id)""",
                       ["monetary"] + BEHAVIOR_D + LAST_N_D + TREND_D + CLV_D + CHURN_D, 13),
 }
+
+
+# --------------------------------------------------------------------------
+# Equipment side
+SENSOR = """te AS (SELECT type, CAST(dense_rank() OVER (ORDER BY type) - 1 AS INT) AS type_encoded
+  FROM (SELECT DISTINCT type FROM readings)),
+sf AS (SELECT r.*, rpm * torque_nm AS power, process_temp_k / air_temp_k AS temperature_ratio,
+  tool_wear_min / (air_temp_k - 273.15) AS tool_wear_rate, te.type_encoded
+  FROM readings r JOIN te USING (type))"""
+S_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min", "power",
+              "temperature_ratio", "tool_wear_rate", "type_encoded"]
+HIST = ["tool_wear_min", "rpm", "torque_nm", "power"]
+
+
+def _hist_sql() -> str:
+    long = " UNION ALL ".join(
+        f"SELECT machine_failure, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM sf" for c in HIST)
+    return (_w(READINGS, SENSOR, f"lg AS ({long})",
+               "rg AS (SELECT machine_failure, feature, min(x) AS lo, max(x) AS hi FROM lg GROUP BY 1, 2)",
+               """bn AS (SELECT lg.machine_failure, lg.feature, lo, hi, CASE WHEN hi = lo THEN 15
+  ELSE CAST(least(floor((x - lo) * 30.0::DOUBLE / (hi - lo)), 29) AS INT) END AS bin
+  FROM lg JOIN rg ON lg.machine_failure = rg.machine_failure AND lg.feature = rg.feature)""")
+            + "SELECT machine_failure, feature, bin, count(*) AS n, any_value(lo) AS lo, "
+              "any_value(hi) AS hi FROM bn GROUP BY 1, 2, 3")
+
+
+def _corr_sql() -> str:
+    cols = S_FEATURES + ["machine_failure"]
+    aggs, parts = [], []
+    for i, a in enumerate(cols):
+        for b in cols[i:]:
+            n = f"c_{len(aggs)}"
+            aggs.append(f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS {n}")
+            parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {n} AS correlation FROM ca")
+            if a != b:
+                parts.append(f"SELECT '{b}' AS feature_a, '{a}' AS feature_b, {n} AS correlation FROM ca")
+    return (_w(READINGS, SENSOR, f"ca AS (SELECT {', '.join(aggs)} FROM sf)")
+            + " UNION ALL ".join(parts))
+
+
+def _label_corr_sql() -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(machine_failure AS DOUBLE)) "
+        f"AS correlation FROM sf" for c in S_FEATURES)
+    return (_w(READINGS, SENSOR, f"lc AS ({parts})")
+            + "SELECT feature, correlation, abs(correlation) AS abs_correlation, "
+              "CAST(row_number() OVER (ORDER BY abs(correlation) DESC, feature) AS INT) AS rank FROM lc")
+
+
+ORACLES.update({
+    "sensor_features": R(_w(READINGS, SENSOR) + """SELECT udi, equipment_id, type, type_encoded, power,
+  temperature_ratio, tool_wear_rate, machine_failure FROM sf""",
+                         ["power", "temperature_ratio", "tool_wear_rate"]),
+    "failure_type_counts": _w(READINGS) + """SELECT failure_code, failure_type, failures, total_failures FROM (
+  SELECT 'TWF' AS failure_code, 'Tool Wear Failure' AS failure_type, CAST(sum(twf) AS BIGINT) AS failures FROM readings
+  UNION ALL SELECT 'HDF', 'Heat Dissipation Failure', CAST(sum(hdf) AS BIGINT) FROM readings
+  UNION ALL SELECT 'PWF', 'Power Failure', CAST(sum(pwf) AS BIGINT) FROM readings
+  UNION ALL SELECT 'OSF', 'Overstrain Failure', CAST(sum(osf) AS BIGINT) FROM readings
+  UNION ALL SELECT 'RNF', 'Random Failures', CAST(sum(rnf) AS BIGINT) FROM readings) f,
+  (SELECT CAST(sum(machine_failure) AS BIGINT) AS total_failures FROM readings) t""",
+    "class_distribution": R(_w(READINGS) + """SELECT machine_failure, n, n / sum(n) OVER () AS share
+  FROM (SELECT machine_failure, count(*) AS n FROM readings GROUP BY 1)""", ["share"]),
+    "class_histogram": R(_hist_sql(), ["lo", "hi"]),
+    "label_correlation": R(_label_corr_sql(), ["correlation", "abs_correlation"]),
+    "correlation_matrix": R(_corr_sql(), ["correlation"]),
+})
+
+
+# --------------------------------------------------------------------------
+# Scoring rules and monitoring
+CSCORES = """cs AS (SELECT customer_id, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(d - 45) / 15.0::DOUBLE)) AS probability,
+  CAST(d >= 90 AS INT) AS label, lp AS scored_at FROM dd JOIN last USING (customer_id)),
+scored AS (SELECT *, CAST(probability >= 0.5::DOUBLE AS INT) AS prediction,
+  CASE WHEN probability >= 0.7::DOUBLE THEN 'high' WHEN probability >= 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS risk_level,
+  1.0::DOUBLE - probability AS health_score,
+  CASE WHEN 1.0::DOUBLE - probability >= 0.8::DOUBLE THEN 'excellent' WHEN 1.0::DOUBLE - probability >= 0.6::DOUBLE THEN 'good'
+       WHEN 1.0::DOUBLE - probability >= 0.4::DOUBLE THEN 'fair' ELSE 'poor' END AS health_status,
+  CASE WHEN probability >= 0.7::DOUBLE THEN 'Immediate attention needed' WHEN probability >= 0.4::DOUBLE
+       THEN 'Monitor closely' ELSE 'Maintain engagement' END AS suggested_action FROM cs)"""
+ALERTS = """es AS (SELECT udi, equipment_id, ts AS scored_at, tool_wear_min / 254.0::DOUBLE AS failure_probability,
+  machine_failure AS label FROM readings),
+alerts AS (SELECT *, CAST(failure_probability >= 0.5::DOUBLE AS INT) AS prediction,
+  CASE WHEN failure_probability >= 0.8::DOUBLE THEN 'CRITICAL' WHEN failure_probability >= 0.6::DOUBLE THEN 'HIGH'
+       WHEN failure_probability >= 0.4::DOUBLE THEN 'MEDIUM' WHEN failure_probability >= 0.2::DOUBLE THEN 'LOW' ELSE 'NORMAL' END AS alert_level,
+  CASE WHEN failure_probability >= 0.8::DOUBLE THEN 'SCHEDULE IMMEDIATE MAINTENANCE'
+       WHEN failure_probability >= 0.6::DOUBLE THEN 'SCHEDULE MAINTENANCE WITHIN 24 HOURS'
+       WHEN failure_probability >= 0.4::DOUBLE THEN 'INCREASE MONITORING FREQUENCY'
+       WHEN failure_probability >= 0.2::DOUBLE THEN 'CONTINUE NORMAL MONITORING' ELSE 'NO ACTION REQUIRED' END AS recommended_action,
+  1.0::DOUBLE - 2.0::DOUBLE * abs(failure_probability - 0.5::DOUBLE) AS confidence FROM es)"""
+RULES = """rules AS (SELECT * FROM (VALUES ('churn', 0.7::DOUBLE, 'high', true), ('churn', 0.4::DOUBLE, 'medium', true),
+  ('failure', 0.8::DOUBLE, 'critical', true), ('failure', 0.6::DOUBLE, 'high', true),
+  ('failure', 0.2::DOUBLE, 'low', false)) AS v(type, threshold, severity, enabled))"""
+DRIFT_F = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min"]
+
+
+def _drift_sql() -> str:
+    longs = " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS x, epoch_us(ts) < m AS is_base FROM readings, mid"
+        for f in DRIFT_F)
+    return (_w(READINGS,
+               "mid AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) / 2.0::DOUBLE AS m FROM readings)",
+               f"lg AS ({longs})",
+               """ed AS (SELECT feature, list_transform(quantile_cont(x, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]),
+  lambda e: round(e, 6)) AS edges FROM lg WHERE is_base GROUP BY 1)""",
+               """bn AS (SELECT lg.feature, is_base, CAST(len(list_filter(edges, lambda e: e < x)) AS INT) AS bin
+  FROM lg JOIN ed USING (feature))""",
+               """grid AS (SELECT feature, CAST(b AS INT) AS bin FROM ed, range(10) AS r(b))""",
+               """pb AS (SELECT g.feature, g.bin, count(bn.bin) FILTER (WHERE bn.is_base) AS n0,
+  count(bn.bin) FILTER (WHERE NOT bn.is_base) AS n1 FROM grid g LEFT JOIN bn ON g.feature = bn.feature
+  AND g.bin = bn.bin GROUP BY 1, 2)""",
+               """sh AS (SELECT feature, greatest(n0 / sum(n0) OVER (PARTITION BY feature), 1e-6::DOUBLE) AS s0,
+  greatest(n1 / sum(n1) OVER (PARTITION BY feature), 1e-6::DOUBLE) AS s1 FROM pb)""")
+            + """SELECT feature, sum((s1 - s0) * ln(s1 / s0)) AS psi,
+  CASE WHEN sum((s1 - s0) * ln(s1 / s0)) >= 0.10::DOUBLE THEN 'Warning' ELSE 'No' END AS alert
+  FROM sh GROUP BY 1""")
+
+
+ORACLES.update({
+    "risk_levels": R(_w(TX, CHURN, CSCORES) + "SELECT * FROM scored", ["probability", "health_score"]),
+    "alert_levels": R(_w(READINGS, ALERTS) + "SELECT * FROM alerts", ["failure_probability", "confidence"]),
+    "alert_rules": R(_w(TX, CHURN, CSCORES, READINGS, ALERTS, RULES) + """SELECT s.type, entity_id, probability,
+  r.threshold AS rule_threshold, r.severity FROM (
+  SELECT 'churn' AS type, customer_id AS entity_id, probability FROM cs
+  UNION ALL SELECT 'failure', udi, failure_probability FROM es) s
+  JOIN rules r ON r.enabled AND s.type = r.type AND s.probability >= r.threshold""",
+                     ["probability", "rule_threshold"]),
+    "risk_factors": R(_w(TX, CHURN, LAST_N, """p90 AS (SELECT customer_id,
+  count(*) FILTER (WHERE date_sub('day', invoice_date, r) < 90) AS purchases_90d FROM t, ref GROUP BY 1)""")
+                      + """SELECT customer_id, days_since_last_purchase, purchases_90d, trend_window_30 AS trend,
+  CASE WHEN churn_probability >= 0.7::DOUBLE THEN 'high' WHEN churn_probability >= 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS risk_level,
+  concat_ws('|', CASE WHEN days_since_last_purchase >= 30 THEN 'High Recency' END,
+    CASE WHEN purchases_90d < 5 THEN 'Low Frequency' END,
+    CASE WHEN trend_window_30 < -1e-9::DOUBLE THEN 'Declining Monetary Value' END) AS factors,
+  CASE WHEN churn_probability >= 0.7::DOUBLE THEN 'Immediate outreach required|Loyalty program offers|Personalized re-engagement campaigns'
+       WHEN churn_probability >= 0.4::DOUBLE THEN 'Regular check-ins|Targeted discounts|Monitor engagement metrics'
+       ELSE 'Maintain communication|Recognition programs|Continue monitoring' END AS recommendations
+  FROM churn JOIN p90 USING (customer_id) LEFT JOIN lastn USING (customer_id)""", ["trend"], 13),
+    "batch_summary": R(_w(READINGS, ALERTS) + """SELECT count(*) AS total_predictions,
+  CAST(sum(prediction) AS BIGINT) AS predicted_failures, avg(prediction) AS predicted_failure_rate,
+  avg(failure_probability) AS mean_risk, count(*) FILTER (WHERE alert_level = 'HIGH') AS high_alerts,
+  count(*) FILTER (WHERE alert_level = 'CRITICAL') AS critical_alerts FROM alerts""",
+                       ["predicted_failure_rate", "mean_risk"]),
+    "kpis": R(_w(TX, CHURN, CSCORES) + """SELECT count(*) AS customers,
+  count(*) FILTER (WHERE risk_level IN ('medium', 'high')) AS at_risk,
+  count(*) FILTER (WHERE risk_level = 'high') AS high_risk, avg(health_score) AS mean_health_score FROM scored""",
+              ["mean_health_score"]),
+    "risk_counts": _w(TX, CHURN, CSCORES) + "SELECT risk_level, count(*) AS n FROM scored GROUP BY 1",
+    "health_histogram": _w(TX, CHURN, CSCORES) + """SELECT CAST(least(floor(health_score * 30.0::DOUBLE), 29) AS INT) AS bin,
+  count(*) AS n FROM scored GROUP BY 1""",
+    "health_status_share": R(_w(TX, CHURN, CSCORES) + """SELECT health_status, n, n / sum(n) OVER () * 100 AS percent
+  FROM (SELECT health_status, count(*) AS n FROM scored GROUP BY 1)""", ["percent"]),
+    "weekly_risk_share": R(_w(TX, CHURN, CSCORES) + """SELECT week, high, medium, low, high + medium + low AS total,
+  high / (high + medium + low) AS high_share, medium / (high + medium + low) AS medium_share,
+  low / (high + medium + low) AS low_share FROM (SELECT date_trunc('week', scored_at) AS week,
+  count(*) FILTER (WHERE risk_level = 'high') AS high, count(*) FILTER (WHERE risk_level = 'medium') AS medium,
+  count(*) FILTER (WHERE risk_level = 'low') AS low FROM scored GROUP BY 1)""",
+                           ["high_share", "medium_share", "low_share"]),
+    "monthly_churn": _w(TX, """p AS (SELECT DISTINCT customer_id, CAST(invoice_date AS DATE) AS d FROM t),
+n AS (SELECT *, lead(d) OVER (PARTITION BY customer_id ORDER BY d) AS nxt FROM p),
+m AS (SELECT DISTINCT last_day(d) AS me FROM p),
+j AS (SELECT me, date_diff('day', d, me) AS g FROM n JOIN m ON d <= me AND (nxt IS NULL OR nxt > me))""")
+    + """SELECT CAST(me AS TIMESTAMP) AS month_end, count(*) AS customers, count(*) FILTER (WHERE g >= 15 AND g < 30) AS at_risk,
+  count(*) FILTER (WHERE g >= 90) AS churned FROM j GROUP BY 1""",
+    "feature_drift": R(_drift_sql(), ["psi"]),
+    "latest_predictions": R(_w(READINGS, ALERTS) + """SELECT udi, equipment_id, scored_at, failure_probability,
+  alert_level FROM alerts ORDER BY scored_at DESC, udi DESC LIMIT 10""", ["failure_probability"]),
+})
