@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 
 from ..functions import levels
 from ..operators import customer as cf
-from ..operators import monitor, scoring, sensor
+from .. import config
+from ..operators import monitor, quality, scoring, sensor
 from ..sources import tables
 from . import features
 
@@ -247,3 +248,33 @@ def q_latest_predictions(spark, sf_dir):
     a = _alerts(spark, sf_dir).select("udi", "equipment_id", "scored_at",
                                       "failure_probability", "alert_level")
     return finish(monitor.latest(a, [F.desc("scored_at"), F.desc("udi")], 10))
+
+
+# ---------------------------------------------------------------------------
+# Data quality
+@query("quality_counters")
+def q_quality_counters(spark, sf_dir):
+    return quality.check_results(_tx(spark, sf_dir), config.TRANSACTION_EXPECTATIONS)
+
+
+@query("quality_relationships")
+def q_quality_relationships(spark, sf_dir):
+    exp = {"relationships": config.READING_EXPECTATIONS["relationships"]}
+    return quality.check_results(_readings(spark, sf_dir), exp) \
+                  .where(F.col("check_name") != "required_columns")
+
+
+@query("quality_verdict")
+def q_quality_verdict(spark, sf_dir):
+    res = quality.check_results(_readings(spark, sf_dir), config.READING_EXPECTATIONS)
+    return quality.verdict(res)
+
+
+@query("profile_metrics")
+def q_profile_metrics(spark, sf_dir):
+    return finish(quality.profile_metrics(_readings(spark, sf_dir)))
+
+
+@query("table_metrics")
+def q_table_metrics(spark, sf_dir):
+    return quality.table_metrics(_tx(spark, sf_dir))

@@ -17,10 +17,13 @@ TX = """transactions AS (
   FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey),
 t AS (SELECT * FROM transactions WHERE customer_id IS NOT NULL)"""
 
+# DuckDB turns ``bigint / 100.0`` into a double division; Spark keeps exact
+# decimals.  ``* 0.01`` is exact decimal arithmetic in DuckDB, so both engines
+# cast the same exact decimal to double.
 READINGS = """rb AS (SELECT event_id AS udi, user_id AS equipment_id, ts,
   CASE WHEN event_id % 10 < 6 THEN 'L' WHEN event_id % 10 < 9 THEN 'M' ELSE 'H' END AS type,
-  295.0 + ((event_id*7919) % 1000)/100.0 AS air_temp_k,
-  8.0 + ((event_id*104729) % 500)/100.0 AS dt_k,
+  295.0 + ((event_id*7919) % 1000) * 0.01 AS air_temp_k,
+  8.0 + ((event_id*104729) % 500) * 0.01 AS dt_k,
   CAST(1170 + (event_id*31) % 700 AS int) AS rpm,
   30.0 + least(value, 400.0)/10.0 AS torque_nm,
   CAST((event_id*17) % 254 AS int) AS tool_wear_min FROM events),
@@ -338,3 +341,110 @@ j AS (SELECT me, date_diff('day', d, me) AS g FROM n JOIN m ON d <= me AND (nxt
     "latest_predictions": R(_w(READINGS, ALERTS) + """SELECT udi, equipment_id, scored_at, failure_probability,
   alert_level FROM alerts ORDER BY scored_at DESC, udi DESC LIMIT 10""", ["failure_probability"]),
 })
+
+
+# --------------------------------------------------------------------------
+# Data quality: each check written as SQL over the same expectation dicts.
+from assetpulse import config as _cfg  # noqa: E402  (configuration only)
+
+# Spark type names of the adapter columns (as reported by the Spark schema)
+SPARK_TYPES = {
+    "transactions": {"customer_id": "bigint", "invoice_no": "bigint", "invoice_date": "timestamp_ntz",
+                     "quantity": "double", "unit_price": "double", "amount": "double"},
+    "readings": {"udi": "bigint", "equipment_id": "bigint", "ts": "timestamp_ntz", "type": "string",
+                 "air_temp_k": "double", "process_temp_k": "double", "rpm": "int",
+                 "torque_nm": "double", "tool_wear_min": "int", "twf": "int", "hdf": "int",
+                 "pwf": "int", "osf": "int", "rnf": "int", "machine_failure": "int"},
+}
+_NUM = {"bigint", "int", "double"}
+
+
+def _lit(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
+def _quality_sql(table: str, exp: dict, skip_required: bool = False) -> str:
+    types = SPARK_TYPES[table]
+    rows = []
+
+    def add(check, col, sev, n_sql, msg_sql):
+        c = "CAST(NULL AS VARCHAR)" if col is None else f"'{col}'"
+        rows.append(f"SELECT '{check}' AS check_name, {c} AS column_name, '{sev}' AS severity, "
+                    f"CAST({n_sql} AS BIGINT) AS n, {msg_sql} AS msg FROM {table}")
+
+    st = exp.get("structure", {})
+    if not skip_required:
+        missing = [c for c in st.get("required_columns", []) if c not in types]
+        msg = f"Missing required columns: {missing}".replace("'", "''")
+        add("required_columns", None, "error", f"{len(missing)}", f"'{msg}'")
+    for c, want in st.get("column_types", {}).items():
+        if c in types:
+            add("column_type", c, "warning", "0" if want in types[c] else "1",
+                f"'Column {c} expected type {want}, got {types[c]}'")
+    if st.get("min_rows") is not None:
+        m = st["min_rows"]
+        add("min_rows", None, "error", f"CASE WHEN count(*) < {m} THEN count(*) ELSE 0 END",
+            f"'Row count ' || CAST(count(*) AS VARCHAR) || ' below minimum {m}'")
+    if st.get("max_rows") is not None:
+        m = st["max_rows"]
+        add("max_rows", None, "warning", f"CASE WHEN count(*) > {m} THEN count(*) ELSE 0 END",
+            f"'Row count ' || CAST(count(*) AS VARCHAR) || ' exceeds maximum {m}'")
+    for c, con in exp.get("constraints", {}).items():
+        if c not in types:
+            continue
+        if con.get("not_null"):
+            n = f"count(*) FILTER (WHERE {c} IS NULL)"
+            add("not_null", c, "error", n, f"'Column {c} contains ' || CAST({n} AS VARCHAR) || ' null values'")
+        if con.get("unique"):
+            n = f"(count(*) - count(DISTINCT {c}) - max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END))"
+            add("unique", c, "warning", n, f"'Column {c} contains ' || CAST({n} AS VARCHAR) || ' duplicate values'")
+        if types[c] in _NUM:
+            if con.get("min") is not None:
+                n = f"count(*) FILTER (WHERE {c} < {con['min']})"
+                add("min", c, "warning", n,
+                    f"'Column {c} has ' || CAST({n} AS VARCHAR) || ' values below {con['min']}'")
+            if con.get("max") is not None:
+                n = f"count(*) FILTER (WHERE {c} > {con['max']})"
+                add("max", c, "warning", n,
+                    f"'Column {c} has ' || CAST({n} AS VARCHAR) || ' values above {con['max']}'")
+        if "allowed_values" in con:
+            vals = ", ".join(_lit(v) for v in con["allowed_values"])
+            n = f"count(*) FILTER (WHERE NOT coalesce({c} IN ({vals}), false))"
+            add("allowed_values", c, "warning", n, f"'Column {c} has ' || CAST({n} AS VARCHAR) || ' invalid values'")
+    for rel in exp.get("relationships", []):
+        if rel["type"] == "mutually_exclusive":
+            a, b = rel["column1"], rel["column2"]
+            n = f"count(*) FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+            add("mutually_exclusive", f"{a},{b}", "warning", n,
+                f"'Mutually exclusive violation: ' || CAST({n} AS VARCHAR) || ' rows have both {a} and {b}'")
+        else:
+            w, wv, t, tv = rel["when_column"], rel["when_value"], rel["then_column"], rel["then_value"]
+            n = (f"count(*) FILTER (WHERE coalesce({w} = {_lit(wv)}, false) "
+                 f"AND {t} IS DISTINCT FROM {_lit(tv)})")
+            add("conditional", f"{w},{t}", "warning", n,
+                f"'Conditional violation: ' || CAST({n} AS VARCHAR) || ' rows violate {w}={wv} -> {t}={tv}'")
+    body = " UNION ALL ".join(rows)
+    return f"SELECT check_name, column_name, severity, n, CASE WHEN n > 0 THEN msg END AS message FROM ({body})"
+
+
+def _profile_sql() -> str:
+    types = SPARK_TYPES["readings"]
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS missing, "
+        f"count(*) FILTER (WHERE {c} IS NULL) / count(*) * 100 AS null_percentage, "
+        f"count(DISTINCT {c}) AS distinct_values FROM readings" for c, t in types.items())
+    return _w(READINGS) + parts
+
+
+_RQ = _quality_sql("readings", _cfg.READING_EXPECTATIONS)
+ORACLES.update({
+    "quality_counters": _w(TX) + _quality_sql("transactions", _cfg.TRANSACTION_EXPECTATIONS),
+    "quality_relationships": _w(READINGS) + _quality_sql(
+        "readings", {"relationships": _cfg.READING_EXPECTATIONS["relationships"]}, skip_required=True),
+    "quality_verdict": _w(READINGS) + f"""SELECT count(*) FILTER (WHERE n > 0 AND severity = 'error') = 0 AS valid,
+  count(*) FILTER (WHERE n > 0 AND severity = 'error') AS errors,
+  count(*) FILTER (WHERE n > 0 AND severity = 'warning') AS warnings FROM ({_RQ})""",
+    "profile_metrics": R(_profile_sql(), ["null_percentage"]),
+    "table_metrics": _w(TX) + """SELECT count(*) AS row_count, CAST(6 AS INT) AS column_count,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM transactions)) AS duplicate_rows FROM transactions""",
+})
