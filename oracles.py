@@ -370,7 +370,8 @@ def _quality_sql(table: str, exp: dict, skip_required: bool = False) -> str:
     def add(check, col, sev, n_sql, msg_sql):
         c = "CAST(NULL AS VARCHAR)" if col is None else f"'{col}'"
         rows.append(f"SELECT '{check}' AS check_name, {c} AS column_name, '{sev}' AS severity, "
-                    f"CAST({n_sql} AS BIGINT) AS n, {msg_sql} AS msg FROM {table}")
+                    f"CAST({n_sql} AS BIGINT) AS n, {msg_sql} AS msg"
+                    + (f" FROM {table}" if "count(" in n_sql else ""))
 
     st = exp.get("structure", {})
     if not skip_required:
