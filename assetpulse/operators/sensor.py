@@ -8,7 +8,7 @@ it on row-level data unless the grouping needs it (histograms).
 from __future__ import annotations
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels
@@ -86,11 +86,48 @@ def class_histogram(df: DataFrame, columns=None, bins: int = 30, label: str = LA
              .agg(F.count(F.lit(1)).alias("n"), F.first("lo").alias("lo"), F.first("hi").alias("hi")))
 
 
+def pearson(df: DataFrame, pairs: list[tuple[str, str]]) -> dict[tuple[str, str], Column]:
+    """Pearson correlation for column pairs, nulls dropped pairwise.
+
+    Two passes of plain sums (no per-row division, all inside codegen):
+    pass 1 the column means and null counts; pass 2 sums of products of
+    mean-centred values.  Centring keeps the sums numerically stable; with
+    pair-complete sums S_a, S_b, S_ab, S_aa, S_bb over n pair rows,
+    r = (S_ab - S_a S_b / n) / sqrt((S_aa - S_a^2/n)(S_bb - S_b^2/n)).
+    Columns without nulls share one count and one S_a each, so a k-column
+    matrix needs about k^2/2 sums.  A constant column gives NULL
+    (``try_divide``), not an error.  Returns one aggregate Column per pair,
+    to be used in a single ``agg``.
+    """
+    cols = sorted({c for p in pairs for c in p})
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(cols):
+        aggs += [F.avg(F.col(c).cast("double")).alias(f"m{i}"), F.count(F.col(c)).alias(f"k{i}")]
+    row = df.agg(*aggs).first()
+    mean = {c: (row[f"m{i}"] if row[f"m{i}"] is not None else 0.0) for i, c in enumerate(cols)}
+    full = {c for i, c in enumerate(cols) if row[f"k{i}"] == row["_n"]}
+    out = {}
+    for a, b in pairs:
+        ca = f"(CAST(`{a}` AS double) - {mean[a]!r}D)"
+        cb = f"(CAST(`{b}` AS double) - {mean[b]!r}D)"
+        if a in full and b in full:
+            xa, xb, n = ca, cb, "count(1)"
+        else:
+            both = f"`{a}` IS NOT NULL AND `{b}` IS NOT NULL"
+            xa, xb = f"IF({both}, {ca}, NULL)", f"IF({both}, {cb}, NULL)"
+            n = f"count({xa})"
+        sa, sb = f"sum({xa})", f"sum({xb})"
+        out[(a, b)] = F.expr(
+            f"try_divide(sum({xa} * {xb}) - {sa} * {sb} / {n}, "
+            f"sqrt((sum({xa} * {xa}) - {sa} * {sa} / {n}) * (sum({xb} * {xb}) - {sb} * {sb} / {n})))")
+    return out
+
+
 def label_correlation(df: DataFrame, features=None, label: str = LABEL) -> DataFrame:
     """|corr(feature, label)| for every feature, ranked descending."""
     features = list(features or FEATURES)
-    row = df.agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f)
-                   for f in features])
+    r = pearson(df, [(f, label) for f in features])
+    row = df.agg(*[r[(f, label)].alias(f) for f in features])
     pairs = ", ".join(f"'{f}', `{f}`" for f in features)
     long = row.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, correlation)")
     long = long.withColumn("abs_correlation", F.abs("correlation"))
@@ -101,16 +138,12 @@ def label_correlation(df: DataFrame, features=None, label: str = LABEL) -> DataF
 def correlation_matrix(df: DataFrame, columns=None) -> DataFrame:
     """Pairwise Pearson correlation (nulls dropped pairwise), long form."""
     columns = list(columns or FEATURES + [LABEL])
-    aggs, names = [], []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            n = f"c_{len(names)}"
-            names.append((a, b, n))
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(n))
-    row = df.agg(*aggs)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    r = pearson(df, pairs)
+    row = df.agg(*[r[p].alias(f"c_{i}") for i, p in enumerate(pairs)])
     parts = []
-    for a, b, n in names:
-        parts.append(f"'{a}', '{b}', {n}")
+    for i, (a, b) in enumerate(pairs):
+        parts.append(f"'{a}', '{b}', c_{i}")
         if a != b:
-            parts.append(f"'{b}', '{a}', {n}")
+            parts.append(f"'{b}', '{a}', c_{i}")
     return row.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (feature_a, feature_b, correlation)")
