@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import levels
 from ..operators import customer as cf
 from .. import config
-from ..operators import monitor, quality, scoring, sensor
+from ..operators import monitor, prepare, quality, scoring, sensor
 from ..sources import tables
 from . import features
 
@@ -278,3 +278,47 @@ def q_profile_metrics(spark, sf_dir):
 @query("table_metrics")
 def q_table_metrics(spark, sf_dir):
     return quality.table_metrics(_tx(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# Preparation
+FILTERS = ["quantity > 0", "unit_price >= 1000 and unit_price < 1900", "amount >>> 5"]
+DERIVED = {"line_value": "quantity * unit_price", "has_customer": {"notna": "customer_id"},
+           "quantity_int": {"cast": "quantity", "type": "int"}}
+
+
+@query("date_parts")
+def q_date_parts(spark, sf_dir):
+    t = prepare.date_parts(_tx(spark, sf_dir))
+    return t.select("customer_id", "invoice_no", "invoice_date", "year", "month", "day",
+                    "day_of_week", "hour", "quarter")
+
+
+@query("filter_and_derive")
+def q_filter_and_derive(spark, sf_dir):
+    t = prepare.derive_columns(prepare.apply_filters(_tx(spark, sf_dir), FILTERS), DERIVED)
+    return finish(t.select("customer_id", "invoice_no", "quantity", "unit_price", "line_value",
+                           "has_customer", "quantity_int"))
+
+
+@query("row_count_audit")
+def q_row_count_audit(spark, sf_dir):
+    tx = _tx(spark, sf_dir)
+    return prepare.row_count_audit(tx, prepare.apply_filters(tx, FILTERS))
+
+
+def sensor_requests(readings):
+    """Score requests derived from readings (struct payload, optional threshold)."""
+    return readings.select(
+        "udi", F.col("equipment_id").cast("string").alias("equipment_id"),
+        F.struct(F.col("air_temp_k").alias("air_temperature_k"),
+                 F.col("process_temp_k").alias("process_temperature_k"),
+                 F.col("rpm").alias("rotational_speed_rpm"), "torque_nm", "tool_wear_min",
+                 (F.col("rpm") * F.col("torque_nm")).alias("power")).alias("features"),
+        ((F.col("udi") % 13) / F.lit(10.0)).alias("threshold"))
+
+
+@query("request_check")
+def q_request_check(spark, sf_dir):
+    c = prepare.check_sensor_requests(sensor_requests(_readings(spark, sf_dir)))
+    return c.select("udi", "valid", F.array_join("reasons", "|").alias("reasons"))

@@ -449,3 +449,32 @@ ORACLES.update({
     "table_metrics": _w(TX) + """SELECT count(*) AS row_count, CAST(6 AS INT) AS column_count,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM transactions)) AS duplicate_rows FROM transactions""",
 })
+
+
+# --------------------------------------------------------------------------
+# Preparation
+ORACLES.update({
+    "date_parts": _w(TX) + """SELECT customer_id, invoice_no, invoice_date, CAST(year(invoice_date) AS INT) AS year,
+  CAST(month(invoice_date) AS INT) AS month, CAST(day(invoice_date) AS INT) AS day,
+  CAST(isodow(invoice_date) - 1 AS INT) AS day_of_week, CAST(hour(invoice_date) AS INT) AS hour,
+  CAST(quarter(invoice_date) AS INT) AS quarter FROM transactions""",
+    "filter_and_derive": R(_w(TX) + """SELECT customer_id, invoice_no, quantity, unit_price,
+  quantity * unit_price AS line_value, customer_id IS NOT NULL AS has_customer,
+  CAST(trunc(quantity) AS INT) AS quantity_int FROM transactions
+  WHERE quantity > 0 AND unit_price >= 1000 AND unit_price < 1900""",
+                           ["quantity", "unit_price", "line_value"]),
+    "row_count_audit": _w(TX) + """SELECT count(*) AS rows_before,
+  count(*) FILTER (WHERE quantity > 0 AND unit_price >= 1000 AND unit_price < 1900) AS rows_after,
+  count(*) - count(*) FILTER (WHERE quantity > 0 AND unit_price >= 1000 AND unit_price < 1900) AS rows_removed
+  FROM transactions""",
+    "request_check": _w(READINGS) + """SELECT udi, reasons = '' AS valid, reasons FROM (
+  SELECT udi, concat_ws('|',
+    CASE WHEN equipment_id IS NULL THEN 'missing equipment_id' END,
+    CASE WHEN air_temp_k IS NULL THEN 'missing air_temperature_k' END,
+    CASE WHEN process_temp_k IS NULL THEN 'missing process_temperature_k' END,
+    CASE WHEN rpm IS NULL THEN 'missing rotational_speed_rpm' END,
+    CASE WHEN torque_nm IS NULL THEN 'missing torque_nm' END,
+    CASE WHEN tool_wear_min IS NULL THEN 'missing tool_wear_min' END,
+    CASE WHEN (udi % 13) / 10.0::DOUBLE < 0 OR (udi % 13) / 10.0::DOUBLE > 1
+         THEN 'threshold outside 0..1' END) AS reasons FROM readings)""",
+})
