@@ -174,3 +174,71 @@ def quantile_bin(x: Column, edges: list[Column | float]) -> Column:
         e = e if isinstance(e, Column) else F.lit(e)
         expr = F.when(x <= e, i + 1) if expr is None else expr.when(x <= e, i + 1)
     return expr.otherwise(len(edges) + 1) if expr is not None else F.lit(1)
+
+
+def lex_kth(df: DataFrame, cols: list[str], k: int, accuracy: int = DEFAULT_ACCURACY) -> tuple:
+    """Exact k-th (0-based) row in ascending lexicographic order of numeric
+    ``cols`` (each exactly representable as double), without a global sort."""
+    cur = df
+    out = []
+    for i, c in enumerate(cols):
+        v = kth_smallest(cur, c, [k], accuracy)[k]
+        out.append(v)
+        if i + 1 == len(cols):
+            break
+        x = F.col(c).cast("double")
+        cnt = cur.agg(F.count(F.when(x < F.lit(v), 1)).alias("lt"),
+                      F.count(F.when(x == F.lit(v), 1)).alias("eq")).first()
+        cur = cur.where(x == F.lit(v))
+        if cnt["eq"] == 1:            # unique key: the rest of the row is determined
+            row = cur.select(*[F.col(r).cast("double") for r in cols[i + 1:]]).first()
+            return tuple(out) + tuple(row)
+        k -= cnt["lt"]
+    return tuple(out)
+
+
+def lex_le(cols: list[str], values: tuple) -> Column:
+    """(cols) <= (values) in lexicographic order."""
+    expr = None
+    for i in reversed(range(len(cols))):
+        c = F.col(cols[i]).cast("double")
+        v = F.lit(values[i])
+        expr = (c <= v) if expr is None else ((c < v) | ((c == v) & expr))
+    return expr
+
+
+# Above this many rows an ordered running sum is split into range buckets.
+MAX_SINGLE_WINDOW = 2_000_000
+
+
+def ordered_prefix(g: DataFrame, order_col: str, sum_cols: list[str],
+                   max_single: int = MAX_SINGLE_WINDOW) -> DataFrame:
+    """Inclusive running sums ``cum_<c>`` over ``g`` ordered by the unique
+    ``order_col`` (typically an already grouped table, e.g. distinct scores).
+
+    Small tables (<= ``max_single`` rows, a proven bound) use one window.
+    Larger ones are cut into range buckets on sketch quantiles
+    (``Bucketizer``, binary search): running sums inside each bucket
+    (partitioned window) plus the running bucket totals (a window over the
+    bucket table, a few thousand rows).  Exact either way.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    d = g.count()
+    if d <= max_single:
+        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+        return g.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in sum_cols])
+    n_buckets = min(20000, max(2, -(-d // max(1, max_single // 4))))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    edges = g.agg(F.percentile_approx(F.col(order_col).cast("double"), probs, 10000)).first()[0]
+    splits = [-float("inf")] + sorted(set(float(e) for e in edges)) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_ord", outputCol="_bucket", handleInvalid="keep")
+    gb = b.transform(g.withColumn("_ord", F.col(order_col).cast("double")))
+    tot = gb.groupBy("_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # bucket table
+    tot = tot.select("_bucket", *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_off_{c}")
+                                  for c in sum_cols])
+    wi = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    j = gb.join(F.broadcast(tot), "_bucket")
+    return j.select(*g.columns, *[(F.col(f"_off_{c}") + F.sum(c).over(wi)).alias(f"cum_{c}")
+                                  for c in sum_cols])

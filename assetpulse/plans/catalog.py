@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import levels
 from ..operators import customer as cf
 from .. import config
-from ..operators import monitor, prepare, quality, scoring, sensor
+from ..operators import evaluate, monitor, prepare, quality, sampling, scoring, sensor
 from ..sources import tables
 from . import features
 
@@ -322,3 +322,72 @@ def sensor_requests(readings):
 def q_request_check(spark, sf_dir):
     c = prepare.check_sensor_requests(sensor_requests(_readings(spark, sf_dir)))
     return c.select("udi", "valid", F.array_join("reasons", "|").alias("reasons"))
+
+
+# ---------------------------------------------------------------------------
+# Splits, scaling, evaluation
+SCALE_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min"]
+THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7]
+
+
+@query("chrono_split")
+def q_chrono_split(spark, sf_dir):
+    return sampling.chrono_split(_tx(spark, sf_dir))
+
+
+@query("stratified_split_counts")
+def q_stratified_split_counts(spark, sf_dir):
+    s = sampling.stratified_split(_readings(spark, sf_dir), "machine_failure", "udi")
+    return s.groupBy("machine_failure", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scaled_features")
+def q_scaled_features(spark, sf_dir):
+    s = sampling.time_split(_readings(spark, sf_dir), "ts", "udi")
+    params = sampling.fit_scaler(s.where(F.col("part") == "train"), SCALE_FEATURES)
+    out = sampling.apply_scaler(s, params, "_z")
+    return finish(out.select("udi", "part", *[f"{c}_z" for c in SCALE_FEATURES]))
+
+
+def _scored_equipment(spark, sf_dir):
+    return scoring.score_equipment(scoring.equipment_scores(_readings(spark, sf_dir)))
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(_scored_equipment(spark, sf_dir))
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, sf_dir):
+    return finish(evaluate.binary_metrics(_scored_equipment(spark, sf_dir)))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return finish(evaluate.classification_report(_scored_equipment(spark, sf_dir)))
+
+
+@query("auc")
+def q_auc(spark, sf_dir):
+    e = scoring.equipment_scores(_readings(spark, sf_dir))
+    return finish(evaluate.roc_auc(e, "label", "failure_probability"))
+
+
+@query("churn_auc")
+def q_churn_auc(spark, sf_dir):
+    c = scoring.customer_scores(_tx(spark, sf_dir))
+    return finish(evaluate.roc_auc(c, "label", "probability"))
+
+
+@query("roc_points")
+def q_roc_points(spark, sf_dir):
+    e = scoring.equipment_scores(_readings(spark, sf_dir))
+    return finish(evaluate.roc_points(e, "label", "failure_probability"))
+
+
+@query("best_model")
+def q_best_model(spark, sf_dir):
+    e = scoring.equipment_scores(_readings(spark, sf_dir))
+    m = evaluate.threshold_metrics(e, THRESHOLDS, "label", "failure_probability")
+    return finish(evaluate.best_model(m))

@@ -478,3 +478,84 @@ ORACLES.update({
     CASE WHEN (udi % 13) / 10.0::DOUBLE < 0 OR (udi % 13) / 10.0::DOUBLE > 1
          THEN 'threshold outside 0..1' END) AS reasons FROM readings)""",
 })
+
+
+# --------------------------------------------------------------------------
+# Splits, scaling, evaluation
+SCALE_F = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min"]
+_THR = [0.3, 0.4, 0.5, 0.6, 0.7]
+
+
+def _scaled_sql() -> str:
+    stats = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN coalesce(stddev_pop({c}), 0) = 0 THEN 1.0::DOUBLE "
+                      f"ELSE stddev_pop({c}) END AS s_{c}" for c in SCALE_F)
+    cols = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}_z" for c in SCALE_F)
+    return (_w(READINGS, """sp AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY ts, udi)
+  <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM readings)""",
+               f"st AS (SELECT {stats} FROM sp WHERE part = 'train')")
+            + f"SELECT udi, part, {cols} FROM sp, st")
+
+
+def _auc_sql(src: str, score: str) -> str:
+    return f"""g AS (SELECT CAST({score} AS DOUBLE) AS s, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+  count(*) AS cnt FROM {src} WHERE {score} IS NOT NULL GROUP BY 1),
+c AS (SELECT pos, cnt, sum(cnt) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cu FROM g),
+r AS (SELECT sum(pos * (cu - (cnt - 1) / 2.0::DOUBLE)) AS rs, sum(pos) AS n1, sum(cnt - pos) AS n0 FROM c)
+SELECT (rs - CAST(n1 AS DOUBLE) * (CAST(n1 AS DOUBLE) + 1) / 2) / (CAST(n1 AS DOUBLE) * CAST(n0 AS DOUBLE)) AS auc,
+  CAST(n1 AS BIGINT) AS n_pos, CAST(n0 AS BIGINT) AS n_neg FROM r"""
+
+
+def _thr_sql() -> str:
+    parts = []
+    for i, t in enumerate(_THR):
+        p = f"failure_probability >= {t}::DOUBLE"
+        parts.append(f"""SELECT 'threshold_{t}' AS model, {i} AS seq,
+  count(*) FILTER (WHERE label = 1 AND {p}) AS tp, count(*) FILTER (WHERE label = 0 AND {p}) AS fp,
+  count(*) FILTER (WHERE label = 1 AND NOT ({p})) AS fn FROM es""")
+    return " UNION ALL ".join(parts)
+
+
+_METRICS = """mb AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0::DOUBLE) AS prec,
+  coalesce(tp / nullif(tp + fn, 0), 0.0::DOUBLE) AS rec FROM base)"""
+
+ORACLES.update({
+    "chrono_split": _w(TX, "f AS (SELECT customer_id, min(invoice_date) AS first_purchase FROM t GROUP BY 1)")
+    + """SELECT customer_id, first_purchase, CASE WHEN row_number() OVER (ORDER BY first_purchase, customer_id)
+  <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS part FROM f""",
+    "stratified_split_counts": _w(READINGS, """c AS (SELECT machine_failure, count(*) AS n,
+  CAST(floor(0.2 * count(*) + 0.5) AS BIGINT) AS k FROM readings GROUP BY 1)""")
+    + """SELECT machine_failure, 'test' AS part, k AS n FROM c WHERE k > 0
+  UNION ALL SELECT machine_failure, 'train', n - k FROM c WHERE n - k > 0""",
+    "scaled_features": R(_scaled_sql(), [f"{c}_z" for c in SCALE_F]),
+    "confusion_matrix": _w(READINGS, ALERTS) + "SELECT label, prediction, count(*) AS n FROM alerts GROUP BY 1, 2",
+    "classification_metrics": R(_w(READINGS, ALERTS, """cnt AS (SELECT count(*) AS n,
+  count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp, count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+  count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn, count(*) FILTER (WHERE label = 0 AND prediction = 0) AS tn
+  FROM alerts)""", """pr AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0::DOUBLE) AS precision,
+  coalesce(tp / nullif(tp + fn, 0), 0.0::DOUBLE) AS recall FROM cnt)""")
+    + """SELECT coalesce((tp + tn) / nullif(n, 0), 0.0::DOUBLE) AS accuracy, precision, recall,
+  coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0::DOUBLE) AS f1, tp, fp, fn, tn FROM pr""",
+                                ["accuracy", "precision", "recall", "f1"]),
+    "classification_report": R(_w(READINGS, ALERTS, """cls AS (SELECT DISTINCT label AS c FROM alerts
+  UNION SELECT DISTINCT prediction FROM alerts)""", """pc AS (SELECT c, count(*) FILTER (WHERE label = c AND prediction = c) AS tp,
+  count(*) FILTER (WHERE prediction = c) AS pp, count(*) FILTER (WHERE label = c) AS support FROM cls, alerts GROUP BY c)""",
+                                  """per AS (SELECT CAST(c AS VARCHAR) AS class_name,
+  coalesce(tp / nullif(pp, 0), 0.0::DOUBLE) AS precision, coalesce(tp / nullif(support, 0), 0.0::DOUBLE) AS recall,
+  support FROM pc)""", """per2 AS (SELECT class_name, precision, recall,
+  coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0::DOUBLE) AS f1, support FROM per)""")
+    + """SELECT class_name, precision, recall, f1, support FROM per2
+  UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), CAST(sum(support) AS BIGINT) FROM per2
+  UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
+    sum(f1 * support) / sum(support), CAST(sum(support) AS BIGINT) FROM per2""", ["precision", "recall", "f1"]),
+    "auc": R(_w(READINGS, ALERTS).rstrip() + ",\n" + _auc_sql("es", "failure_probability"), ["auc"]),
+    "churn_auc": R(_w(TX, CHURN, CSCORES).rstrip() + ",\n" + _auc_sql("cs", "probability"), ["auc"]),
+    "roc_points": R(_w(READINGS, ALERTS, """g AS (SELECT CAST(failure_probability AS DOUBLE) AS s,
+  sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos, count(*) - sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS neg
+  FROM es GROUP BY 1)""") + """SELECT s AS threshold,
+  sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(pos) OVER () AS tpr,
+  sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(neg) OVER () AS fpr FROM g""",
+                    ["threshold", "tpr", "fpr"]),
+    "best_model": R(_w(READINGS, ALERTS, f"base AS ({_thr_sql()})", _METRICS,
+                       """f AS (SELECT model, seq, coalesce(2 * prec * rec / nullif(prec + rec, 0), 0.0::DOUBLE) AS f1 FROM mb)""")
+                    + "SELECT model, f1 FROM f ORDER BY f1 DESC, seq LIMIT 1", ["f1"]),
+})
