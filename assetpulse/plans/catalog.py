@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import levels
 from ..operators import customer as cf
 from .. import config
-from ..operators import evaluate, monitor, prepare, quality, sampling, scoring, sensor
+from ..operators import evaluate, learn, monitor, prepare, quality, sampling, scoring, sensor
 from ..sources import tables
 from . import features
 
@@ -391,3 +391,53 @@ def q_best_model(spark, sf_dir):
     e = scoring.equipment_scores(_readings(spark, sf_dir))
     m = evaluate.threshold_metrics(e, THRESHOLDS, "label", "failure_probability")
     return finish(evaluate.best_model(m))
+
+
+# ---------------------------------------------------------------------------
+# Learning (Spark ML).  Rows-only checks: tree training is not SQL.
+ML_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min",
+               "power", "temperature_ratio", "tool_wear_rate"]
+# The registered check query trains 30 rounds (the library default is 100)
+# to keep the per-round check short; the plan is the same.
+GBT_QUERY_PARAMS = {"maxIter": 30}
+_MODELS: dict = {}
+
+
+def _ml_split(spark, sf_dir):
+    r = sensor.derive(_readings(spark, sf_dir)).withColumnRenamed("machine_failure", "label")
+    return sampling.stratified_split(r, "label", "udi")
+
+
+def _trained(spark, sf_dir, kind="gbt"):
+    key = (sf_dir, kind)
+    if key not in _MODELS:
+        s = _ml_split(spark, sf_dir)
+        train = s.where(F.col("part") == "train")
+        _MODELS[key] = (learn.build_pipeline(train, ML_FEATURES, kind, "label",
+                                             **(GBT_QUERY_PARAMS if kind == "gbt" else {}))
+                        .fit(train), s)
+    return _MODELS[key]
+
+
+@query("gbt_scores")
+def q_gbt_scores(spark, sf_dir):
+    model, s = _trained(spark, sf_dir)
+    out = learn.score(model, s.where(F.col("part") == "test")).drop("prediction")
+    out = scoring.score_equipment(out, "probability_1")
+    return finish(out.select("udi", "label", F.col("probability_1").alias("failure_probability"),
+                             "prediction", "alert_level", "recommended_action", "confidence"))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    model, _ = _trained(spark, sf_dir)
+    return finish(learn.feature_importance(model))
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf_dir):
+    s = _ml_split(spark, sf_dir)
+    _, metrics = learn.train_models(s.where(F.col("part") == "train"), s.where(F.col("part") == "test"),
+                                    ML_FEATURES, "label",
+                                    params={"gbt": {"maxIter": 20}, "random_forest": {"numTrees": 20}})
+    return finish(metrics)
