@@ -21,6 +21,7 @@ from ..operators import customer as cf
 from .. import config
 from ..operators import evaluate, learn, monitor, prepare, quality, sampling, scoring, sensor
 from ..sources import tables
+from ..streaming import alerts as alerts_stream
 from . import features
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -441,3 +442,15 @@ def q_model_metrics(spark, sf_dir):
                                     ML_FEATURES, "label",
                                     params={"gbt": {"maxIter": 20}, "random_forest": {"numTrees": 20}})
     return finish(metrics)
+
+
+# ---------------------------------------------------------------------------
+# Streams (availableNow over the events files; results read back from the sink)
+@query("stream_scores")
+def q_stream_scores(spark, sf_dir):
+    return finish(alerts_stream.stream_scores(spark, sf_dir, "MEDIUM"))
+
+
+@query("stream_weekly_counts")
+def q_stream_weekly_counts(spark, sf_dir):
+    return alerts_stream.stream_weekly_counts(spark, sf_dir)

@@ -559,3 +559,14 @@ ORACLES.update({
                        """f AS (SELECT model, seq, coalesce(2 * prec * rec / nullif(prec + rec, 0), 0.0::DOUBLE) AS f1 FROM mb)""")
                     + "SELECT model, f1 FROM f ORDER BY f1 DESC, seq LIMIT 1", ["f1"]),
 })
+
+
+# --------------------------------------------------------------------------
+# Streams: equal to the batch result (closed weeks only for the windowed count)
+ORACLES.update({
+    "stream_scores": R(_w(READINGS, ALERTS) + "SELECT * FROM alerts WHERE failure_probability >= 0.4::DOUBLE",
+                       ["failure_probability", "confidence"]),
+    "stream_weekly_counts": _w(READINGS, ALERTS, "wm AS (SELECT max(scored_at) - INTERVAL 1 DAY AS w FROM alerts)")
+    + """SELECT date_trunc('week', scored_at) AS week_start, alert_level, count(*) AS n FROM alerts, wm
+  WHERE date_trunc('week', scored_at) + INTERVAL 7 DAY <= w GROUP BY 1, 2""",
+})
