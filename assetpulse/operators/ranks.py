@@ -24,10 +24,16 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10000
+# Up to this many non-null values, one task may hold a column's values (a few
+# tens of MB): Spark's exact percentile is then one cheap job.  Above it the
+# sketch + bounded refinement below is used.  Both give identical results.
+MAX_SINGLE_TASK_VALUES = 2_000_000
 
 
 def _as_col(c: str | Column) -> Column:
@@ -37,43 +43,77 @@ def _as_col(c: str | Column) -> Column:
 def _find(x: DataFrame, targets: list[tuple[int, int, float | None, float | None]]):
     """targets: (column index, rank k, lo, hi).  Returns {(i, k): value|None}.
 
-    One pass: each row contributes, per target, either to that target's
-    "below lo" bucket (x = NULL) or to its (target, value) candidate group;
-    partial aggregation collapses both before the shuffle.  A running count
-    over each target's candidates (NULL bucket first) finds the rank.
+    One pass over ``x``; per row and column it emits one "position" record
+    (how many of that column's interval starts are <= the value) and one
+    candidate record per interval that holds the value (intervals are
+    narrow).  Partial aggregation collapses both before the shuffle.  Rows
+    below a target's start = rows whose position is <= the start's index, so
+    the below-counts come from the few position groups; a running count over
+    each target's (bounded) candidate values then finds the rank.
     """
-    keys = []
+    starts: dict[int, list[float]] = {}
+    for i, _, lo, _ in targets:
+        if lo is not None:
+            starts.setdefault(i, [])
+            if lo not in starts[i]:
+                starts[i].append(lo)
+    for i in starts:
+        starts[i].sort()
+    recs = []
+    for i in sorted({t[0] for t in targets}):
+        c = F.col(f"c{i}")
+        arr = F.array(*[F.lit(v) for v in starts.get(i, [])]) if starts.get(i) else None
+        pos = F.size(F.filter(arr, lambda e: e <= c)) if arr is not None else F.lit(0)
+        recs.append(F.when(c.isNotNull(), F.struct(F.lit(-1 - i).alias("t"), pos.alias("pos"),
+                                                   F.lit(None).cast("double").alias("x"))))
     for t, (i, _, lo, hi) in enumerate(targets):
         c = F.col(f"c{i}")
-        below = F.lit(False) if lo is None else (c < F.lit(lo))
-        inside = F.lit(True) if hi is None else (c <= F.lit(hi))
-        keys.append(F.when(below, F.struct(F.lit(t).alias("t"), F.lit(None).cast("double").alias("x")))
-                     .when(c.isNotNull() & inside, F.struct(F.lit(t).alias("t"), c.alias("x"))))
-    exploded = x.select(F.explode(F.array_compact(F.array(*keys))).alias("e"))
-    cand = exploded.groupBy(F.col("e.t").alias("t"), F.col("e.x").alias("x")) \
-                   .agg(F.count(F.lit(1)).alias("n"))
-    k_of = F.create_map(*[F.lit(v) for t, (_, k, _, _) in enumerate(targets) for v in (t, k)])
-    w = Window.partitionBy("t").orderBy(F.col("x").asc_nulls_first()) \
-              .rowsBetween(Window.unboundedPreceding, 0)
-    j = cand.select("t", "x", "n", F.sum("n").over(w).alias("reach"), k_of[F.col("t")].alias("k"))
-    res = (j.groupBy("t")
-            .agg(F.min(F.when(F.col("x").isNotNull() & (F.col("reach") >= F.col("k") + 1),
-                              F.col("x"))).alias("v"),
-                 F.coalesce(F.max(F.when(F.col("x").isNull(), F.col("n"))), F.lit(0)).alias("below"))
-            .collect())
-    hits = {r["t"]: (r["v"], r["below"]) for r in res}
+        inside = c.isNotNull()
+        if lo is not None:
+            inside = inside & (c >= F.lit(lo))
+        if hi is not None:
+            inside = inside & (c <= F.lit(hi))
+        recs.append(F.when(inside, F.struct(F.lit(t).alias("t"), F.lit(None).cast("int").alias("pos"),
+                                            c.alias("x"))))
+    exploded = x.select(F.explode(F.array_compact(F.array(*recs))).alias("e")).select("e.*")
+    agg = exploded.groupBy("t", "pos", "x").agg(F.count(F.lit(1)).alias("n")) \
+                  .persist(StorageLevel.MEMORY_AND_DISK)
+    pos_counts: dict[int, dict[int, int]] = {}
+    for r in agg.where(F.col("t") < 0).collect():          # <= (#starts + 1) rows per column
+        pos_counts.setdefault(-1 - r["t"], {})[r["pos"]] = r["n"]
+    below = {}
+    for t, (i, _, lo, _) in enumerate(targets):
+        if lo is None:
+            below[t] = 0
+        else:
+            idx = starts[i].index(lo)
+            below[t] = sum(n for p_, n in pos_counts.get(i, {}).items() if p_ <= idx)
+    k_of = F.create_map(*[F.lit(v) for t, tg in enumerate(targets) for v in (t, tg[1] - below[t])])
+    w = Window.partitionBy("t").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    cand = agg.where(F.col("t") >= 0)
+    j = cand.select("t", "x", F.sum("n").over(w).alias("reach"), k_of[F.col("t")].alias("need"))
+    hits = {r["t"]: r["v"] for r in
+            j.where(F.col("reach") >= F.col("need") + 1).groupBy("t").agg(F.min("x").alias("v")).collect()}
+    agg.unpersist()
     out = {}
     for t, (i, k, _, _) in enumerate(targets):
-        v, below_n = hits.get(t, (None, 0))
-        out[(i, k)] = None if (v is None or below_n > k) else v
+        v = hits.get(t)
+        out[(i, k)] = None if (v is None or below[t] > k) else v
     return out
 
 
 def exact_percentiles_many(df: DataFrame, cols: dict[str, str | Column], probs: list[float],
-                           accuracy: int = DEFAULT_ACCURACY) -> dict[str, list[float | None]]:
+                           accuracy: int = DEFAULT_ACCURACY,
+                           max_single: int = MAX_SINGLE_TASK_VALUES) -> dict[str, list[float | None]]:
     """Exact ``percentile(col, probs)`` for several numeric columns in shared passes."""
     names = list(cols)
     x = df.select(*[_as_col(cols[nm]).cast("double").alias(f"c{i}") for i, nm in enumerate(names)])
+    counts = x.agg(*[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))]).first()
+    if max(counts) <= max_single:
+        row = x.agg(*[F.percentile(f"c{i}", list(probs)).alias(f"p{i}")
+                      for i in range(len(names))]).first()
+        return {nm: (list(row[f"p{i}"]) if counts[i] else [None for _ in probs])
+                for i, nm in enumerate(names)}
     margin = 3.0 / accuracy
     qprobs = []
     for p in probs:
@@ -128,12 +168,14 @@ def exact_percentiles_many(df: DataFrame, cols: dict[str, str | Column], probs:
 
 
 def exact_percentiles(df: DataFrame, col: str | Column, probs: list[float],
-                      accuracy: int = DEFAULT_ACCURACY) -> list[float | None]:
-    return exact_percentiles_many(df, {"v": col}, probs, accuracy)["v"]
+                      accuracy: int = DEFAULT_ACCURACY,
+                      max_single: int = MAX_SINGLE_TASK_VALUES) -> list[float | None]:
+    return exact_percentiles_many(df, {"v": col}, probs, accuracy, max_single)["v"]
 
 
 def kth_smallest(df: DataFrame, col: str | Column, ks: list[int],
-                 accuracy: int = DEFAULT_ACCURACY) -> dict[int, float]:
+                 accuracy: int = DEFAULT_ACCURACY,
+                 max_single: int = MAX_SINGLE_TASK_VALUES) -> dict[int, float]:
     """Exact k-th smallest non-null values (0-based ranks)."""
     x = df.select(_as_col(col).cast("double").alias("c0")).where(F.col("c0").isNotNull())
     row = x.agg(F.count("c0").alias("n")).first()
@@ -143,6 +185,13 @@ def kth_smallest(df: DataFrame, col: str | Column, ks: list[int],
         raise ValueError("rank out of range")
     if not ks:
         return {}
+    if n <= max_single:
+        # percentile_disc(p) = first value whose cumulative share reaches p;
+        # p = (k + 0.5) / n lies strictly between rank k-1 and rank k.
+        exprs = [F.expr(f"percentile_disc({(k + 0.5) / n!r}D) WITHIN GROUP (ORDER BY c0)").alias(f"k{j}")
+                 for j, k in enumerate(ks)]
+        r = x.agg(*exprs).first()
+        return {k: r[f"k{j}"] for j, k in enumerate(ks)}
     margin = 3.0 / accuracy
     probs = []
     for k in ks:
@@ -176,13 +225,14 @@ def quantile_bin(x: Column, edges: list[Column | float]) -> Column:
     return expr.otherwise(len(edges) + 1) if expr is not None else F.lit(1)
 
 
-def lex_kth(df: DataFrame, cols: list[str], k: int, accuracy: int = DEFAULT_ACCURACY) -> tuple:
+def lex_kth(df: DataFrame, cols: list[str], k: int, accuracy: int = DEFAULT_ACCURACY,
+            max_single: int = MAX_SINGLE_TASK_VALUES) -> tuple:
     """Exact k-th (0-based) row in ascending lexicographic order of numeric
     ``cols`` (each exactly representable as double), without a global sort."""
     cur = df
     out = []
     for i, c in enumerate(cols):
-        v = kth_smallest(cur, c, [k], accuracy)[k]
+        v = kth_smallest(cur, c, [k], accuracy, max_single)[k]
         out.append(v)
         if i + 1 == len(cols):
             break

@@ -13,8 +13,9 @@ def test_exact_percentiles_match_spark_percentile(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     probs = [0.0, 0.1, 0.2, 0.5, 0.8, 0.99, 1.0]
     want = df.agg(F.percentile("x", probs)).first()[0]
-    got = ranks.exact_percentiles(df, "x", probs, accuracy=100)   # coarse sketch: refinement does the work
+    got = ranks.exact_percentiles(df, "x", probs, accuracy=100, max_single=10)  # refine path, coarse sketch
     assert got == want
+    assert ranks.exact_percentiles(df, "x", probs) == want                       # single-task path
 
 
 def test_kth_and_lex_kth(spark):
@@ -22,6 +23,11 @@ def test_kth_and_lex_kth(spark):
     srt = sorted((r["a"], r["b"]) for r in df.collect())
     for k in (0, 13, 57, 99):
         assert ranks.lex_kth(df, ["a", "b"], k) == tuple(float(x) for x in srt[k])
+        assert ranks.lex_kth(df, ["a", "b"], k, max_single=5) == tuple(float(x) for x in srt[k])
+    vals = sorted(float(r["a"]) for r in df.collect())
+    ks = [0, 1, 50, 98, 99]
+    assert ranks.kth_smallest(df, "a", ks) == {k: vals[k] for k in ks}
+    assert ranks.kth_smallest(df, "a", ks, max_single=5) == {k: vals[k] for k in ks}
 
 
 def test_ordered_prefix_bucketed_equals_single(spark):
