@@ -30,7 +30,7 @@ from .sensor import type_indexer
 GBT_DEFAULTS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.01, "subsamplingRate": 0.8,
                 "featureSubsetStrategy": "0.8", "seed": 42}
 RF_DEFAULTS = {"numTrees": 100, "maxDepth": 10, "seed": 42}
-LR_DEFAULTS = {"maxIter": 100, "regParam": 0.0}
+LR_DEFAULTS = {"maxIter": 100, "regParam": 0.0, "tol": 1e-4}   # tolerance of the usual library default
 
 
 def balance_weights(df: DataFrame, label: str = "label", col: str = "weight") -> DataFrame:
@@ -104,7 +104,7 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5,
 
 def train_models(train: DataFrame, test: DataFrame, features: list[str], label: str = "label",
                  kinds=("gbt", "random_forest", "logistic_regression"), run: str = "run",
-                 params: dict | None = None):
+                 params: dict | None = None, **pipeline_kw):
     """M9: fit several pipelines, evaluate each on ``test``, keep going when one
     fails.  Returns (models dict, metrics DataFrame (run, model, seq, metric, value))."""
     spark = train.sparkSession
@@ -112,7 +112,8 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], label:
     models, rows = {}, []
     for seq, kind in enumerate(kinds):
         try:
-            pm = build_pipeline(train, features, kind, label, **(params or {}).get(kind, {})).fit(train)
+            pm = build_pipeline(train, features, kind, label, **pipeline_kw,
+                                **(params or {}).get(kind, {})).fit(train)
         except Exception as e:  # noqa: BLE001 - one failing model must not stop the loop
             rows.append((run, kind, seq, "error", None))
             print(f"model {kind} failed: {e}")
@@ -175,3 +176,19 @@ def model_info(model: PipelineModel, name: str, version: str, trained_at: str,
     return spark.createDataFrame([row], "model_type string, version string, last_trained string, "
                                         "n_features int, features array<string>, threshold double, "
                                         "metrics string")
+
+
+def save_model(model: PipelineModel, path: str, metadata: dict) -> None:
+    """The pipeline (all stages) plus a one-row JSON metadata table."""
+    spark = SparkSession.getActiveSession()
+    model.write().overwrite().save(f"{path.rstrip('/')}/model")
+    meta = dict(metadata, features=feature_names(model))
+    spark.createDataFrame([(json.dumps(meta),)], "value string") \
+         .write.mode("overwrite").text(f"{path.rstrip('/')}/metadata")
+
+
+def load_model(path: str) -> tuple[PipelineModel, dict]:
+    spark = SparkSession.getActiveSession()
+    model = PipelineModel.load(f"{path.rstrip('/')}/model")
+    meta = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()["value"])
+    return model, meta

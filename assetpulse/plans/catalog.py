@@ -22,7 +22,7 @@ from .. import config
 from ..operators import evaluate, learn, monitor, prepare, quality, sampling, scoring, sensor
 from ..sources import tables
 from ..streaming import alerts as alerts_stream
-from . import features
+from . import features, training
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -454,3 +454,20 @@ def q_stream_scores(spark, sf_dir):
 @query("stream_weekly_counts")
 def q_stream_weekly_counts(spark, sf_dir):
     return alerts_stream.stream_weekly_counts(spark, sf_dir)
+
+
+# Customer churn models (train entry): rows-only checks.
+CHURN_PARAMS = {"gbt": {"maxIter": 20}, "random_forest": {"numTrees": 20}}
+
+
+@query("churn_model_metrics")
+def q_churn_model_metrics(spark, sf_dir):
+    _, metrics, _ = training.train_churn(_tx(spark, sf_dir), params=CHURN_PARAMS)
+    return finish(metrics)
+
+
+@query("churn_model_scores")
+def q_churn_model_scores(spark, sf_dir):
+    feats = features.all_features(_tx(spark, sf_dir)).persist()
+    models, _, _ = training.train_churn(None, kinds=("logistic_regression",), feats=feats)
+    return finish(training.score_customers(models["logistic_regression"], feats))
