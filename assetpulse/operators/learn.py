@@ -159,7 +159,7 @@ def node_importance(model: PipelineModel, path: str) -> DataFrame:
     nd = nodes.select("nodeData.*") if "nodeData" in nodes.columns else nodes
     splits = nd.where(F.col("split.featureIndex") >= 0)
     names = feature_names(model)
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("split.featureIndex") + 1)
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_index") + 1)
     return (splits.groupBy(F.col("split.featureIndex").alias("feature_index"))
                   .agg(F.avg("gain").alias("gain"), F.count(F.lit(1)).alias("weight"),
                        F.avg("rawCount").alias("cover"))

@@ -471,3 +471,26 @@ def q_churn_model_scores(spark, sf_dir):
     feats = features.all_features(_tx(spark, sf_dir)).persist()
     models, _, _ = training.train_churn(None, kinds=("logistic_regression",), feats=feats)
     return finish(training.score_customers(models["logistic_regression"], feats))
+
+
+@query("feature_gain")
+def q_feature_gain(spark, sf_dir):
+    """Gain / weight / cover per feature from the saved tree-node table."""
+    from ..session import ensure_checkpoint_dir
+    import uuid
+    model, _ = _trained(spark, sf_dir)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/gbt-{uuid.uuid4().hex}"
+    return finish(learn.node_importance(model, path))
+
+
+@query("model_info")
+def q_model_info(spark, sf_dir):
+    model, _ = _trained(spark, sf_dir)
+    return learn.model_info(model, "gbt", "1", "trained in this session", 0.5,
+                            {"maxIter": GBT_QUERY_PARAMS["maxIter"]})
+
+
+@query("top_correlations")
+def q_top_correlations(spark, sf_dir):
+    """the 8 features most correlated with failure (a top-k report)."""
+    return finish(sensor.label_correlation(_sensor(spark, sf_dir)).where(F.col("rank") <= 8))

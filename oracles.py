@@ -570,3 +570,6 @@ ORACLES.update({
     + """SELECT date_trunc('week', scored_at) AS week_start, alert_level, count(*) AS n FROM alerts, wm
   WHERE date_trunc('week', scored_at) + INTERVAL 7 DAY <= w GROUP BY 1, 2""",
 })
+
+# F3 top-k report: the 8 highest-ranked rows of the label correlation.
+ORACLES["top_correlations"] = R(_label_corr_sql(), ["correlation", "abs_correlation"]) + " WHERE rank <= 8"

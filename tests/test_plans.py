@@ -40,7 +40,8 @@ def test_no_python_udf_in_query_plans(spark):
     import __spark_entry__ as E
     for name, q in E.queries().items():
         if name in {"gbt_scores", "feature_importance", "model_metrics", "stream_scores",
-                    "stream_weekly_counts"}:
+                    "stream_weekly_counts", "feature_gain", "model_info", "churn_model_metrics",
+                    "churn_model_scores"}:
             continue
         p = plan(q(spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name

@@ -45,3 +45,43 @@ def test_json_records(spark, tmp_path):
                                      '"total_transactions": 15, "days_since_last_purchase": 3}]')
     r = io.read_json_records(spark, str(tmp_path / "r.json")).first()
     assert r["customer_id"] == "12345" and r["days_since_last_purchase"] == 3
+
+
+def test_ingestion_run(spark, tmp_path):
+    from assetpulse import config as cfg
+    from assetpulse.plans import ingest
+    src = io.save_processed(tables.transactions(spark, SF_SMALL), str(tmp_path), "raw.parquet")
+    conf = {"source": {"type": "parquet", "path": src},
+            "expectations": cfg.TRANSACTION_EXPECTATIONS,
+            "preprocess": {"filters": ["quantity > 10", "bad >>> filter"],
+                           "derived_columns": {"line_value": "quantity * unit_price"},
+                           "date_parts_of": "invoice_date"},
+            "output_dir": str(tmp_path)}
+    processed, checks, audit, path = ingest.run(spark, conf)
+    n_all = tables.transactions(spark, SF_SMALL).count()
+    n_kept = tables.transactions(spark, SF_SMALL).where("quantity > 10").count()
+    assert audit == {"rows_before": n_all, "rows_after": n_kept, "rows_removed": n_all - n_kept}
+    back = spark.read.parquet(path)
+    assert back.count() == n_kept and {"line_value", "year", "day_of_week"} <= set(back.columns)
+    assert checks.where("check_name = 'required_columns' AND n = 1").count() == 1
+
+
+def test_model_save_load(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from assetpulse.operators import learn, sensor
+    r = sensor.derive(tables.readings(spark, SF_SMALL)).withColumnRenamed("machine_failure", "label")
+    feats = ["air_temp_k", "rpm", "torque_nm", "tool_wear_min"]
+    pm = learn.build_pipeline(r, feats, "logistic_regression").fit(r)
+    learn.save_model(pm, str(tmp_path / "m"), {"model_type": "logistic_regression", "threshold": 0.5})
+    m2, meta = learn.load_model(str(tmp_path / "m"))
+    assert meta["features"] == learn.feature_names(pm)
+    a = learn.score(pm, r).select("udi", "probability_1").orderBy("udi").collect()
+    b = learn.score(m2, r).select("udi", "probability_1").orderBy("udi").collect()
+    assert a == b
+    imp = learn.feature_importance(pm).collect()
+    assert abs(sum(x["importance"] for x in imp) - 1.0) < 1e-9
+    info = learn.model_info(pm, "logistic_regression", "1", "2024-01-01", 0.5).first()
+    assert info["n_features"] == len(feats) + 1
+    g = learn.build_pipeline(r, feats, "gbt", maxIter=3).fit(r)
+    nodes = learn.node_importance(g, str(tmp_path / "g")).collect()
+    assert nodes and all(x["weight"] > 0 for x in nodes)
