@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from ..functions import levels
 from ..operators import customer as cf
 from .. import config
-from ..operators import evaluate, learn, monitor, prepare, quality, sampling, scoring, sensor
+from ..operators import (evaluate, learn, monitor, neighbors, oversample, prepare, quality,
+                         sampling, scoring, sensor)
 from ..sources import tables
 from ..streaming import alerts as alerts_stream
 from . import features, training
@@ -494,3 +495,22 @@ def q_model_info(spark, sf_dir):
 def q_top_correlations(spark, sf_dir):
     """the 8 features most correlated with failure (a top-k report)."""
     return finish(sensor.label_correlation(_sensor(spark, sf_dir)).where(F.col("rank") <= 8))
+
+
+# ---------------------------------------------------------------------------
+# Exact nearest minority neighbours and SMOTE over the sensor features
+@query("minority_neighbors")
+def q_minority_neighbors(spark, sf_dir):
+    """The 5 nearest other failure readings of every failure reading
+    (all failure readings, raw features as SMOTE sees them)."""
+    m = _sensor(spark, sf_dir).where(F.col("machine_failure") == 1)
+    return finish(neighbors.nearest_neighbors(m, "udi", sensor.FEATURES, 5))
+
+
+@query("oversampled_counts")
+def q_oversampled_counts(spark, sf_dir):
+    """M4 + G3: SMOTE on the stratified train part; rows per class and origin."""
+    s = sampling.stratified_split(_sensor(spark, sf_dir), "machine_failure", "udi")
+    out = oversample.smote(s.where(F.col("part") == "train"), "machine_failure", "udi",
+                           sensor.FEATURES)
+    return out.groupBy("machine_failure", "synthetic").agg(F.count(F.lit(1)).alias("n"))

@@ -573,3 +573,26 @@ ORACLES.update({
 
 # F3 top-k report: the 8 highest-ranked rows of the label correlation.
 ORACLES["top_correlations"] = R(_label_corr_sql(), ["correlation", "abs_correlation"]) + " WHERE rank <= 8"
+
+
+# Every failure reading against every other one (fine at the oracle's
+# scale); the Spark side never forms these pairs.
+def _neighbors_sql() -> str:
+    vec = ", ".join(f"CAST({c} AS DOUBLE) AS f{j}" for j, c in enumerate(S_FEATURES))
+    d2 = " + ".join(f"(a.f{j} - b.f{j}) * (a.f{j} - b.f{j})" for j in range(len(S_FEATURES)))
+    return (_w(READINGS, SENSOR, f"m AS (SELECT udi, {vec} FROM sf WHERE machine_failure = 1)",
+               f"p AS (SELECT a.udi, b.udi AS neighbor, {d2} AS d2 FROM m a JOIN m b ON a.udi <> b.udi)",
+               "q AS (SELECT *, row_number() OVER (PARTITION BY udi ORDER BY d2, neighbor) AS rk FROM p)")
+            + "SELECT udi, CAST(rk AS INT) AS rank, neighbor, d2 FROM q WHERE rk <= 5")
+
+
+ORACLES.update({
+    "minority_neighbors": R(_neighbors_sql(), ["d2"]),
+    # M4: train rows per class (E7 counts), the minority raised to the majority
+    "oversampled_counts": _w(READINGS, """c AS (SELECT machine_failure,
+  count(*) - CAST(floor(0.2 * count(*) + 0.5) AS BIGINT) AS n FROM readings GROUP BY 1)""",
+                             "mx AS (SELECT max(n) AS m, min(n) AS lo FROM c)")
+    + """SELECT machine_failure, false AS synthetic, n FROM c
+  UNION ALL SELECT machine_failure, true AS synthetic, m - n AS n FROM c, mx
+  WHERE n = lo AND n < m AND n >= 2""",
+})
