@@ -410,12 +410,19 @@ def _ml_split(spark, sf_dir):
     return sampling.stratified_split(r, "label", "udi")
 
 
+# The notebook's feature list: the type code is a feature and goes through SMOTE.
+SMOTE_FEATURES = ML_FEATURES + ["type_encoded"]
+
+
 def _trained(spark, sf_dir, kind="gbt"):
     key = (sf_dir, kind)
     if key not in _MODELS:
-        s = _ml_split(spark, sf_dir)
-        train = s.where(F.col("part") == "train")
-        _MODELS[key] = (learn.build_pipeline(train, ML_FEATURES, kind, "label",
+        from ..session import cut_lineage
+        s = sensor.encode_type(_ml_split(spark, sf_dir))
+        # notebook path: SMOTE on the train part (always), then scaling + model
+        train = cut_lineage(oversample.smote(s.where(F.col("part") == "train"), "label", "udi",
+                                             SMOTE_FEATURES))
+        _MODELS[key] = (learn.build_pipeline(train, SMOTE_FEATURES, kind, "label", encode_type=False,
                                              **(GBT_QUERY_PARAMS if kind == "gbt" else {}))
                         .fit(train), s)
     return _MODELS[key]

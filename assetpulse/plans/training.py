@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import customer as cf
-from ..operators import evaluate, learn, sampling, scoring
+from ..operators import evaluate, learn, oversample, sampling, scoring
+from ..session import cut_lineage
 from . import features as feature_plan
 
 # With a churn target these columns are functions of the label's source
@@ -39,22 +40,27 @@ def training_frame(feats: DataFrame, target: str = "churn_30", label_family: str
 
 def train_churn(tx: DataFrame, target: str = "churn_30", kinds=("gbt", "random_forest",
                 "logistic_regression"), params: dict | None = None, run: str = "churn",
-                model_dir: str | None = None, feats: DataFrame | None = None):
+                model_dir: str | None = None, feats: DataFrame | None = None,
+                balance: str = "smote"):
     """Returns (models, metrics, best-row DataFrame).  Saves the best model when
-    ``model_dir`` is given.  ``feats`` reuses an already computed feature table."""
+    ``model_dir`` is given.  ``feats`` reuses an already computed feature table.
+    ``balance``: ``'smote'`` (the reference: oversample the train part when
+    majority / minority > 3, before scaling), ``'weights'`` (class weights, no
+    new rows) or ``'none'``."""
     if feats is None:
         feats = feature_plan.all_features(tx)
     split, cols = training_frame(feats, target)
     train = split.where(F.col("part") == "train")
     test = split.where(F.col("part") == "test")
-    # The reference oversamples when majority / minority > 3; here the
-    # imbalance is handled by class weights (no row duplication).
-    counts = {r["label"]: r["n"] for r in
-              train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     weight = None
-    if len(counts) == 2 and max(counts.values()) > 3 * min(counts.values()):
-        train = learn.balance_weights(train, "label", "weight")
-        weight = "weight"
+    if balance == "smote":
+        # checkpointed: the model loop reads it many times, never re-running the search
+        train = cut_lineage(oversample.smote(train, "label", cf.KEY, cols, min_ratio=3))
+    elif balance == "weights":
+        counts = oversample.class_counts(train, "label")
+        if len(counts) == 2 and max(counts.values()) > 3 * min(counts.values()):
+            train = learn.balance_weights(train, "label", "weight")
+            weight = "weight"
     models, metrics = learn.train_models(train, test, cols, "label", kinds, run, params,
                                          encode_type=False, weight_col=weight)
     best = evaluate.best_model(metrics)
