@@ -104,6 +104,18 @@ def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> Dat
                     F.try_divide(F.col("cum_neg"), F.col("N")).alias("fpr"))
 
 
+def pr_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
+    """M7: one precision/recall point per distinct score threshold (score >=
+    threshold is positive); the same running sums as :func:`roc_points`."""
+    g = _score_groups(df, label, score).withColumn("neg", F.col("cnt") - F.col("pos"))
+    c = ordered_prefix(g.withColumn("_ns", -F.col("s")), "_ns", ["pos", "neg"])
+    tot = g.agg(F.sum("pos").alias("P"))
+    j = c.crossJoin(F.broadcast(tot))
+    return j.select(F.col("s").alias("threshold"),
+                    F.try_divide(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
+                    F.try_divide(F.col("cum_pos"), F.col("P")).alias("recall"))
+
+
 def best_model(metrics: DataFrame, metric: str = "f1") -> DataFrame:
     """the model with the largest metric; missing values skipped; the first
     (lowest ``seq``) wins ties; no candidate -> empty result."""

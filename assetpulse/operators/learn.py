@@ -192,3 +192,26 @@ def load_model(path: str) -> tuple[PipelineModel, dict]:
     model = PipelineModel.load(f"{path.rstrip('/')}/model")
     meta = json.loads(spark.read.text(f"{path.rstrip('/')}/metadata").first()["value"])
     return model, meta
+
+
+def cross_val_scores(df: DataFrame, features: list[str], id_col: str, label: str = "label",
+                     kind: str = "logistic_regression", folds: int = 5, seed: int = 42,
+                     **pipeline_kw) -> DataFrame:
+    """M7 ``cross_val_score``: fold = pmod(xxhash64(id, seed), folds); each fold is
+    scored by a pipeline fitted on the other folds (scaling statistics
+    included).  Returns (fold, accuracy, precision, recall, f1, roc_auc)."""
+    spark = df.sparkSession
+    d = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)))
+    d = d.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = []
+    for k in range(folds):
+        train, test = d.where(F.col("_fold") != k), d.where(F.col("_fold") == k)
+        pm = build_pipeline(train, features, kind, label, **pipeline_kw).fit(train)
+        scored = score(pm, test)
+        m = evaluate.binary_metrics(scored, label, "prediction").first()
+        auc = evaluate.roc_auc(scored, label, "probability_1").first()["auc"]
+        rows.append((k, *[float(m[c]) for c in ("accuracy", "precision", "recall", "f1")],
+                     None if auc is None else float(auc)))
+    d.unpersist()
+    return spark.createDataFrame(rows, "fold int, accuracy double, precision double, recall double, "
+                                       "f1 double, roc_auc double")

@@ -521,3 +521,17 @@ def q_oversampled_counts(spark, sf_dir):
     out = oversample.smote(s.where(F.col("part") == "train"), "machine_failure", "udi",
                            sensor.FEATURES)
     return out.groupBy("machine_failure", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pr_points")
+def q_pr_points(spark, sf_dir):
+    """M7 precision_recall_curve on the rule-based failure probability."""
+    e = scoring.equipment_scores(_readings(spark, sf_dir))
+    return finish(evaluate.pr_points(e, "label", "failure_probability"))
+
+
+@query("cv_scores")
+def q_cv_scores(spark, sf_dir):
+    """M7 cross_val_score: 5-fold logistic regression on the sensor features."""
+    r = sensor.derive(_readings(spark, sf_dir)).withColumnRenamed("machine_failure", "label")
+    return finish(learn.cross_val_scores(r, ML_FEATURES, "udi", "label"))

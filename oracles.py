@@ -596,3 +596,13 @@ ORACLES.update({
   UNION ALL SELECT machine_failure, true AS synthetic, m - n AS n FROM c, mx
   WHERE n = lo AND n < m AND n >= 2""",
 })
+
+
+ORACLES["pr_points"] = R(_w(READINGS, ALERTS, """g AS (SELECT CAST(failure_probability AS DOUBLE) AS s,
+  sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos, count(*) - sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS neg
+  FROM es GROUP BY 1)""", """c AS (SELECT s,
+  sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cp,
+  sum(neg) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cn,
+  sum(pos) OVER () AS p FROM g)""") + """SELECT s AS threshold,
+  CASE WHEN cp + cn = 0 THEN NULL ELSE cp / (cp + cn) END AS precision,
+  CASE WHEN p = 0 THEN NULL ELSE cp / p END AS recall FROM c""", ["threshold", "precision", "recall"])
