@@ -45,20 +45,22 @@ def train_churn(tx: DataFrame, target: str = "churn_30", kinds=("gbt", "random_f
     """Returns (models, metrics, best-row DataFrame).  Saves the best model when
     ``model_dir`` is given.  ``feats`` reuses an already computed feature table.
     ``balance``: ``'smote'`` (the reference: oversample the train part when
-    majority / minority > 3, before scaling), ``'weights'`` (class weights, no
-    new rows) or ``'none'``."""
+    count(class 0) / count(class 1) > 3, before scaling), ``'weights'`` (class
+    weights, no new rows) or ``'none'``."""
     if feats is None:
         feats = feature_plan.all_features(tx)
     split, cols = training_frame(feats, target)
     train = split.where(F.col("part") == "train")
     test = split.where(F.col("part") == "test")
     weight = None
-    if balance == "smote":
-        # checkpointed: the model loop reads it many times, never re-running the search
-        train = cut_lineage(oversample.smote(train, "label", cf.KEY, cols, min_ratio=3))
-    elif balance == "weights":
-        counts = oversample.class_counts(train, "label")
-        if len(counts) == 2 and max(counts.values()) > 3 * min(counts.values()):
+    counts = oversample.class_counts(train, "label")
+    n0, n1 = counts.get(0, 0), counts.get(1, 0)
+    # the reference's gate: class 0 over class 1 above 3 (V21: an empty class -> no balancing)
+    if n0 and n1 and n0 / n1 > 3:
+        if balance == "smote":
+            # checkpointed: the model loop reads it many times, never re-running the search
+            train = cut_lineage(oversample.smote(train, "label", cf.KEY, cols))
+        elif balance == "weights":
             train = learn.balance_weights(train, "label", "weight")
             weight = "weight"
     models, metrics = learn.train_models(train, test, cols, "label", kinds, run, params,
