@@ -41,7 +41,7 @@ def test_no_python_udf_in_query_plans(spark):
     for name, q in E.queries().items():
         if name in {"gbt_scores", "feature_importance", "model_metrics", "stream_scores",
                     "stream_weekly_counts", "feature_gain", "model_info", "churn_model_metrics",
-                    "churn_model_scores"}:
+                    "churn_model_scores", "cv_scores"}:
             continue
         p = plan(q(spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
