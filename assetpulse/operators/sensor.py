@@ -147,3 +147,17 @@ def correlation_matrix(df: DataFrame, columns=None) -> DataFrame:
         if a != b:
             parts.append(f"'{b}', '{a}', c_{i}")
     return row.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) AS (feature_a, feature_b, correlation)")
+
+
+def head(df: DataFrame, order_cols: list[str], n: int = 5) -> DataFrame:
+    """F4 preview: the first ``n`` rows in the order of ``order_cols`` (a top-k:
+    each partition keeps ``n`` rows, no global sort)."""
+    return df.orderBy(*order_cols).limit(n)
+
+
+def column_types(df: DataFrame) -> DataFrame:
+    """F4 dtypes / columns: one row per column (name, Spark type, nullable),
+    read from the schema (metadata, no data pass)."""
+    rows = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(
+        rows, "position int, column string, data_type string, nullable boolean")

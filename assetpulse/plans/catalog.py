@@ -535,3 +535,9 @@ def q_cv_scores(spark, sf_dir):
     """M7 cross_val_score: 5-fold logistic regression on the sensor features."""
     r = sensor.derive(_readings(spark, sf_dir)).withColumnRenamed("machine_failure", "label")
     return finish(learn.cross_val_scores(r, ML_FEATURES, "udi", "label"))
+
+
+@query("readings_head")
+def q_readings_head(spark, sf_dir):
+    """the first five readings (by udi), the notebook's ``head()``."""
+    return finish(sensor.head(_readings(spark, sf_dir), ["udi"], 5))

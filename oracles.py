@@ -606,3 +606,6 @@ ORACLES["pr_points"] = R(_w(READINGS, ALERTS, """g AS (SELECT CAST(failure_proba
   sum(pos) OVER () AS p FROM g)""") + """SELECT s AS threshold,
   CASE WHEN cp + cn = 0 THEN NULL ELSE cp / (cp + cn) END AS precision,
   CASE WHEN p = 0 THEN NULL ELSE cp / p END AS recall FROM c""", ["threshold", "precision", "recall"])
+
+ORACLES["readings_head"] = R(_w(READINGS) + "SELECT * FROM readings ORDER BY udi LIMIT 5",
+                            ["air_temp_k", "process_temp_k", "torque_nm"])
