@@ -24,11 +24,23 @@ def work_path(spark: SparkSession, label: str) -> str:
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back (cuts the lineage, survives executor loss)."""
+    bound_batches(df.sparkSession)
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most 8 MB, whatever their rows, unless the session was given another size.
+
+    The default of 64 MB, on each side of the pipe and for every running task,
+    is much for a small executor when rows are whole texts.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b" and not spark.sparkContext.getConf().contains(key):
+        spark.conf.set(key, "8m")
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m`` (null ids: of the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m
@@ -109,6 +121,7 @@ class Shared:
     """An object that each Python worker process builds once, from plain broadcast values of bounded size."""
 
     def __init__(self, spark: SparkSession, make, *args):
+        bound_batches(spark)
         self.box, self.make = spark.sparkContext.broadcast({"args": args}), make
 
     @property

@@ -31,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import sorted_groups, staged, text_slices
+from .common import bound_batches, sorted_groups, staged, text_slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
 WHITE = b" \t\n\x0b\x0c\r"
@@ -53,10 +52,9 @@ def line_keys(text: str, min_chars: int) -> list[tuple[int, bytes]]:
     return out
 
 
-def text_id(text: str) -> int:
+def text_id(text: Column) -> Column:
     """64 bits that tell apart texts given under one doc_id."""
-    import xxhash
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -66,23 +64,24 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     up to the byte of the last dropped one; later lines stay.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
         for part, texts in text_slices(batches):
             h, d, x, p = [], [], [], []
-            for doc, text in zip(part.column("doc_id").to_pylist(), texts):
+            for doc, txt, text in zip(part.column("doc_id").to_pylist(), part.column("txt").to_pylist(), texts):
                 keys = line_keys(text, min_chars)
                 if keys:
                     h += [xxhash.xxh3_128_digest(k) for _, k in keys]
                     p += [i for i, _ in keys]
                     d += [_NO_ID if doc is None else doc] * len(keys)
-                    x += [text_id(text)] * len(keys)
+                    x += [txt] * len(keys)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(h, pa.binary()), pa.array(d, pa.int64()), pa.array(x, pa.int64()), pa.array(p, pa.int64())],
                 ["h", "doc", "txt", "pos"])
 
-    lines = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    lines = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_id(F.col("text")).alias("txt"), "text")
              .mapInArrow(hashes, "h binary, doc long, txt long, pos long"))
     dealt = lines.repartitionByRange(_parts(spark), "h", F.desc("doc")).sortWithinPartitions("h", F.desc("doc"), "pos")
 
@@ -160,12 +159,7 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Rec
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with one more column ``_kept``: the bitmap of its row, null if all lines stay."""
-    def ident(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slices(batches, "_text"):
-            yield part.append_column("_txt", pa.array([text_id(t) for t in texts], pa.int64()))
-
-    d = docs.withColumn("_text", F.col("text").cast("string"))
-    with_id = d.mapInArrow(ident, T.StructType([*d.schema.fields, T.StructField("_txt", T.LongType())])).drop("_text")
+    with_id = docs.withColumn("_txt", text_id(F.col("text")))
     b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_id"), F.col("bitmap").alias("_kept"))
     return (with_id.join(b, with_id["doc_id"].cast("long").eqNullSafe(b["_doc"]) & (with_id["_txt"] == b["_id"]), "left")
             .drop("_doc", "_id", "_txt"))
@@ -219,7 +213,9 @@ OP5_SQL = r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d),
 k AS (SELECT doc_id, pos, line,
-             translate(regexp_replace(line, '^[ 	-]+|[ 	-]+$', '', 'g'),
+             translate(regexp_replace(line, '^[ 	-
+]+|[ 	-
+]+$', '', 'g'),
                        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
 c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20
       GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
