@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, min_labels, ragged, sorted_groups, staged, text_slices
+from .common import Shared, min_labels, mix, ragged, sorted_groups, staged, text_slices
 from .components import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)  # links: intersection / union >= 4 / 5, in integers
@@ -53,13 +53,6 @@ WORD = re.compile(r"\w+")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def runs_needed(similarity: float = 0.8, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
     """Runs until a pair at ``similarity`` has met at ``depth`` with probability ``target``."""
     lost = 0.0

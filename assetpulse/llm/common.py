@@ -130,3 +130,63 @@ class Shared:
         if "made" not in box:
             box["made"] = self.make(*box.pop("args"))
         return box["made"]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def white(*codes: int) -> np.ndarray:
+    """A table of byte values that part words."""
+    out = np.zeros(256, dtype=bool)
+    out[list(codes)] = True
+    return out
+
+
+def word_hashes(raw: bytes, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and 64-bit hashes of the words of ``raw``, eight bytes at a time for all words at once."""
+    inside = np.zeros(len(raw) + 2, dtype=np.int8)
+    inside[1:-1] = ~parts[np.frombuffer(raw, dtype=np.uint8)]
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = end - start
+    eight = np.ndarray((len(raw) + 1,), dtype="<u8", buffer=raw + bytes(8), strides=(1,))
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    live, at = np.arange(len(start)), 0
+    while len(live):
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        bits = eight[start[live] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        h[live] = mix(h[live] * np.uint64(0xD6E8FEB86659FD93) + bits)
+        at += 8
+        live = live[size[live] > at]
+    return start, size, h
+
+
+class WordNumbers:
+    """Numbers for the words met so far, told apart by their 64-bit hashes, which are kept sorted."""
+
+    def __init__(self):
+        self.hashes, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def __call__(self, raw: bytes, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Where each word of ``raw`` starts, its number, and the words that are new, in the order of their numbers."""
+        start, size, h = word_hashes(raw, parts)
+        seen, first, where = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, seen)
+        old = np.zeros(len(seen), dtype=bool)
+        inside = at < len(self.hashes)
+        old[inside] = self.hashes[at[inside]] == seen[inside]
+        number = np.empty(len(seen), dtype=np.int64)
+        number[old] = self.numbers[at[old]]
+        new = np.flatnonzero(~old)
+        number[new] = np.arange(len(self), len(self) + len(new))
+        self.hashes = np.insert(self.hashes, at[new], seen[new])
+        self.numbers = np.insert(self.numbers, at[new], number[new])
+        lo = start[first[new]]
+        return start, number[where], [raw[a:z] for a, z in zip(lo.tolist(), (lo + size[first[new]]).tolist())]

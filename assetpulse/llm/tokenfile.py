@@ -27,6 +27,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,80 +35,96 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, ragged, text_slices, work_path
+from .common import Shared, WordNumbers, ragged, text_slices, white, work_path
 
 BLOCK, PERCENTILE, END_ID = 128, 90, 2
 SEGMENT_IDS = 1 << 19
 MAGIC = b"PFR1"
+#: ASCII signs; a run of them after a letter is a pre-token of its own.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordEncoder:
     """ids of texts by a tokenizer that never looks across spaces; remembers a bounded number of words.
 
     The tokenizer's normaliser and split work within words between spaces and
-    line feeds, so the ids of a text are those of its words in turn.
+    line feeds, so the ids of a text are those of its words in turn.  A word
+    is encoded once; its signs at the end are a pre-token of their own, and so
+    encoded apart.  Runs of plain letters go straight to the library's BPE
+    model, lower-cased; anything else through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer_json: str, limit: int = 400_000):
-        self.json, self.limit = tokenizer_json, limit
+    PARTS = white(10, 32)
+
+    def __init__(self, tokenizer_json: str, limit: int = 1_000_000):
+        import os
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+        self.tok = Tokenizer.from_str(tokenizer_json)
+        self.model, self.limit = self.tok.model, limit
+        # byte-level letters: printable bytes stand for themselves, the others for code points from 256
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [i for i in range(256) if i not in set(plain)]
+        self.byte_level = {**{i: chr(i) for i in plain}, **{i: chr(256 + k) for k, i in enumerate(rest)}}
         self._reset()
-        self._tok = None
 
     def _reset(self):
-        self.index: dict[str, int] = {"": 0}
+        self.numbers = WordNumbers()
+        self.pieces: dict[str, tuple] = {}
         self.start = np.zeros(1 << 16, dtype=np.int64)
         self.count = np.zeros(1 << 16, dtype=np.int64)
         self.flat = np.zeros(1 << 18, dtype=np.uint32)
         self.used = 0
 
-    def _encode(self, words: list[str]) -> list[list[int]]:
-        if self._tok is None:
-            import os
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            from tokenizers import Tokenizer
-            self._tok = Tokenizer.from_str(self.json)
-        return [e.ids for e in self._tok.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, fresh: list[str]) -> None:
-        # "word," is "word" and ",": a run of letters ends before a sign
-        cut = {w: (w[:-1], w[-1]) for w in fresh if w[-1] in ".,!?" and len(w) > 1 and w[-2].isalpha()}
-        known, flat, start, count = self.index, self.flat, self.start, self.count
-        need = list({p for pair in cut.values() for p in pair if p not in known} | {w for w in fresh if w not in cut})
-        ids = dict(zip(need, self._encode(need)))
-
-        def old(w):
-            i = known[w]
-            return flat[start[i]:start[i] + count[i]].tolist()
-
-        for w, (a, b) in cut.items():
-            ids[w] = (ids[a] if a in ids else old(a)) + (ids[b] if b in ids else old(b))
-        size = np.fromiter(map(len, ids.values()), np.int64, len(ids))
-        total, base = int(size.sum()), len(known)
+    def _whole(self, text: str) -> tuple:
+        ids = self.pieces.get(text)
+        if ids is None:
+            ids = self.pieces[text] = tuple(self.tok.encode(text, add_special_tokens=False).ids)
+        return ids
+
+    def _word(self, w: str) -> tuple:
+        stem = w.rstrip(SIGNS)
+        if not stem or not stem[-1].isalpha():
+            return self._whole(w)
+        # letters below U+0250 but for the dotted capital I: no marks (NFC as they are), lower case letter by letter
+        plain = stem.isascii() or max(stem) < "\u0250" and "\u0130" not in stem
+        key = stem.lower() if plain else stem
+        ids = self.pieces.get(key)
+        if ids is None:
+            if plain and key.isalpha():
+                letters = key if key.isascii() else key.encode().decode("latin-1").translate(self.byte_level)
+                ids = self.pieces[key] = tuple([t.id for t in self.model.tokenize(letters)])
+            else:
+                ids = self._whole(key)
+        return ids + self._whole(w[len(stem):]) if len(stem) < len(w) else ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.pieces) > self.limit // 4:
+            self.pieces.clear()
+        word = self._word
+        ids = [word(raw.decode("utf-8", "surrogatepass")) for raw in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        total, base = int(size.sum()), len(self.numbers) - len(words)
         while len(self.flat) < self.used + total:
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         while len(self.start) < base + len(ids):
             self.start, self.count = (np.append(x, np.zeros_like(x)) for x in (self.start, self.count))
-        self.flat[self.used:self.used + total] = np.fromiter((i for x in ids.values() for i in x), np.uint32, total)
+        self.flat[self.used:self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.start[base:base + len(ids)] = self.used + np.cumsum(size) - size
         self.count[base:base + len(ids)] = size
-        known.update(zip(ids, range(base, base + len(ids))))
         self.used += total
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other with END_ID after each, and the ids of each text."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = [w for x in words for w in x]
-        fresh = set(flat).difference(self.index)
-        if len(self.index) + len(fresh) > self.limit:
+        if len(self.numbers) > self.limit:
             self._reset()
-            fresh = set(flat) - {""}
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        start, at, fresh = self.numbers(b"\n".join(raw), self.PARTS)
         if fresh:
-            self._learn(list(fresh))
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+            self._learn(fresh)
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
         counts = self.count[at]
-        before = np.append(0, np.cumsum(counts))
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        sizes = np.diff(np.append(0, before[ends]))
+        sizes = np.bincount(np.searchsorted(ends, start, side="right"), counts, len(raw)).astype(np.int64)
         ids = self.flat[ragged(self.start[at], counts)]
         return np.insert(ids, np.cumsum(sizes), END_ID), sizes + 1
 
