@@ -139,29 +139,43 @@ def pieces(parts: DataFrame, code, size: int = CHUNK, overlap: int = OVERLAP) ->
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "text"))), lambda c: c["text"]), "").alias("text")))
 
 
-def encode(docs: DataFrame, made: Codec | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, ids): the token ids of each row's whole text, as little-endian unsigned 32-bit integers."""
+ENCODED = "doc_id long, ids binary"
+
+
+def encode(docs: DataFrame, made: Codec | None = None, size: int = CHUNK, overlap: int = OVERLAP,
+           finish=None, schema: str = ENCODED) -> DataFrame:
+    """(doc_id, ids): the token ids of each row's whole text, as little-endian unsigned 32-bit integers.
+
+    ``finish`` (codec, batch of doc_id and ids) -> batch of ``schema`` runs in
+    the same worker, so that the ids need not leave it.
+    """
     code = _sent(docs, made)
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ids_of(texts: list[str]) -> pa.Array:
+        return pa.array([np.array(code.value.encode(t), dtype="<u4").tobytes() for t in texts], pa.binary())
+
+    def done(doc: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([doc, ids], ["doc_id", "ids"])
+        return batch if finish is None else finish(code.value, batch)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            ids = [np.array(code.value.encode(t), dtype="<u4").tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [*[part.column(c) for c in part.schema.names if c != "text"], pa.array(ids, pa.binary())],
-                [*[c for c in part.schema.names if c != "text"], "ids"])
+            yield done(part.column("doc_id"), ids_of(texts))
 
-    short = _rows(docs).where(F.length("text") <= size).mapInArrow(kernel, "doc_id long, ids binary")
-    cut = pieces(chunks(docs, size, overlap), code, size, overlap).repartition("row", "piece")
-    long = (cut.mapInArrow(kernel, "row string, doc_id long, piece long, ids binary").groupBy("row", "doc_id")
-            .agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")))  # one document's pieces
+    def one_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_slices(batches):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row", "doc_id", "piece")), ids_of(texts)],
+                                             ["row", "doc_id", "piece", "ids"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([b"".join(x["ids"] for x in p) for p in b.column("p").to_pylist()], pa.binary())],
-                ["doc_id", "ids"])
+            yield done(b.column("doc_id"), pa.array([b"".join(x["ids"] for x in p) for p in b.column("p").to_pylist()], pa.binary()))
 
-    return short.unionByName(long.select("doc_id", "p").mapInArrow(join, "doc_id long, ids binary"))
+    short = _rows(docs).where(F.length("text") <= size).mapInArrow(whole, schema)
+    cut = pieces(chunks(docs, size, overlap), code, size, overlap).repartition("row", "piece")
+    long = (cut.mapInArrow(one_piece, "row string, doc_id long, piece long, ids binary").groupBy("row", "doc_id")
+            .agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")))  # one document's pieces
+    return short.unionByName(long.select("doc_id", "p").mapInArrow(join, schema))
 
 
 def decode(encoded: DataFrame, made: Codec | None = None) -> DataFrame:
@@ -178,22 +192,20 @@ def decode(encoded: DataFrame, made: Codec | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(kernel, "doc_id long, bytes binary")
 
 
-def round_trip(docs: DataFrame, made: Codec | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass over them."""
-    code = _sent(docs, made)
+def _digests(code: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
+    n, ids_sha, raw_sha = [], [], []
+    for x in batch.column("ids"):
+        ids = np.frombuffer(x.as_py(), "<u4").tolist()
+        n.append(len(ids))
+        ids_sha.append(hashlib.sha256(code.digits(ids)).hexdigest())
+        raw_sha.append(hashlib.sha256(code.decode(ids)).hexdigest())
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(raw_sha)],
+                                      ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n, ids_sha, raw_sha = [], [], []
-            for x in b.column("ids"):
-                ids = np.frombuffer(x.as_py(), "<u4").tolist()
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(code.value.digits(ids)).hexdigest())
-                raw_sha.append(hashlib.sha256(code.value.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(raw_sha)],
-                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encode(docs, made).mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def round_trip(docs: DataFrame, made: Codec | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one worker."""
+    return encode(docs, made, finish=_digests, schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:

@@ -65,7 +65,7 @@ def runs_needed(similarity: float = 0.8, depth: int = DEPTH, target: float = TAR
 class Shingler:
     """Shingle sets of texts; remembers word hashes for a bounded number of words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         self.limit, self.known = limit, {}
         rng = np.random.default_rng(2024)
         self.a = rng.integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from assetpulse.session import ensure_checkpoint_dir
 
 #: Text handed to a Python kernel at once; bounds its token lists.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def work_path(spark: SparkSession, label: str) -> str:
@@ -69,6 +69,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text",
             part = batch.slice(lo, hi - lo)
             yield part, [t or "" for t in part.column(column).to_pylist()]
             lo = hi
+    pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
 
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -83,7 +83,7 @@ def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 class Emitter:
     """Word scores for a weight table, remembered for a bounded number of words."""
 
-    def __init__(self, weights: np.ndarray, limit: int = 200_000):
+    def __init__(self, weights: np.ndarray, limit: int = 100_000):
         self.weights, self.limit = weights, limit
         self.index: dict[str, int] = {}
         self.rows = np.zeros((1024, weights.shape[1]))

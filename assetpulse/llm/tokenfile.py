@@ -242,7 +242,7 @@ def write(docs: DataFrame, path: str, tokenizer_json: str) -> None:
             raw = write_segment(doc_ids, np.concatenate(sizes), all_ids)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "base": [base], "n_ids": [len(all_ids)], "segment": [raw]})
 
-        for rows, texts in text_slices(batches):
+        for rows, texts in text_slices(batches, limit=1 << 21):
             x, n = enc.value(texts)
             doc_ids += rows.column("doc_id").to_pylist()
             sizes.append(n)
