@@ -280,14 +280,11 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], sp
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("label", pa.string())]))
-#: A text is rejected as ``und``, or if no language has this share of its words' probability.
-MIN_SHARE = 0.3
-
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told; learns from the rows that have a language."""
+    """``docs`` without the rows whose language can't be told (``und``); learns from the rows that have a language."""
     found = predict(docs, train(docs), through=docs.columns)
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= MIN_SHARE)).drop("_lang_pred", "_score")
+    return found.where(F.col("_lang_pred") != "und").drop("_lang_pred", "_score")
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
