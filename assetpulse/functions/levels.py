@@ -57,6 +57,11 @@ def _t(thresholds: dict | None, key: str) -> float:
     return float(t[key])
 
 
+def _number(c: Column) -> Column:
+    """NaN fails every ``>=`` in the rules, as a null does (Spark orders NaN above all numbers)."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+
+
 def rfm_segment(score: Column) -> Column:
     expr = None
     for bound, name in RFM_SEGMENTS:
@@ -66,6 +71,7 @@ def rfm_segment(score: Column) -> Column:
 
 def risk_level(p: Column, thresholds: dict | None = None) -> Column:
     """high / medium / low on a churn probability."""
+    p = _number(p)
     return (F.when(p >= _t(thresholds, "churn_high"), "high")
              .when(p >= _t(thresholds, "churn_medium"), "medium")
              .otherwise("low"))
@@ -76,6 +82,7 @@ def health_score(p: Column) -> Column:
 
 
 def health_status(h: Column, thresholds: dict | None = None) -> Column:
+    h = _number(h)
     return (F.when(h >= _t(thresholds, "health_excellent"), "excellent")
              .when(h >= _t(thresholds, "health_good"), "good")
              .when(h >= _t(thresholds, "health_fair"), "fair")
@@ -83,14 +90,14 @@ def health_status(h: Column, thresholds: dict | None = None) -> Column:
 
 
 def alert_level(p: Column) -> Column:
-    expr = None
+    expr, p = None, _number(p)
     for bound, level, _ in ALERT_BANDS:
         expr = F.when(p >= bound, level) if expr is None else expr.when(p >= bound, level)
     return expr.otherwise(ALERT_ELSE[0])
 
 
 def recommended_action(p: Column) -> Column:
-    expr = None
+    expr, p = None, _number(p)
     for bound, _, action in ALERT_BANDS:
         expr = F.when(p >= bound, action) if expr is None else expr.when(p >= bound, action)
     return expr.otherwise(ALERT_ELSE[1])
@@ -145,7 +152,7 @@ def failure_name(code: Column) -> Column:
 def predict_label(p: Column, threshold: Column | float = 0.5) -> Column:
     """0/1 prediction: ``p >= threshold``; a per-row threshold column wins."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return (p >= t).cast("int")
+    return F.coalesce(_number(p) >= t, F.lit(False)).cast("int")
 
 
 def check_threshold(t: float) -> float:

@@ -79,7 +79,14 @@ def churn_columns(days: Column) -> list[Column]:
 def churn_indicators(tx: DataFrame) -> DataFrame:
     tx = clean(tx)
     last = tx.groupBy(KEY).agg(F.max("invoice_date").alias("last_purchase"))
-    j = with_latest(last, latest_date(tx, "ref_date"))
+    return churn_from_last(last)
+
+
+def churn_from_last(last: DataFrame) -> DataFrame:
+    """Churn columns from (customer, last purchase); the reference date is the
+    maximum over the customers, a one-row window over the aggregated rows'
+    maximum, so the invoice lines are read once."""
+    j = with_latest(last, last.agg(F.max("last_purchase").alias("ref_date")))
     return j.select(KEY, *churn_columns(days_between(F.col("last_purchase"), F.col("ref_date"))))
 
 
@@ -91,7 +98,7 @@ def rfm_base(tx: DataFrame) -> DataFrame:
     g = tx.groupBy(KEY).agg(F.max("invoice_date").alias("_last"),
                             F.count(F.lit(1)).alias("frequency"),
                             F.sum("amount").alias("monetary"))
-    ref = tx.agg((F.max("invoice_date") + F.expr("INTERVAL 1 DAY")).alias("_ref"))
+    ref = g.agg((F.max("_last") + F.expr("INTERVAL 1 DAY")).alias("_ref"))
     return (with_latest(g, ref)
             .select(KEY, days_between(F.col("_last"), F.col("_ref")).alias("recency"),
                     "frequency", "monetary"))
@@ -262,7 +269,7 @@ def clv_features(tx: DataFrame) -> DataFrame:
                             F.min("invoice_date").alias("first_purchase_date"),
                             F.max("invoice_date").alias("last_purchase_date"),
                             F.count("invoice_date").alias("total_days_active"))
-    return _clv_finish(with_latest(g, latest_date(tx, "_ref")))
+    return _clv_finish(with_latest(g, g.agg(F.max("last_purchase_date").alias("_ref"))))
 
 
 def _clv_finish(j: DataFrame, extra: list | None = None) -> DataFrame:

@@ -23,14 +23,25 @@ def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "pre
     return df.groupBy(label, prediction).agg(F.count(F.lit(1)).alias("n"))
 
 
-def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Accuracy, precision, recall, F1 of class 1 (one row)."""
+def score_groups(df: DataFrame, label: str = "label", score: str = "score",
+                 prediction: str = "prediction") -> DataFrame:
+    """(label, score, prediction, n): scored rows grouped once, for several metrics over the small table."""
+    return df.groupBy(label, score, prediction).agg(F.count(F.lit(1)).alias("n"))
+
+
+def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction",
+                   weight: str | None = None) -> DataFrame:
+    """Accuracy, precision, recall, F1 of class 1 (one row).  ``weight``
+    names a column with the number of rows that each row stands for."""
     y, p = F.col(label), F.col(prediction)
-    c = df.agg(F.count(F.lit(1)).alias("n"),
-               F.count(F.when((y == 1) & (p == 1), 1)).alias("tp"),
-               F.count(F.when((y == 0) & (p == 1), 1)).alias("fp"),
-               F.count(F.when((y == 1) & (p == 0), 1)).alias("fn"),
-               F.count(F.when((y == 0) & (p == 0), 1)).alias("tn"))
+    w = F.lit(1).cast("long") if weight is None else F.col(weight)
+
+    def rows(cond):
+        return F.coalesce(F.sum(F.when(cond, w)), F.lit(0).cast("long"))
+
+    c = df.agg(rows(F.lit(True)).alias("n"), rows((y == 1) & (p == 1)).alias("tp"),
+               rows((y == 0) & (p == 1)).alias("fp"), rows((y == 1) & (p == 0)).alias("fn"),
+               rows((y == 0) & (p == 0)).alias("tn"))
     prec = _div0(F.col("tp"), F.col("tp") + F.col("fp"))
     rec = _div0(F.col("tp"), F.col("tp") + F.col("fn"))
     return c.select(_div0(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
@@ -43,14 +54,15 @@ def classification_report(df: DataFrame, label: str = "label",
                           prediction: str = "prediction") -> DataFrame:
     """Per-class precision / recall / F1 / support plus macro and weighted averages."""
     cm = confusion_matrix(df, label, prediction)
-    classes = cm.select(F.col(label).alias("cls")).union(cm.select(F.col(prediction).alias("cls"))) \
-                .distinct()
-    per = (classes.join(cm, (F.col(label) == F.col("cls")) | (F.col(prediction) == F.col("cls")), "left")
-                  .groupBy("cls")
-                  .agg(F.sum(F.when((F.col(label) == F.col("cls")) & (F.col(prediction) == F.col("cls")),
-                                    F.col("n")).otherwise(0)).alias("tp"),
-                       F.sum(F.when(F.col(prediction) == F.col("cls"), F.col("n")).otherwise(0)).alias("pp"),
-                       F.sum(F.when(F.col(label) == F.col("cls"), F.col("n")).otherwise(0)).alias("support")))
+    # each confusion cell counts for its label's and its prediction's class: no join needed
+    cells = cm.select(label, prediction, "n", F.explode(F.array(
+        F.struct(F.col(label).alias("cls"), F.lit(True).alias("own")),
+        F.struct(F.col(prediction).alias("cls"), F.lit(False).alias("own")))).alias("c")).select("*", "c.cls", "c.own")
+    hit = F.col("own") & (F.col(label) == F.col(prediction))
+    per = cells.groupBy("cls").agg(
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("tp"),
+        F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).alias("pp"),
+        F.sum(F.when(F.col("own"), F.col("n")).otherwise(0)).alias("support"))
     prec = _div0(F.col("tp"), F.col("pp"))
     rec = _div0(F.col("tp"), F.col("support"))
     per = per.select(F.col("cls").cast("string").alias("class_name"), prec.alias("precision"),
@@ -70,18 +82,19 @@ def classification_report(df: DataFrame, label: str = "label",
     return per.unionByName(avg).unionByName(wavg)
 
 
-def _score_groups(df: DataFrame, label: str, score: str) -> DataFrame:
+def _score_groups(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
+    w = F.lit(1) if weight is None else F.col(weight)
     return (df.where(F.col(score).isNotNull())
               .groupBy(F.col(score).cast("double").alias("s"))
-              .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("long").alias("pos"),
-                   F.count(F.lit(1)).alias("cnt")))
+              .agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("long").alias("pos"),
+                   F.sum(w).cast("long").alias("cnt")))
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score",
-            max_single: int | None = None) -> DataFrame:
+            max_single: int | None = None, weight: str | None = None) -> DataFrame:
     """ROC AUC by the rank-sum statistic with tied scores sharing the
     mean rank (equals the trapezoidal ROC area).  One row: auc, n_pos, n_neg."""
-    g = _score_groups(df, label, score)
+    g = _score_groups(df, label, score, weight)
     kw = {} if max_single is None else {"max_single": max_single}
     c = ordered_prefix(g, "s", ["cnt"], **kw)
     mean_rank = F.col("cum_cnt") - (F.col("cnt") - 1) / F.lit(2.0)
@@ -119,6 +132,8 @@ def pr_points(df: DataFrame, label: str = "label", score: str = "score") -> Data
 def best_model(metrics: DataFrame, metric: str = "f1") -> DataFrame:
     """the model with the largest metric; missing values skipped; the first
     (lowest ``seq``) wins ties; no candidate -> empty result."""
+    if "part" in metrics.columns:
+        metrics = metrics.where("part = 'test'")
     return (metrics.where((F.col("metric") == metric) & F.col("value").isNotNull())
                    .orderBy(F.desc("value"), "seq").limit(1)
                    .select("model", F.col("value").alias(metric)))

@@ -21,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import evaluate, sampling
+from . import evaluate, prepare, sampling
 from .sensor import type_indexer
 
 # Gradient-boosted trees: the reference's booster settings mapped to Spark ML
@@ -89,11 +89,17 @@ def feature_names(model: PipelineModel) -> list[str]:
     return []
 
 
+def raw_features(model: PipelineModel) -> list[str]:
+    """The numeric columns that the pipeline reads: the scaler's, which name its outputs ``<column>_z``."""
+    return [f[:-2] for f in feature_names(model) if f.endswith("_z")]
+
+
 def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5,
           prob_col: str = "probability_1") -> DataFrame:
-    """Class-1 probability (or the prediction when the model has
-    no probabilities), thresholded prediction."""
-    out = model.transform(df)
+    """Class-1 probability (or the prediction when the model
+    has no probabilities), thresholded prediction.  Trained columns that the
+    table lacks are 0."""
+    out = model.transform(prepare.add_missing_features(df, raw_features(model)))
     if "probability" in out.columns:
         p = vector_to_array(F.col("probability"))[1]
     else:
@@ -106,7 +112,9 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], label:
                  kinds=("gbt", "random_forest", "logistic_regression"), run: str = "run",
                  params: dict | None = None, **pipeline_kw):
     """M9: fit several pipelines, evaluate each on ``test``, keep going when one
-    fails.  Returns (models dict, metrics DataFrame (run, model, seq, metric, value))."""
+    fails.  Returns (models dict, metrics DataFrame (run, model, seq, part, metric,
+    value, reason)): metrics of the train and the test side; a failed model has one
+    row with the reason."""
     spark = train.sparkSession
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     models, rows = {}, []
@@ -115,17 +123,21 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], label:
             pm = build_pipeline(train, features, kind, label, **pipeline_kw,
                                 **(params or {}).get(kind, {})).fit(train)
         except Exception as e:  # noqa: BLE001 - one failing model must not stop the loop
-            rows.append((run, kind, seq, "error", None))
-            print(f"model {kind} failed: {e}")
+            rows.append((run, kind, seq, "train", "error", None, f"{type(e).__name__}: {e}"[:1000]))
             continue
         models[kind] = pm
-        scored = score(pm, test)
-        m = evaluate.binary_metrics(scored, label, "prediction").first()
-        auc = evaluate.roc_auc(scored, label, "probability_1").first()["auc"]
-        for name in ("accuracy", "precision", "recall", "f1"):
-            rows.append((run, kind, seq, name, float(m[name])))
-        rows.append((run, kind, seq, "roc_auc", None if auc is None else float(auc)))
-    metrics = spark.createDataFrame(rows, "run string, model string, seq int, metric string, value double")
+        for part, data in (("train", train), ("test", test)):
+            # grouped by (label, score) once: every metric comes from that small table
+            g = evaluate.score_groups(score(pm, data), label, "probability_1", "prediction").persist()
+            m = evaluate.binary_metrics(g, label, "prediction", weight="n").first()
+            auc = evaluate.roc_auc(g, label, "probability_1", weight="n").first()["auc"]
+            g.unpersist()
+            for name in ("accuracy", "precision", "recall", "f1"):
+                rows.append((run, kind, seq, part, name, float(m[name]), None))
+            rows.append((run, kind, seq, part, "roc_auc", None if auc is None else float(auc), None))
+    train.unpersist()
+    metrics = spark.createDataFrame(rows, "run string, model string, seq int, part string, metric string, "
+                                          "value double, reason string")
     return models, metrics
 
 

@@ -107,19 +107,24 @@ def feature_drift(baseline: DataFrame, current: DataFrame, features: list[str],
     """Population stability index per feature on baseline deciles.
 
     Edges: exact baseline deciles (rounded to 6 decimals); bin = number of
-    edges below the value; shares floored at ``floor``;
+    edges below the value; nulls and NaN are left out of both periods (missing
+    values are a data-quality counter, not a shift of the values); shares
+    floored at ``floor``; a feature without baseline values has no row;
     psi = sum((cur - base) * ln(cur / base)); alert 'Warning' from ``warn``.
     """
     edges = exact_percentiles_many(baseline, {f: f for f in features},
                                    [i / 10 for i in range(1, 10)], accuracy)
     spark = baseline.sparkSession
+    features = [f for f in features if None not in edges[f]]
+    if not features:
+        return spark.createDataFrame([], "feature string, psi double, alert string")
     edge_rows = [(f, [float(e) for e in edges[f]]) for f in features]
     edf = spark.createDataFrame(edge_rows, "feature string, edges array<double>") \
                .withColumn("edges", F.transform("edges", lambda e: F.round(e, 6)))
     pairs = ", ".join(f"'{f}', CAST(`{f}` AS double)" for f in features)
 
     def binned(df, period):
-        long = df.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, x)")
+        long = df.selectExpr(f"stack({len(features)}, {pairs}) AS (feature, x)").where("x is not null and not isnan(x)")
         j = long.join(F.broadcast(edf), "feature")
         b = F.size(F.filter("edges", lambda e: e < F.col("x")))
         return j.select("feature", F.lit(period).alias("period"), b.alias("bin"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,12 +55,12 @@ def _specs(df: DataFrame, exp: dict):
         m = st["min_rows"]
         specs.append(("min_rows", None, "error",
                       F.when(F.count(F.lit(1)) < m, F.count(F.lit(1))).otherwise(0),
-                      ("Row count ", "n", f" below minimum {_fmt(m)}")))
+                      ("Row count ", "n", f" below minimum {_fmt(m)}"), F.count(F.lit(1)) < m))
     if st.get("max_rows") is not None:
         m = st["max_rows"]
         specs.append(("max_rows", None, "warning",
                       F.when(F.count(F.lit(1)) > m, F.count(F.lit(1))).otherwise(0),
-                      ("Row count ", "n", f" exceeds maximum {_fmt(m)}")))
+                      ("Row count ", "n", f" exceeds maximum {_fmt(m)}"), F.count(F.lit(1)) > m))
     for c, con in exp.get("constraints", {}).items():
         if c not in types:
             continue
@@ -105,62 +105,73 @@ def _specs(df: DataFrame, exp: dict):
 
 
 def check_results(df: DataFrame, expectations: dict) -> DataFrame:
-    """One row per check with its violation count and message."""
+    """One row per check with its violation count, whether it
+    failed, and its message.  On an empty table every counter is 0; the row
+    limits carry their own flag, as their counter is the row count."""
     specs = _specs(df, expectations)
-    aggs = [(F.lit(n) if isinstance(n, int) else n).cast("long").alias(f"n{i}")
-            for i, (_, _, _, n, _) in enumerate(specs)]
+    aggs = []
+    for i, (_, _, _, n, _, *flag) in enumerate(specs):
+        count = F.coalesce((F.lit(n) if isinstance(n, int) else n).cast("long"), F.lit(0).cast("long"))
+        aggs += [count.alias(f"n{i}"), (flag[0] if flag else count > 0).alias(f"f{i}")]
     row = df.agg(*aggs)
     parts = []
-    for i, (chk, c, sev, _, _) in enumerate(specs):
+    for i, (chk, c, sev, *_) in enumerate(specs):
         cn = "CAST(NULL AS string)" if c is None else f"'{c}'"
-        parts.append(f"'{chk}', {cn}, '{sev}', n{i}, {i}")
+        parts.append(f"'{chk}', {cn}, '{sev}', n{i}, f{i}, {i}")
     long = row.selectExpr(f"stack({len(specs)}, {', '.join(parts)}) "
-                          "AS (check_name, column_name, severity, n, spec)")
+                          "AS (check_name, column_name, severity, n, failed, spec)")
     msg = None
-    for i, (_, _, _, _, (pre, mid, post)) in enumerate(specs):
+    for i, (_, _, _, _, (pre, mid, post), *_) in enumerate(specs):
         m = F.lit(pre) if mid is None else F.concat(F.lit(pre), F.col("n").cast("string"), F.lit(post))
         msg = F.when(F.col("spec") == i, m) if msg is None else msg.when(F.col("spec") == i, m)
-    return long.select("check_name", "column_name", "severity", "n",
-                       F.when(F.col("n") > 0, msg).alias("message"))
+    return long.select("check_name", "column_name", "severity", "n", "failed",
+                       F.when(F.col("failed"), msg).alias("message"))
 
 
 def verdict(results: DataFrame) -> DataFrame:
-    """valid = no error with n > 0; counts of failed errors / warnings."""
-    failed = F.col("n") > 0
+    """valid = no failed error; counts of failed errors / warnings."""
+    error = F.col("failed") & (F.col("severity") == "error")
     return results.agg(
-        (F.count(F.when(failed & (F.col("severity") == "error"), 1)) == 0).alias("valid"),
-        F.count(F.when(failed & (F.col("severity") == "error"), 1)).alias("errors"),
-        F.count(F.when(failed & (F.col("severity") == "warning"), 1)).alias("warnings"))
+        (F.count(F.when(error, 1)) == 0).alias("valid"), F.count(F.when(error, 1)).alias("errors"),
+        F.count(F.when(F.col("failed") & (F.col("severity") == "warning"), 1)).alias("warnings"))
 
 
 def report_lines(results: DataFrame) -> DataFrame:
     """Ordered report text: errors first, then warnings (the message column)."""
-    return (results.where(F.col("n") > 0)
+    return (results.where("failed")
                    .select("severity", "message")
                    .orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), "message"))
 
 
 def profile_metrics(df: DataFrame, approx_distinct: bool = False) -> DataFrame:
-    """Per column missing count, null %, distinct count, type; plus table
-    rows / columns / duplicate rows as rows with column_name NULL.
+    """Per column missing count, null %, distinct count, type.
 
-    One aggregate for all per-column counters; duplicate rows need one
-    ``distinct`` (map-side deduplicated shuffle)."""
+    Missing counts come from one plain pass.  Distinct values come from one
+    ``groupBy`` per column, whose partial aggregation keeps low-cardinality
+    columns small (a single aggregate with many distinct counts would expand
+    every row once per column and shuffle all of them)."""
     cols = df.columns
-    distinct = F.approx_count_distinct if approx_distinct else F.countDistinct
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cols):
-        aggs += [F.sum(F.col(c).isNull().cast("long")).alias(f"m{i}"),
-                 distinct(F.col(c)).alias(f"d{i}")]
-    row = df.agg(*aggs)
+        aggs.append(F.coalesce(F.sum(F.col(c).isNull().cast("long")), F.lit(0)).alias(f"m{i}"))
+        if approx_distinct:
+            aggs.append(F.approx_count_distinct(F.col(c)).alias(f"d{i}"))
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    parts = ", ".join(f"'{c}', '{types[c]}', m{i}, d{i}" for i, c in enumerate(cols))
-    per_col = row.selectExpr("_rows", f"stack({len(cols)}, {parts}) "
-                             "AS (column_name, dtype, missing, distinct_values)")
-    per_col = per_col.select("column_name", "dtype", F.col("missing").cast("long").alias("missing"),
-                             (F.col("missing") / F.col("_rows") * 100).alias("null_percentage"),
-                             F.col("distinct_values").cast("long").alias("distinct_values"))
-    return per_col
+    d = (lambda i: f"d{i}") if approx_distinct else (lambda i: "CAST(NULL AS bigint)")
+    parts = ", ".join(f"'{c}', '{types[c]}', m{i}, {d(i)}" for i, c in enumerate(cols))
+    per_col = df.agg(*aggs).selectExpr("_rows", f"stack({len(cols)}, {parts}) AS (column_name, dtype, missing, _d)")
+    if approx_distinct:
+        per_col = per_col.withColumn("distinct_values", F.col("_d"))
+    else:
+        counts = None
+        for c in cols:
+            one = (df.select(F.col(c).alias("v")).where("v is not null").groupBy("v").agg(F.lit(1).alias("_one"))
+                   .agg(F.count("*").alias("distinct_values")).select(F.lit(c).alias("column_name"), "distinct_values"))
+            counts = one if counts is None else counts.union(one)
+        per_col = per_col.join(F.broadcast(counts), "column_name")      # one row for each column
+    return per_col.select("column_name", "dtype", F.col("missing").cast("long").alias("missing"),
+                          (F.try_divide(F.col("missing"), F.col("_rows")) * 100).alias("null_percentage"),
+                          F.col("distinct_values").cast("long").alias("distinct_values"))
 
 
 def table_metrics(df: DataFrame) -> DataFrame:
@@ -169,8 +180,8 @@ def table_metrics(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:      # map columns cannot be compared: compare their JSON
         if isinstance(f.dataType, T.MapType):
             plain = plain.withColumn(f.name, F.to_json(F.col(f.name)))
-    rows = df.agg(F.count(F.lit(1)).alias("row_count"))
-    uniq = plain.distinct().agg(F.count(F.lit(1)).alias("_u"))
-    return rows.crossJoin(uniq).select(
+    # one pass: rows grouped by all columns, then their sum and their number
+    g = plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("_u")).select(
         "row_count", F.lit(len(df.columns)).alias("column_count"),
         (F.col("row_count") - F.col("_u")).alias("duplicate_rows"))

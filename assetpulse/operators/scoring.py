@@ -50,7 +50,7 @@ def customer_scores(tx: DataFrame) -> DataFrame:
     scored at the last purchase."""
     tx = cf.clean(tx)
     last = tx.groupBy(cf.KEY).agg(F.max("invoice_date").alias("scored_at"))
-    j = cf.with_latest(last, cf.latest_date(tx, "_ref"))
+    j = cf.with_latest(last, last.agg(F.max("scored_at").alias("_ref")))
     d = cf.days_between(F.col("scored_at"), F.col("_ref"))
     return j.select(cf.KEY, cf.churn_probability(d).alias("probability"),
                     (d >= 90).cast("int").alias("label"), "scored_at")

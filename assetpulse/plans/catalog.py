@@ -3,13 +3,15 @@
 Each entry reads the given tables (or data Spark derives from them) in full.
 Doubles are snapped to a binary grid at the very end (``bits`` fractional
 bits: 20 ~ 1e-6, 13 ~ 1e-4) so that results compare stably with the DuckDB
-oracle: ``floor(x * 2^bits + 0.5) / 2^bits`` uses only exact IEEE steps in
-both engines, and unlike decimal rounding it has no ties on money values.
+oracle: ``rint(x * 2^bits) / 2^bits`` stays in doubles, so large values are
+left as they are, uses only exact IEEE steps in both engines, and unlike
+decimal rounding it has no ties on money values.
 The operators themselves keep full precision.
 """
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,7 @@ def query(name: str):
 
 def snap(c, bits: int = 20):
     scale = float(2 ** bits)
-    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
 def finish(df: DataFrame, bits: int = 20) -> DataFrame:
@@ -399,9 +401,8 @@ def q_best_model(spark, sf_dir):
 # Learning (Spark ML).  Rows-only checks: tree training is not SQL.
 ML_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min",
                "power", "temperature_ratio", "tool_wear_rate"]
-# The registered check query trains 30 rounds (the library default is 100)
-# to keep the per-round check short; the plan is the same.
-GBT_QUERY_PARAMS = {"maxIter": 30}
+# Models fitted in this Spark application, by application, folder and kind: the
+# queries that describe one model share it.  All use the default 100 rounds.
 _MODELS: dict = {}
 
 
@@ -415,23 +416,24 @@ SMOTE_FEATURES = ML_FEATURES + ["type_encoded"]
 
 
 def _trained(spark, sf_dir, kind="gbt"):
-    key = (sf_dir, kind)
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
         from ..session import cut_lineage
         s = sensor.encode_type(_ml_split(spark, sf_dir))
         # notebook path: SMOTE on the train part (always), then scaling + model
         train = cut_lineage(oversample.smote(s.where(F.col("part") == "train"), "label", "udi",
                                              SMOTE_FEATURES))
-        _MODELS[key] = (learn.build_pipeline(train, SMOTE_FEATURES, kind, "label", encode_type=False,
-                                             **(GBT_QUERY_PARAMS if kind == "gbt" else {}))
-                        .fit(train), s)
+        model = learn.build_pipeline(train, SMOTE_FEATURES, kind, "label", encode_type=False).fit(train)
+        _MODELS.clear()
+        _MODELS[key] = (model, s, datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"))
     return _MODELS[key]
 
 
 @query("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
-    model, s = _trained(spark, sf_dir)
-    out = learn.score(model, s.where(F.col("part") == "test")).drop("prediction")
+    """M8: every reading scored, train and test part alike."""
+    model, s, _ = _trained(spark, sf_dir)
+    out = learn.score(model, s).drop("prediction")
     out = scoring.score_equipment(out, "probability_1")
     return finish(out.select("udi", "label", F.col("probability_1").alias("failure_probability"),
                              "prediction", "alert_level", "recommended_action", "confidence"))
@@ -439,7 +441,7 @@ def q_gbt_scores(spark, sf_dir):
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    model, _ = _trained(spark, sf_dir)
+    model, _, _ = _trained(spark, sf_dir)
     return finish(learn.feature_importance(model))
 
 
@@ -447,8 +449,7 @@ def q_feature_importance(spark, sf_dir):
 def q_model_metrics(spark, sf_dir):
     s = _ml_split(spark, sf_dir)
     _, metrics = learn.train_models(s.where(F.col("part") == "train"), s.where(F.col("part") == "test"),
-                                    ML_FEATURES, "label",
-                                    params={"gbt": {"maxIter": 20}, "random_forest": {"numTrees": 20}})
+                                    ML_FEATURES, "label")
     return finish(metrics)
 
 
@@ -465,12 +466,9 @@ def q_stream_weekly_counts(spark, sf_dir):
 
 
 # Customer churn models (train entry): rows-only checks.
-CHURN_PARAMS = {"gbt": {"maxIter": 20}, "random_forest": {"numTrees": 20}}
-
-
 @query("churn_model_metrics")
 def q_churn_model_metrics(spark, sf_dir):
-    _, metrics, _ = training.train_churn(_tx(spark, sf_dir), params=CHURN_PARAMS)
+    _, metrics, _ = training.train_churn(_tx(spark, sf_dir))
     return finish(metrics)
 
 
@@ -486,16 +484,20 @@ def q_feature_gain(spark, sf_dir):
     """Gain / weight / cover per feature from the saved tree-node table."""
     from ..session import ensure_checkpoint_dir
     import uuid
-    model, _ = _trained(spark, sf_dir)
+    model, _, _ = _trained(spark, sf_dir)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/gbt-{uuid.uuid4().hex}"
     return finish(learn.node_importance(model, path))
 
 
 @query("model_info")
 def q_model_info(spark, sf_dir):
-    model, _ = _trained(spark, sf_dir)
-    return learn.model_info(model, "gbt", "1", "trained in this session", 0.5,
-                            {"maxIter": GBT_QUERY_PARAMS["maxIter"]})
+    """When the model was fitted, and its metrics on the test part."""
+    model, s, trained_at = _trained(spark, sf_dir)
+    g = evaluate.score_groups(learn.score(model, s.where(F.col("part") == "test")), "label", "probability_1")
+    m = evaluate.binary_metrics(g, weight="n").first()
+    auc = evaluate.roc_auc(g, "label", "probability_1", weight="n").first()["auc"]
+    return learn.model_info(model, "gbt", "1", trained_at, 0.5,
+                            {**{k: m[k] for k in ("accuracy", "precision", "recall", "f1")}, "roc_auc": auc})
 
 
 @query("top_correlations")

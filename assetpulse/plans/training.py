@@ -21,7 +21,8 @@ from . import features as feature_plan
 # With a churn target these columns are functions of the label's source
 # (days since the last purchase) and are dropped by default.
 LABEL_FAMILY = ["days_since_last_purchase", "churn_30", "churn_60", "churn_90", "at_risk",
-                "health_score", "churn_probability", "recency", "r_score", "rfm_score"]
+                "health_score", "churn_probability", "recency", "r_score", "rfm_score",
+                "customer_age"]     # customer_age - lifetime_days = days since the last purchase
 NOT_FEATURES = [cf.KEY, "first_purchase_date", "last_purchase_date", "rfm_segment"]   # V9, dates
 NUMERIC = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.ShortType)
 

@@ -40,7 +40,7 @@ readings AS (SELECT *, greatest(twf, hdf, pwf, osf, rnf) AS machine_failure FROM
 def R(sql: str, cols: list[str], bits: int = 20) -> str:
     """Snap the named double columns to the binary grid the Spark side uses."""
     sc = f"{2 ** bits}::DOUBLE"
-    rep = ", ".join(f"floor({c} * {sc} + 0.5) / {sc} AS {c}" for c in cols)
+    rep = ", ".join(f"round_even({c} * {sc}, 0) / {sc} AS {c}" for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({sql}) AS _q"
 
 
@@ -367,10 +367,10 @@ def _quality_sql(table: str, exp: dict, skip_required: bool = False) -> str:
     types = SPARK_TYPES[table]
     rows = []
 
-    def add(check, col, sev, n_sql, msg_sql):
+    def add(check, col, sev, n_sql, msg_sql, failed=None):
         c = "CAST(NULL AS VARCHAR)" if col is None else f"'{col}'"
         rows.append(f"SELECT '{check}' AS check_name, {c} AS column_name, '{sev}' AS severity, "
-                    f"CAST({n_sql} AS BIGINT) AS n, {msg_sql} AS msg"
+                    f"coalesce(CAST({n_sql} AS BIGINT), 0) AS n, {failed or f'coalesce({n_sql}, 0) > 0'} AS failed, {msg_sql} AS msg"
                     + (f" FROM {table}" if "count(" in n_sql else ""))
 
     st = exp.get("structure", {})
@@ -385,11 +385,11 @@ def _quality_sql(table: str, exp: dict, skip_required: bool = False) -> str:
     if st.get("min_rows") is not None:
         m = st["min_rows"]
         add("min_rows", None, "error", f"CASE WHEN count(*) < {m} THEN count(*) ELSE 0 END",
-            f"'Row count ' || CAST(count(*) AS VARCHAR) || ' below minimum {m}'")
+            f"'Row count ' || CAST(count(*) AS VARCHAR) || ' below minimum {m}'", f"count(*) < {m}")
     if st.get("max_rows") is not None:
         m = st["max_rows"]
         add("max_rows", None, "warning", f"CASE WHEN count(*) > {m} THEN count(*) ELSE 0 END",
-            f"'Row count ' || CAST(count(*) AS VARCHAR) || ' exceeds maximum {m}'")
+            f"'Row count ' || CAST(count(*) AS VARCHAR) || ' exceeds maximum {m}'", f"count(*) > {m}")
     for c, con in exp.get("constraints", {}).items():
         if c not in types:
             continue
@@ -425,7 +425,7 @@ def _quality_sql(table: str, exp: dict, skip_required: bool = False) -> str:
             add("conditional", f"{w},{t}", "warning", n,
                 f"'Conditional violation: ' || CAST({n} AS VARCHAR) || ' rows violate {w}={wv} -> {t}={tv}'")
     body = " UNION ALL ".join(rows)
-    return f"SELECT check_name, column_name, severity, n, CASE WHEN n > 0 THEN msg END AS message FROM ({body})"
+    return f"SELECT check_name, column_name, severity, n, failed, CASE WHEN failed THEN msg END AS message FROM ({body})"
 
 
 def _profile_sql() -> str:
@@ -442,9 +442,9 @@ ORACLES.update({
     "quality_counters": _w(TX) + _quality_sql("transactions", _cfg.TRANSACTION_EXPECTATIONS),
     "quality_relationships": _w(READINGS) + _quality_sql(
         "readings", {"relationships": _cfg.READING_EXPECTATIONS["relationships"]}, skip_required=True),
-    "quality_verdict": _w(READINGS) + f"""SELECT count(*) FILTER (WHERE n > 0 AND severity = 'error') = 0 AS valid,
-  count(*) FILTER (WHERE n > 0 AND severity = 'error') AS errors,
-  count(*) FILTER (WHERE n > 0 AND severity = 'warning') AS warnings FROM ({_RQ})""",
+    "quality_verdict": _w(READINGS) + f"""SELECT count(*) FILTER (WHERE failed AND severity = 'error') = 0 AS valid,
+  count(*) FILTER (WHERE failed AND severity = 'error') AS errors,
+  count(*) FILTER (WHERE failed AND severity = 'warning') AS warnings FROM ({_RQ})""",
     "profile_metrics": R(_profile_sql(), ["null_percentage"]),
     "table_metrics": _w(TX) + """SELECT count(*) AS row_count, CAST(6 AS INT) AS column_count,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM transactions)) AS duplicate_rows FROM transactions""",

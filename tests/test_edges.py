@@ -124,3 +124,45 @@ def test_constant_feature(spark):
     assert p["x"] == (1.0, 1.0)                      # zero deviation scales by 1
     r = sensor.label_correlation(df, ["x"]).first()
     assert r["correlation"] is None                  # NULL, not a division error
+
+
+def test_snap_keeps_large_values(spark):
+    from assetpulse.plans.catalog import finish
+    df = spark.createDataFrame([(5e15,), (-9e12,), (9e12,), (0.25,)], "x double")
+    assert sorted(r["x"] for r in finish(df).collect()) == [-9e12, 0.25, 9e12, 5e15]
+
+
+def test_empty_table_is_invalid_under_min_rows(spark):
+    empty = spark.createDataFrame([], "a int, b string")
+    exp = {"structure": {"required_columns": ["a"], "min_rows": 1, "max_rows": 5},
+           "constraints": {"a": {"not_null": True, "unique": True, "min": 0, "max": 9}, "b": {"allowed_values": ["x"]}}}
+    res = quality.check_results(empty, exp)
+    rows = {r["check_name"]: (r["n"], r["failed"]) for r in res.collect()}
+    assert rows.pop("min_rows") == (0, True) and set(rows.values()) == {(0, False)}
+    v = quality.verdict(res).first()
+    assert (v["valid"], v["errors"], v["warnings"]) == (False, 1, 0)
+    assert quality.table_metrics(empty).first()["duplicate_rows"] == 0
+    assert {r["distinct_values"] for r in quality.profile_metrics(empty).collect()} == {0}
+
+
+def test_nan_probability_fails_every_threshold(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,)], "p double").select(
+        levels.risk_level(F.col("p")).alias("risk"), levels.health_status(levels.health_score(F.col("p"))).alias("health"),
+        levels.alert_level(F.col("p")).alias("alert"), levels.predict_label(F.col("p")).alias("y"))
+    assert {tuple(r) for r in df.collect()} == {("low", "poor", "NORMAL", 0)}
+
+
+def test_drift_leaves_nulls_out(spark):
+    from assetpulse.operators import monitor
+    base = spark.createDataFrame([(float(i), None) for i in range(200)], "x double, y double")
+    cur = base.union(spark.createDataFrame([(None, None)] * 50, "x double, y double"))
+    rows = monitor.feature_drift(base, cur, ["x", "y"]).collect()
+    assert [(r["feature"], round(r["psi"], 9), r["alert"]) for r in rows] == [("x", 0.0, "No")]
+
+
+def test_weighted_metrics_equal_plain_ones(spark):
+    rows = [(1, 1, 0.9), (1, 0, 0.2), (0, 0, 0.2), (0, 1, 0.7), (1, 1, 0.9), (0, 0, 0.1)]
+    df = spark.createDataFrame(rows, "label int, prediction int, s double")
+    g = evaluate.score_groups(df, "label", "s")
+    assert evaluate.binary_metrics(df).first() == evaluate.binary_metrics(g, weight="n").first()
+    assert evaluate.roc_auc(df, "label", "s").first() == evaluate.roc_auc(g, "label", "s", weight="n").first()

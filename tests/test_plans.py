@@ -37,11 +37,28 @@ def test_feature_families_join_without_reshuffle(spark):
 
 
 def test_no_python_udf_in_query_plans(spark):
-    import __spark_entry__ as E
-    for name, q in E.queries().items():
+    from assetpulse.plans import catalog
+    for name, q in catalog.REGISTRY.items():
         if name in {"gbt_scores", "feature_importance", "model_metrics", "stream_scores",
                     "stream_weekly_counts", "feature_gain", "model_info", "churn_model_metrics",
                     "churn_model_scores", "cv_scores"}:
             continue
         p = plan(q(spark, SF_SMALL))
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p, name
+
+
+def joins_of_lines_and_orders(df):
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return plan(df).count("l_orderkey#") and sum(
+            1 for ln in plan(df).splitlines() if "Join" in ln and "l_orderkey" in ln)
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_customer_queries_join_the_raw_tables_once(spark):
+    from assetpulse.operators import scoring
+    t = tables.transactions(spark, SF_SMALL)
+    for build in (cf.churn_indicators, cf.rfm_base, cf.clv_features, scoring.customer_scores):
+        scans = plan(build(t)).count("l_orderkey")
+        assert scans and plan(build(t)).count("ReadSchema: struct<l_orderkey") <= 2, build
