@@ -275,7 +275,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], sp
     fields = [*rows.schema.fields[:-1], T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())]
     schema = T.StructType(fields)
     if spans:
-        schema = schema.add("spans", "array<struct<first: long, words: long, label: string>>")
+        schema = schema.add("spans", T.ArrayType(T.StructType([
+            T.StructField("first", T.LongType()), T.StructField("words", T.LongType()), T.StructField("label", T.StringType())])))
     return rows.mapInArrow(label, schema)
 
 

@@ -94,6 +94,8 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         """Calibrated; a thousandth of the raw score keeps the order within a calibration step."""
         s = self.raw(x)
+        if len(self.grid) == 1:
+            return np.full(len(x), self.level[0])
         return 0.999 * np.interp(s, self.grid, self.level) + 0.001 * np.clip(s, 0, 1)
 
 
