@@ -1,5 +1,6 @@
 """Joins, components and fitted models: brute force and held-out accuracy; edge rows for each."""
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -71,6 +72,19 @@ def test_components_with_a_hot_node_and_a_chain(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_of_random_forests_over_one_group(spark):
+    """Several spanning forests of the same groups, with repeated edges, self loops and null ends, against brute force."""
+    rng = random.Random(5)
+    groups = [[g * 1000 + i for i in range(n)] for g, n in enumerate([1, 2, 5, 40, 300])]
+    edges = [(g[0], g[0]) for g in groups] + [(None, 7), (3, None)]
+    for g in groups:
+        for _ in range(6):
+            order = rng.sample(g, len(g))
+            edges += [(x, order[rng.randrange(i)]) for i, x in enumerate(order) if i]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges * 2, "u long, v long")).collect()}
+    assert got == {x: g[0] for g in groups for x in g}
+
+
 def test_vector_dedup_equals_brute_force(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(1500, 24))
