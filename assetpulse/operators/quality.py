@@ -26,8 +26,10 @@ NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.Do
 LONG_SCHEMA = "check_name string, column_name string, severity string, n long, message string"
 
 
-def load_expectations(path: str) -> dict:
-    """Expectations JSON (small configuration file)."""
+def load_expectations(path: str, spark=None) -> dict:
+    """Expectations JSON (small configuration file); with a session, from any store Spark reads."""
+    if spark is not None:
+        return json.loads(spark.read.text(path, wholetext=True).first()[0])
     with open(path) as fh:
         return json.load(fh)
 

@@ -12,6 +12,8 @@ The operators themselves keep full precision.
 from __future__ import annotations
 
 import datetime
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +25,11 @@ from ..operators import customer as cf
 from .. import config
 from ..operators import (evaluate, learn, monitor, neighbors, oversample, prepare, quality,
                          sampling, scoring, sensor)
-from ..sources import tables
+from .. import schemas
+from ..session import ensure_checkpoint_dir
+from ..sources import io, tables
 from ..streaming import alerts as alerts_stream
-from . import features, training
+from . import features, ingest, training
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -543,3 +547,130 @@ def q_cv_scores(spark, sf_dir):
 def q_readings_head(spark, sf_dir):
     """the first five readings (by udi), the notebook's ``head()``."""
     return finish(sensor.head(_readings(spark, sf_dir), ["udi"], 5))
+
+
+# ---------------------------------------------------------------------------
+# Sources, sinks and the ingestion run: whole tables through files and back
+def _folder(spark, label):
+    """A new folder below the shared one that the cluster names in spark.checkpoint.dir."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}/{label}"
+
+
+def _original_names(df, header_map):
+    """The table under the headers its files come with (columns without one keep theirs)."""
+    back = {v: k for k, v in header_map.items()}
+    return df.toDF(*[back.get(c, c) for c in df.columns])
+
+
+@query("csv_round_trip")
+def q_csv_round_trip(spark, sf_dir):
+    """All transactions exported as CSV under the original headers, loaded and renamed."""
+    path = _folder(spark, "transactions.csv")
+    out = _original_names(_tx(spark, sf_dir), schemas.TRANSACTION_HEADER_MAP)
+    io.export_csv(out, path)
+    back = io.load_data(spark, {"type": "csv", "path": path, "schema": out.schema})
+    return finish(prepare.normalize_names(back, schemas.TRANSACTION_HEADER_MAP))
+
+
+@query("json_requests")
+def q_json_requests(spark, sf_dir):
+    """A score request of every reading written as JSON records, read and checked."""
+    path = _folder(spark, "requests.json")
+    req = sensor_requests(_readings(spark, sf_dir))
+    stress = F.col("features.rotational_speed_rpm") * F.col("features.tool_wear_min") / F.lit(1000.0)
+    io.to_json_records(req.withColumn("features", F.col("features").withField("stress_factor", stress))).write.text(path)
+    schema = T.StructType([T.StructField("udi", T.LongType()), *schemas.SENSOR_REQUEST.fields])
+    back = prepare.check_sensor_requests(io.read_json_records(spark, path, schema, multi_line=False))
+    return finish(back.select("udi", "equipment_id", "threshold", "features.torque_nm", "features.stress_factor",
+                              F.col("features.power").alias("power"), "valid",
+                              F.array_join("reasons", "|").alias("reasons")))
+
+
+INGEST_FILTERS = ["rpm >= 1200", "torque_nm is not null", "no such column > 1"]
+INGEST_DERIVED = {"power": "rpm * torque_nm", "has_equipment": {"notna": "equipment_id"}}
+
+
+def _ingested(spark, sf_dir):
+    """A13 over a CSV export of all readings with the original headers and text dates."""
+    raw = _original_names(_readings(spark, sf_dir).withColumn("ts", F.col("ts").cast("string")),
+                          schemas.SENSOR_HEADER_MAP)
+    path, rules = _folder(spark, "readings.csv"), _folder(spark, "expectations.json")
+    io.export_csv(raw, path)
+    text = json.dumps(config.READING_EXPECTATIONS)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(rules)
+    return ingest.run(spark, {
+        "source": {"type": "csv", "path": path, "schema": raw.schema}, "rename": schemas.SENSOR_HEADER_MAP,
+        "expectations": quality.load_expectations(rules, spark),
+        "preprocess": {"date_columns": ["ts"], "filters": INGEST_FILTERS, "derived_columns": INGEST_DERIVED,
+                       "date_parts_of": "ts"},
+        "output_dir": _folder(spark, "processed")})
+
+
+@query("ingested_readings")
+def q_ingested_readings(spark, sf_dir):
+    """What the ingestion run saved, read back."""
+    out = io.read_parquet(spark, _ingested(spark, sf_dir)[3])
+    return finish(out.select("udi", "equipment_id", "type", "rpm", "torque_nm", "power", "has_equipment",
+                             "year", "month", "day", "day_of_week", "hour", "quarter"))
+
+
+@query("ingestion_audit")
+def q_ingestion_audit(spark, sf_dir):
+    """Row counts of the ingestion run and the verdict of its checks."""
+    _, checks, audit, _ = _ingested(spark, sf_dir)
+    return quality.verdict(checks).select("valid", *[F.lit(v).cast("long").alias(k) for k, v in audit.items()])
+
+
+@query("metric_log")
+def q_metric_log(spark, sf_dir):
+    """A10: metrics of two runs over all readings appended to one log, read back."""
+    path = _folder(spark, "metrics")
+    e = scoring.equipment_scores(_readings(spark, sf_dir))
+    m = evaluate.threshold_metrics(e, THRESHOLDS, "label", "failure_probability")
+    for run in ("first", "second"):
+        io.append_metrics(m.select(F.lit(run).alias("run"), "model", "metric", "value"), path)
+    return finish(io.read_parquet(spark, path))
+
+
+@query("feature_columns")
+def q_feature_columns(spark, sf_dir):
+    """Columns dropped (an absent one ignored), absent features added as 0, then selected."""
+    kept = prepare.drop_columns(_sensor(spark, sf_dir), ["twf", "hdf", "no_such_column", "power"])
+    wanted = ["udi", "rpm", "torque_nm", "power", "stress_factor"]
+    return finish(prepare.select_features(prepare.add_missing_features(kept, wanted), wanted))
+
+
+@query("joined_features")
+def q_joined_features(spark, sf_dir):
+    """The 58 features as a left join of the five feature tables."""
+    return finish(features.all_features_joined(_tx(spark, sf_dir)), 13)
+
+
+@query("request_thresholds")
+def q_request_thresholds(spark, sf_dir):
+    """A threshold of each request's own; invalid requests are not scored."""
+    req = prepare.check_sensor_requests(sensor_requests(_readings(spark, sf_dir))).where("valid")
+    p = scoring.equipment_scores(_readings(spark, sf_dir)).select("udi", "failure_probability")
+    s = scoring.score_equipment(p.join(req.select("udi", "threshold"), "udi"), threshold_col="threshold")
+    return finish(s.select("udi", "failure_probability", "threshold", "prediction", "alert_level"))
+
+
+@query("score_checks")
+def q_score_checks(spark, sf_dir):
+    """A saved and loaded logistic model over all readings (one trained column left
+    out); rows per label, and rows whose probability, prediction or alert level breaks its rule."""
+    s = sensor.encode_type(_ml_split(spark, sf_dir))
+    train = s.where(F.col("part") == "train")
+    path = _folder(spark, "model")
+    learn.save_model(learn.build_pipeline(train, ML_FEATURES, "logistic_regression", "label", encode_type=False).fit(train),
+                     path, {"model_type": "logistic_regression", "threshold": 0.5})
+    model, meta = learn.load_model(path)
+    out = learn.score(model, s.drop("tool_wear_rate"), meta["threshold"]).drop("prediction")
+    out = scoring.score_equipment(out, "probability_1", meta["threshold"])
+    p = F.col("probability_1")
+    level = F.when(p >= 0.8, "CRITICAL").when(p >= 0.6, "HIGH").when(p >= 0.4, "MEDIUM").when(p >= 0.2, "LOW").otherwise("NORMAL")
+    return out.groupBy(F.col("label").cast("int").alias("label")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(p.isNull() | F.isnan(p) | (p < 0) | (p > 1)).alias("bad_probability"),
+        F.count_if(F.col("prediction") != (p >= meta["threshold"]).cast("int")).alias("bad_prediction"),
+        F.count_if(F.col("alert_level") != level).alias("bad_level"))

@@ -609,3 +609,43 @@ ORACLES["pr_points"] = R(_w(READINGS, ALERTS, """g AS (SELECT CAST(failure_proba
 
 ORACLES["readings_head"] = R(_w(READINGS) + "SELECT * FROM readings ORDER BY udi LIMIT 5",
                             ["air_temp_k", "process_temp_k", "torque_nm"])
+
+
+# --------------------------------------------------------------------------
+# Files: what was written and read back equals the table it came from
+_KEPT = "FROM readings WHERE rpm >= 1200 AND torque_nm IS NOT NULL"
+ORACLES.update({
+    "csv_round_trip": R(_w(TX) + "SELECT * FROM transactions", ["quantity", "unit_price", "amount"]),
+    "json_requests": R(_w(READINGS) + """SELECT udi, CAST(equipment_id AS VARCHAR) AS equipment_id,
+  (udi % 13) / 10.0::DOUBLE AS threshold, torque_nm, rpm * tool_wear_min / 1000.0::DOUBLE AS stress_factor,
+  rpm * torque_nm AS power, equipment_id IS NOT NULL AND torque_nm IS NOT NULL AND (udi % 13) <= 10 AS valid,
+  concat_ws('|', CASE WHEN equipment_id IS NULL THEN 'missing equipment_id' END,
+    CASE WHEN torque_nm IS NULL THEN 'missing torque_nm' END,
+    CASE WHEN (udi % 13) > 10 THEN 'threshold outside 0..1' END) AS reasons FROM readings""",
+                       ["threshold", "torque_nm", "stress_factor", "power"]),
+    "ingested_readings": R(_w(READINGS) + f"""SELECT udi, equipment_id, type, rpm, torque_nm, rpm * torque_nm AS power,
+  equipment_id IS NOT NULL AS has_equipment, CAST(year(ts) AS INT) AS year, CAST(month(ts) AS INT) AS month,
+  CAST(day(ts) AS INT) AS day, CAST(isodow(ts) - 1 AS INT) AS day_of_week, CAST(hour(ts) AS INT) AS hour,
+  CAST(quarter(ts) AS INT) AS quarter {_KEPT}""", ["torque_nm", "power"]),
+    "ingestion_audit": f"""SELECT v.valid, a.* FROM ({ORACLES["quality_verdict"]}) v,
+  ({_w(READINGS)} SELECT count(*) AS rows_before, count(*) FILTER (WHERE rpm >= 1200 AND torque_nm IS NOT NULL) AS rows_after,
+  count(*) FILTER (WHERE NOT coalesce(rpm >= 1200 AND torque_nm IS NOT NULL, false)) AS rows_removed FROM readings) a""",
+    "metric_log": R(_w(READINGS, ALERTS, f"base AS ({_thr_sql()})", _METRICS,
+                       "al AS (SELECT count(*) AS n FROM es)",
+                       """f AS (SELECT model, seq, prec, rec, (n - fp - fn) / n AS acc,
+  coalesce(2 * prec * rec / nullif(prec + rec, 0), 0.0::DOUBLE) AS f1 FROM mb, al)""",
+                       """lg AS (SELECT model, 'precision' AS metric, CAST(prec AS DOUBLE) AS value FROM f
+  UNION ALL SELECT model, 'recall', rec FROM f UNION ALL SELECT model, 'f1', f1 FROM f
+  UNION ALL SELECT model, 'accuracy', acc FROM f)""")
+                    + "SELECT run, model, metric, value FROM lg, (VALUES ('first'), ('second')) r(run)", ["value"]),
+    "feature_columns": R(_w(READINGS) + """SELECT udi, rpm, torque_nm, 0.0::DOUBLE AS power,
+  0.0::DOUBLE AS stress_factor FROM readings""", ["torque_nm"]),
+    "joined_features": ORACLES["all_features"],
+    "request_thresholds": R(_w(READINGS, ALERTS) + """SELECT udi, failure_probability, threshold,
+  CAST(failure_probability >= threshold AS INT) AS prediction, alert_level FROM (
+  SELECT r.udi, a.failure_probability, (r.udi % 13) / 10.0::DOUBLE AS threshold, a.alert_level
+  FROM readings r JOIN alerts a USING (udi) WHERE (r.udi % 13) <= 10 AND r.equipment_id IS NOT NULL
+    AND r.torque_nm IS NOT NULL)""", ["failure_probability", "threshold"]),
+    "score_checks": _w(READINGS) + """SELECT machine_failure AS label, count(*) AS n, 0::BIGINT AS bad_probability,
+  0::BIGINT AS bad_prediction, 0::BIGINT AS bad_level FROM readings GROUP BY 1""",
+})
