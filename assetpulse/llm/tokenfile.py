@@ -24,6 +24,7 @@ writes no segment.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -51,7 +52,9 @@ class WordEncoder:
     line feeds, so the ids of a text are those of its words in turn.  A word
     is encoded once; its signs at the end are a pre-token of their own, and so
     encoded apart.  Runs of plain letters go straight to the library's BPE
-    model, lower-cased; anything else through the whole tokenizer.
+    model, lower-cased; anything else through the whole tokenizer.  So does,
+    uncut and as written, a word that holds one of the tokenizer's added
+    tokens, which are matched before anything is split.
     """
 
     PARTS = white(10, 32)
@@ -62,6 +65,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_str(tokenizer_json)
         self.model, self.limit = self.tok.model, limit
+        self.added = [t["content"].lower() for t in json.loads(tokenizer_json).get("added_tokens") or [] if t["content"]]
+        if any(c in t for t in self.added for c in " \n"):
+            raise ValueError("an added token that holds a space or a line feed reaches across words")
         # byte-level letters: printable bytes stand for themselves, the others for code points from 256
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [i for i in range(256) if i not in set(plain)]
@@ -83,6 +89,9 @@ class WordEncoder:
         return ids
 
     def _word(self, w: str) -> tuple:
+        low = w.lower()
+        if any(t in low for t in self.added):
+            return self._whole(w)
         stem = w.rstrip(SIGNS)
         if not stem or not stem[-1].isalpha():
             return self._whole(w)

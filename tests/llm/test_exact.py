@@ -132,6 +132,18 @@ def test_token_file_equals_library(spark, make_docs, small_texts, word_tokenizer
     assert sorted(got) == want
 
 
+def test_token_file_added_tokens_equal_library(spark, make_docs, word_tokenizer, tmp_path):
+    raw, tok = word_tokenizer
+    forms = ["{}", "foo{}", "{}foo", "Foo{}Bar", "foo.{}", "{}.", "{}!?", "({})", "{}{}", "3{}4", "\t{}\r", "Ünï{}", "{}\u0338", "é{}é,", "x {} y\n{}"]
+    texts = [f.replace("{}", t) for t in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|endoftext|>") for f in forms]
+    texts.append("one two.<|endoftext|>Three <|startoftext|>four<|endoftext|>")
+    path = str(tmp_path / "f")
+    tokenfile.write(make_docs(list(enumerate(texts))), path, raw)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in tokenfile.read(spark, path).collect()}
+    assert [(t, got[i]) for i, t in enumerate(texts)] == [(t, tok.encode(t, add_special_tokens=False).ids + [2]) for t in texts]
+    assert 49407 in got[0]
+
+
 def test_token_file_null_id_and_empty_table(spark, make_docs, word_tokenizer, tmp_path):
     raw, tok = word_tokenizer
     tokenfile.write(make_docs([(5, "b"), (None, "a")]), str(tmp_path / "a"), raw)
