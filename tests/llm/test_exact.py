@@ -212,6 +212,42 @@ def test_lm_tail_join_equals_head(make_docs, small_texts, monkeypatch):
         assert x[1] == pytest.approx(y[1], abs=0.02 + 1e-4 * abs(x[1])) and x[2:] == y[2:]
 
 
+def _lm_scores(model, docs):
+    return {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in pitmanyor.score(model, docs).collect()}
+
+
+def test_lm_words_without_a_slot_have_contexts(make_docs, small_texts, monkeypatch):
+    filler = " ".join(f"filler{i}" for i in range(400))
+    train = [(i, f"{filler} {filler} zeta omega kappa sigma") for i in range(8)] + [(9, "lonely pair")]
+    tests = make_docs([(1, "zeta omega"), (2, "kappa sigma"), (3, "zeta sigma"), (4, "kappa omega"), (5, "lonely pair"), (6, "new word"), (7, "zeta word")])
+    model = pitmanyor.train(make_docs(train))
+    assert not {b"zeta", b"kappa", b"lonely"} & set(model.contexts)
+    one = _lm_scores(model, tests)
+    assert one[1][0] + one[2][0] > one[3][0] + one[4][0] + 2          # the same words, met after the other context
+    # tokens by the joins are scored as with the texts
+    monkeypatch.setattr(pitmanyor, "PAIRS", 0)
+    monkeypatch.setattr(pitmanyor, "HEAD", 3)
+    two = _lm_scores(model, tests)
+    for i in one:
+        assert one[i] == pytest.approx(two[i], rel=1e-4)
+    # after each such context the probabilities sum to one
+    words = {r["h"]: np.array(r["p1"]) for r in model.words.collect()}
+    pairs = model.pairs.collect()
+    for r in model.rare.collect()[:20]:
+        seen = {x["h"]: x["p"] for x in pairs if x["u"] == r["u"]}
+        total = sum(seen[h] if h in seen else float(np.mean(np.array(r["share"]) * p1)) for h, p1 in words.items())
+        assert total + float(np.mean(np.array(r["share"]) * model.unknown)) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_lm_slots_are_only_a_layout(make_docs, small_texts, monkeypatch):
+    train, held = make_docs([x for x in small_texts.items() if x[0] % 3]), make_docs([x for x in small_texts.items() if not x[0] % 3])
+    one = _lm_scores(pitmanyor.train(train), held)
+    monkeypatch.setattr(pitmanyor, "top_words", lambda *_: {})
+    two = _lm_scores(pitmanyor.train(train), held)
+    assert sum(x[0] for x in two.values()) == pytest.approx(sum(x[0] for x in one.values()), rel=0.01)
+    assert all(one[i][1:] == pytest.approx(two[i][1:], rel=1e-5) for i in one)
+
+
 def test_lm_empty_tables(make_docs):
     docs = make_docs([(1, "a b"), (2, None)])
     model = pitmanyor.train(docs.limit(0))
