@@ -464,6 +464,11 @@ def q_stream_scores(spark, sf_dir):
     return finish(alerts_stream.stream_scores(spark, sf_dir, "MEDIUM"))
 
 
+@query("stream_weekly_counts_all")
+def q_stream_weekly_counts_all(spark, sf_dir):
+    return alerts_stream.stream_weekly_counts_all(spark, sf_dir)
+
+
 @query("stream_weekly_counts")
 def q_stream_weekly_counts(spark, sf_dir):
     return alerts_stream.stream_weekly_counts(spark, sf_dir)

@@ -76,6 +76,23 @@ def stream_scores(spark: SparkSession, sf_dir: str, min_level: str = "MEDIUM") -
     return spark.read.parquet(path)
 
 
+def stream_weekly_counts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 in complete mode: every week, with those that the watermark leaves open.
+
+    The file sink only appends, so the result (weeks x levels, bounded by the
+    time span) goes to the memory sink.
+    """
+    alerts = scored_alerts(tables.readings_from(events_stream(spark, sf_dir)), "NORMAL")
+    name = f"weekly_all_{uuid.uuid4().hex}"
+    q = (weekly_level_counts(alerts).writeStream.format("memory").queryName(name).outputMode("complete")
+         .option("checkpointLocation", f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}/checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return spark.table(name)
+
+
 def stream_weekly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     alerts = scored_alerts(tables.readings_from(events_stream(spark, sf_dir)), "NORMAL")
     path = run_to_parquet(weekly_level_counts(alerts), "weekly")

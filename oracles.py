@@ -569,6 +569,8 @@ ORACLES.update({
     "stream_weekly_counts": _w(READINGS, ALERTS, "wm AS (SELECT max(scored_at) - INTERVAL 1 DAY AS w FROM alerts)")
     + """SELECT date_trunc('week', scored_at) AS week_start, alert_level, count(*) AS n FROM alerts, wm
   WHERE date_trunc('week', scored_at) + INTERVAL 7 DAY <= w GROUP BY 1, 2""",
+    "stream_weekly_counts_all": _w(READINGS, ALERTS)
+    + "SELECT date_trunc('week', scored_at) AS week_start, alert_level, count(*) AS n FROM alerts GROUP BY 1, 2",
 })
 
 # F3 top-k report: the 8 highest-ranked rows of the label correlation.
