@@ -17,8 +17,13 @@ as 64-bit hashes, so a false match needs hash collisions over most of an
 item.  The benchmark's windows are broadcast only if their number, which is
 counted, is within ``BROADCAST_WINDOWS``; otherwise Spark joins by shuffle.
 
-Edge cases: null, empty and short texts (below five tokens) have no windows,
-on either side; repeated benchmark items each give their row; repeated
+An item without such a window (below five tokens, or too many placeholders in
+each) is found as a verbatim run of its tokens, placeholders' values and all:
+the whole item is one window, and documents' windows of its length are joined
+with it.
+
+Edge cases: null texts and texts without a token have no windows, on either
+side; repeated benchmark items each give their row; repeated
 documents with one doc_id are one document, whose windows count together;
 empty tables give an empty result; extra columns are ignored.
 """
@@ -99,13 +104,36 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
             .where(F.coalesce(F.size("bslots"), F.lit(0)) <= WINDOW - MIN_LITERALS))
 
 
+def plain_hashes(df: DataFrame, key: str) -> DataFrame:
+    """(key, hs): the hash of each token as written, without the signs of names and units."""
+    ts = tokens(F.coalesce("text", F.lit("")))
+    return df.select(key, F.transform(ts, lambda t: F.xxhash64(F.regexp_replace(t, f"^[{NAME}{UNIT}]", ""))).alias("hs"))
+
+
+def verbatim(docs: DataFrame, benchmark: DataFrame, windowed: DataFrame) -> DataFrame | None:
+    """(doc_id, item_id) where a document holds all tokens of an item that has none of ``windowed``'s rows; None without such items."""
+    items = plain_hashes(benchmark.select("item_id", "text").dropna(subset=["item_id"]), "item_id").where("size(hs) > 0")
+    items = items.join(windowed.select("item_id").distinct(), "item_id", "left_anti").select("item_id", F.size("hs").alias("len"), F.xxhash64("hs").alias("h"))
+    items = staged(items.distinct(), "short-items")
+    lengths = sorted(r["len"] for r in items.select("len").distinct().collect())  # few: the items are short or all placeholders
+    if not lengths:
+        return None
+    if items.count() <= BROADCAST_WINDOWS:
+        items = F.broadcast(items)
+    size = F.array(*(F.lit(n) for n in lengths))
+    runs = (plain_hashes(docs, "doc_id").select("doc_id", "hs", F.explode(size).alias("len")).where("size(hs) >= len")
+            .select("doc_id", "len", F.explode(F.expr("transform(sequence(1, size(hs) - len + 1), i -> xxhash64(slice(hs, i, len)))")).alias("h")))
+    return runs.join(items, ["len", "h"]).select("doc_id", "item_id").where("doc_id is not null").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, n_slots, coverage) for each contaminated pair."""
     b = staged(item_windows(benchmark), "benchmark-windows")
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    short = verbatim(d, benchmark, b)
     total = b.groupBy("item_id").agg(F.countDistinct("bpos").alias("n_windows"))
     if b.count() <= BROADCAST_WINDOWS:
         b, total = F.broadcast(b), F.broadcast(total)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hit = staged(windows(d, "doc_id").join(b, "h").select(
         "doc_id", "item_id", "pos", (F.col("pos") - F.col("bpos")).alias("shift"), "bpos", "bslots"), "template-hits")
     at = ["doc_id", "item_id", "shift"]
@@ -124,10 +152,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
              .where("n_b = n_slots and n_d = n_slots").groupBy("doc_id", "item_id")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"),
                   F.max("n_slots").alias("n_slots")))
-    return (found.join(total, "item_id")
+    found = (found.join(total, "item_id")
             .withColumn("coverage", F.col("n_matched") / F.col("n_windows"))
             .where(F.col("coverage") >= coverage)
             .select("doc_id", "item_id", "n_windows", "n_matched", "n_slots", "coverage"))
+    if short is None:
+        return found
+    one = F.lit(1).cast("long")
+    return found.union(short.select("doc_id", "item_id", one, one, F.lit(0).cast("long"), F.lit(1.0)))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -83,6 +83,20 @@ def test_decontamination_slots(spark, make_docs):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_items_without_a_window(spark, make_docs):
+    bench = spark.createDataFrame([(1, "Calculate 12 * 34 + 56"), (2, "12 + 34 = 46; 7 * 8 = 56"), (3, "Name Everest's height"), (4, ""), (5, "+ -"),
+                                   (6, "What is the capital of France")], "item_id long, text string")
+    docs = make_docs([(1, "First: calculate 12 * 34 + 56. Then stop."), (2, "Then calculate 12 * 34 + 57."), (3, "so 12 + 34 = 46; 7 * 8 = 56"),
+                      (4, "12 34 46 7 8"), (5, "please Name Everest's Height now"), (5, "please Name Everest's Height now"), (6, None), (None, "Calculate 12 34 56"),
+                      (7, "What is the capital of France")])
+    got = sorted(tuple(r) for r in decontaminate.contaminated(docs, bench).collect() if r["item_id"] != 6)
+    assert got == [(1, 1, 1, 1, 0, 1.0), (3, 2, 1, 1, 0, 1.0), (5, 3, 1, 1, 0, 1.0)]
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, bench).where("item_id = 6").collect()} == {7}
+    assert sorted(r["doc_id"] or 0 for r in decontaminate.clean(docs, bench).collect()) == [0, 2, 4, 6]
+    plan = decontaminate.contaminated(docs, bench)._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow"))
+
+
 def test_decontamination_runs_no_python(spark):
     df = decontaminate.windows(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), "doc_id")
     assert not any(w in df._jdf.queryExecution().toString() for w in ("Python", "Arrow", "Pandas"))
