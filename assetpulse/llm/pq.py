@@ -107,12 +107,11 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, row, e) for the vectors that can link: finite, not zero, of the most common length."""
+    """(vec_id, row, e) for the vectors that can link: finite and not zero."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     ok = v.where("e is not null and size(e) > 0 and not exists(e, x -> x is null or isnan(x) or abs(x) = double('Infinity')) "
                  "and exists(e, x -> x <> 0)")
-    dims = ok.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    return ok.where(F.size("e") == (dims["d"] if dims else 0)).withColumn("row", F.xxhash64("vec_id", "e"))
+    return ok.withColumn("row", F.xxhash64("vec_id", "e"))
 
 
 def _matrix(batch, dim: int) -> np.ndarray:
@@ -233,10 +232,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding)."""
     good = usable(vectors)
     all_ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    n = good.count()
-    if not n:
+    dims = good.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()  # one row for each length
+    if not dims:
         return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = staged(link_counts(good, fit(good, n, threshold), threshold), "vector-links")
+    found = None  # vectors link with those of their own length only: an index for each
+    for r in dims:
+        own = good.where(F.size("e") == r["d"])
+        part = staged(link_counts(own, fit(own, r["n"], threshold), threshold), "vector-links")
+        found = part if found is None else found.union(part)
     roots = components(found.select(F.col("vec_id").alias("u"), F.col("peer").alias("v")))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     info = counts.join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")

@@ -117,6 +117,15 @@ def test_vector_dedup_edges(spark):
     assert len(got) == len(rows) and pq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vector_dedup_links_vectors_of_every_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 2.0, 3.0]), (5, [2.0, 4.0, 6.1]), (6, [5.0]), (7, [3.0]), (8, [-1.0]),
+            (9, [1.0, 0.0, 0.0, 0.0]), (10, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pq.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 1, 6, True), (7, 1, 6, False),
+                   (8, 0, 8, True), (9, 0, 9, True), (10, 0, 10, True)]
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(4)
     scores, trans = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
