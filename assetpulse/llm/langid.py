@@ -1,6 +1,7 @@
 """Language identification: a linear-chain conditional random field over words.
 
-Each word gets features from its beginning and end, its letter n-grams and a
+A word is a run of letters; a run of more than 40 letters is cut into
+consecutive words, so that all its letters count.  Each word gets features from its beginning and end, its letter n-grams and a
 lexicon entry for the word itself, all hashed into one weight table.  Learned
 transitions tie neighbouring words, and forward-backward gives each word's
 label probabilities, so code-switched text gets a label for every word.  A
@@ -37,7 +38,8 @@ from .common import Shared, bounded_sample, crc_mod, text_slices
 SAMPLE_PER_LANG, SAMPLE_CHARS = 200, 20_000
 BUCKETS = 1 << 16
 BLOCK = 64
-WORD = re.compile(r"[^\W\d_]+")
+#: A run of letters; longer ones (scripts without spaces) become consecutive words of at most 40.
+WORD = re.compile(r"[^\W\d_]{1,40}")
 
 
 def _hashed(x: np.ndarray, kind: int) -> np.ndarray:
@@ -51,12 +53,12 @@ A, B, C, D = (np.uint64(x) for x in (0x100000001B3, 0x5851F42D4C957F2D, 0x14057B
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed feature ids of some words, and the index of the word that each belongs to.
 
-    A word is taken with a sign before and after it (its first 40 letters);
+    A word (of at most 40 letters) is taken with a sign before and after it;
     its letter bigrams and trigrams thereby include affixes of one and two
     letters.  Three-letter affixes and the word itself (the lexicon entry)
     are added.
     """
-    marked = [f"^{w[:40]}$" for w in words]
+    marked = [f"^{w}$" for w in words]
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     start = np.cumsum(size) - size

@@ -185,6 +185,15 @@ def test_language_edges_and_code_switching(spark, make_docs):
     assert {r["lang_pred"] for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_reads_all_letters_of_a_long_run(spark, make_docs):
+    en, ja = "the quick brown fox jumps over lazy dogs ", "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0 "
+    model = langid.train(make_docs([(i, (en if i % 2 else ja) * 20, "en" if i % 2 else "ja") for i in range(40)]))
+    run = "x" * 40 + (ja * 60).replace(" ", "")     # a run that only begins with Latin letters
+    got = {r["doc_id"]: r for r in langid.predict(make_docs([(1, run), (2, en)]), model, spans=True).collect()}
+    assert got[1]["lang_pred"] == "ja" and got[2]["lang_pred"] == "en"
+    assert sum(s["words"] for s in got[1]["spans"]) == -(-len(run) // 40) and max(map(len, langid.WORD.findall(run))) == 40
+
+
 def test_quality_held_out(spark):
     got = quality.op6_query(spark, SF_MID).join(spark.read.parquet(f"{SF_MID}/labels.parquet").select("doc_id", "quality"), "doc_id").toPandas()
     held = got[got.held_out]
