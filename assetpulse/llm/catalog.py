@@ -7,7 +7,7 @@ BPE (libraries; tests compare with them) and language-model scores (sampled;
 tests check the exact parts by brute force).
 """
 
-from . import bpe, chosenpath, crosspolytope, decontaminate, langid, linededup, pitmanyor, pq, quality, tokenfile, toxicity
+from . import bpe, chosenpath, crosspolytope, decontaminate, langid, linededup, pitmanyor, pq, prefixtrie, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_query,
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_byte_bpe": bpe.op9_query,
     "op10_lm_score": pitmanyor.op10_query,
     "op12_cross_polytope": crosspolytope.op12_query,
+    "op13_prefix_trie": prefixtrie.op13_query,
 }
 ORACLES = {
     "op3_decontamination": decontaminate.OP3_SQL,
