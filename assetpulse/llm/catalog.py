@@ -7,7 +7,7 @@ BPE (libraries; tests compare with them) and language-model scores (sampled;
 tests check the exact parts by brute force).
 """
 
-from . import bpe, chosenpath, crosspolytope, decontaminate, langid, linededup, pitmanyor, pq, prefixtrie, quality, tokenfile, toxicity
+from . import balltree, bpe, chosenpath, crosspolytope, decontaminate, langid, linededup, pitmanyor, pq, prefixtrie, quality, tokenfile, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_query,
@@ -20,10 +20,12 @@ QUERIES = {
     "op8_embedding_dedup": pq.op8_query,
     "op9_byte_bpe": bpe.op9_query,
     "op10_lm_score": pitmanyor.op10_query,
+    "op11_ball_tree": balltree.op11_query,
     "op12_cross_polytope": crosspolytope.op12_query,
     "op13_prefix_trie": prefixtrie.op13_query,
 }
 ORACLES = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
+    "op11_ball_tree": balltree.OP11_SQL,
 }
