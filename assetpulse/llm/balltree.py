@@ -10,9 +10,10 @@ projected onto the block's terms (an inner product sees no others) in one scan
 of the whole texts, and dealt by their heaviest term, so that documents with
 the same rare words share a tree.  A tree holds up to ``TREE_ROWS`` documents:
 a node splits at the median of the line through two far members, and keeps its
-centroid and the radius around it.  An item visits a tree best-first by the
-bound (item . centroid + |item| x radius), rounded up by more than the
-arithmetic can lose, and skips a subtree only if that bound is below the
+centroid, the radius around it, and that radius term by term: how far a member
+reaches beyond the centroid.  An item visits a tree best-first by the bound
+item . centroid + min(|item| x radius, item . radii), rounded up by more than
+the arithmetic can lose, and skips a subtree only if that bound is below the
 score of its 20th document so far.  Before the search over all documents,
 every item gets a start for that score from a hashed share of them, which is a
 lower bound whatever the sample holds.  Leaves are scored in integers.
@@ -177,10 +178,25 @@ class Tree:
             order[lo:hi] = rows[np.argsort(np.add.reduceat(v * b[t], first) - to_a, kind="stable")]
             kid.append(len(spans))
             spans += [(lo, (lo + hi) // 2), ((lo + hi) // 2, hi)]
-        self.order, self.kid, self.radius = order, kid, np.array(radius)
+        self.order, self.kid, self.radius = order, kid, radius
         self.lo, self.hi = np.array(spans).T.tolist()
         self.c_start = np.cumsum([0] + [len(c) for c in c_terms]).tolist()
         self.c_terms, self.c_vals = np.concatenate(c_terms), np.concatenate(c_vals)
+        self.c_reach = np.zeros(len(self.c_vals))
+        largest = np.zeros(width)
+        for node in reversed(range(len(kid))):  # children before their parents
+            for j in (kid[node], kid[node] + 1) if kid[node] else ():
+                own_at = slice(self.c_start[j], self.c_start[j + 1])
+                at = self.c_terms[own_at]
+                largest[at] = np.maximum(largest[at], self.c_vals[own_at] + self.c_reach[own_at])
+            if not kid[node]:
+                rows = order[self.lo[node]:self.hi[node]]
+                at = ragged(start[rows], size[rows])
+                np.maximum.at(largest, terms[at], values[at])
+            own_at = slice(self.c_start[node], self.c_start[node + 1])
+            at = self.c_terms[own_at]
+            self.c_reach[own_at] = np.maximum(largest[at] - self.c_vals[own_at], 0.0)
+            largest[at] = 0.0
         at = ragged(start[order], size[order])
         self.terms, self.vals = terms[at], vals[at]
         self.start = np.cumsum(np.append(0, size[order])).tolist()
@@ -194,12 +210,13 @@ class Tree:
 
     def roots(self, items: Items, norms: np.ndarray) -> np.ndarray:
         """Bounds of all items at the root."""
-        center = np.zeros(len(items.hashes))
-        end = self.c_start[1]
-        center[self.c_terms[:end]] = self.c_vals[:end]
-        sums = np.concatenate([[0.0], np.cumsum(center[items.terms] * items.repeats)])
-        at = items.start
-        return (sums[at[1:]] - sums[at[:-1]] + sums[-1] * len(sums) * 2.0 ** -51) + norms * self.radius[0]
+        end, out = self.c_start[1], []
+        for part in (self.c_vals, self.c_reach):
+            whole = np.zeros(len(items.hashes))
+            whole[self.c_terms[:end]] = part[:end]
+            sums = np.concatenate([[0.0], np.cumsum(whole[items.terms] * items.repeats)])
+            out.append(sums[items.start[1:]] - sums[items.start[:-1]] + sums[-1] * len(sums) * 2.0 ** -51)
+        return out[0] + np.minimum(norms * self.radius[0], out[1])
 
     def search(self, query: np.ndarray, whole: np.ndarray, norm: float, slack: float, best: "Best") -> None:
         """Put the vectors that are among the best for an item into ``best``; ``query``: the item's counts by term."""
@@ -215,9 +232,11 @@ class Tree:
                 best.offer(np.add.reduceat(self.vals[lo:hi] * whole[self.terms[lo:hi]], first), self.order[self.lo[node]:self.hi[node]])
                 continue
             a, m, z = self.c_start[kid:kid + 3]
-            dots = np.add.reduceat(self.c_vals[a:z] * query[self.c_terms[a:z]], [0, m - a])
+            asked = query[self.c_terms[a:z]]
+            middle = np.add.reduceat(self.c_vals[a:z] * asked, [0, m - a]).tolist()
+            reach = np.add.reduceat(self.c_reach[a:z] * asked, [0, m - a]).tolist()
             for j in (0, 1):
-                bound = float(dots[j]) + norm * float(self.radius[kid + j])
+                bound = middle[j] + min(norm * self.radius[kid + j], reach[j])
                 if bound * slack >= best.least:
                     heapq.heappush(heap, (-bound, kid + j))
 

@@ -2,7 +2,8 @@
 
 Without SQL: toxicity and quality scores and language ids (fitted models;
 tests check held-out accuracy), the chosen-path and vector joins (sampled
-candidate search; tests compare with brute force), token files, byte-level
+candidate search; tests compare with brute force), the hashed neighbour
+search (sampled; tests measure its recall against brute force), token files, byte-level
 BPE (libraries; tests compare with them) and language-model scores (sampled;
 tests check the exact parts by brute force).
 """
@@ -28,4 +29,5 @@ ORACLES = {
     "op3_decontamination": decontaminate.OP3_SQL,
     "op5_line_dedup": linededup.OP5_SQL,
     "op11_ball_tree": balltree.OP11_SQL,
+    "op13_prefix_trie": prefixtrie.OP13_SQL,
 }

@@ -330,6 +330,44 @@ def _names() -> list[str]:
     return [c.split()[0] for c in NODE.split(", ")]
 
 
+#: crc32 is computed bit by bit over the bytes of the decimal id.
+OP13_SQL = r"""
+WITH ids AS (SELECT DISTINCT CAST(conv_id AS BIGINT) AS conv_id FROM conversations WHERE conv_id IS NOT NULL),
+bytes AS (SELECT conv_id, unnest(range(1, length(CAST(conv_id AS VARCHAR)) + 1)) AS place FROM ids),
+crc AS (
+  SELECT conv_id, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list(CAST(ascii(substr(CAST(conv_id AS VARCHAR), place, 1)) AS BIGINT) ORDER BY place)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM bytes GROUP BY conv_id),
+turns AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS key,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS words,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), key) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+parts AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.key, t.words FROM crc c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, t.pos, t.key, t.words FROM crc c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+seqs AS (
+  SELECT i.conv_id, coalesce(list(p.key ORDER BY p.part, p.pos) FILTER (p.key IS NOT NULL), []) AS keys,
+    coalesce(list(p.words ORDER BY p.part, p.pos) FILTER (p.key IS NOT NULL), []) AS words
+  FROM ids i LEFT JOIN parts p USING (conv_id) GROUP BY i.conv_id),
+prefixes AS (SELECT conv_id, keys, words, unnest(range(0, len(keys) + 1)) AS depth FROM seqs),
+nodes AS (
+  SELECT array_to_string(keys[1:depth], '') AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(any_value(words[depth]), 0) AS words,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(keys) = depth), '')) AS ends_sha256
+  FROM prefixes GROUP BY 1, 2),
+kids AS (SELECT left(path, 32 * (depth - 1)::BIGINT) AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (path, depth)),
+below AS (
+  SELECT a.path, count(*) FILTER (b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words) AS saved_tokens
+  FROM full_nodes b JOIN full_nodes a ON a.depth <= b.depth AND a.path = left(b.path, 32 * a.depth::BIGINT) GROUP BY a.path)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves,
+  CAST(b.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b ON b.path = n.path LEFT JOIN full_nodes p ON p.depth = n.depth - 1 AND p.path = left(n.path, 32 * (n.depth - 1)::BIGINT)
+"""
+
+
 def op13_query(spark, sf_dir: str) -> DataFrame:
     from assetpulse.sources.tables import read_table
     return trie(rebuilt(sequences(read_table(spark, sf_dir, "conversations"))))
