@@ -18,6 +18,7 @@ from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,8 +101,10 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5,
     has no probabilities), thresholded prediction.  Trained columns that the
     table lacks are 0."""
     out = model.transform(prepare.add_missing_features(df, raw_features(model)))
-    if "probability" in out.columns:
+    if "probability" in out.columns and isinstance(out.schema["probability"].dataType, VectorUDT):
         p = vector_to_array(F.col("probability"))[1]
+    elif "probability" in out.columns:      # a rule stage's number
+        p = F.col("probability").cast("double")
     else:
         p = F.col("prediction").cast("double")
     out = out.withColumn(prob_col, p)

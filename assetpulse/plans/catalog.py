@@ -16,6 +16,9 @@ import json
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -464,9 +467,87 @@ def q_stream_scores(spark, sf_dir):
     return finish(alerts_stream.stream_scores(spark, sf_dir, "MEDIUM"))
 
 
+def _event_files(spark, sf_dir, n=6):
+    """All events dealt into ``n`` files of a new folder: a source with several micro-batches."""
+    path = _folder(spark, "events")
+    tables.read_table(spark, sf_dir, "events").repartition(n, "event_id").write.parquet(path)
+    return path
+
+
+class _BrokenOff(Exception):
+    """Raised by a query's own ``after_batch`` to end a start between a batch's write and its commit."""
+
+
+def _break_after(batch):
+    def after(b):
+        if b == batch:
+            raise _BrokenOff(f"batch {b} was written, not committed")
+    return after
+
+
+def _twice(start):
+    """Run ``start(after_batch)`` twice: the first run breaks after its second batch was written."""
+    try:
+        start(_break_after(1))
+    except StreamingQueryException:
+        pass
+    return start(None)
+
+
+def _readings_stream(spark, folder):
+    events = (spark.readStream.schema(alerts_stream.EVENTS_SCHEMA).option("maxFilesPerTrigger", 2).parquet(folder))
+    return tables.readings_from(events)
+
+
 @query("stream_weekly_counts_all")
 def q_stream_weekly_counts_all(spark, sf_dir):
-    return alerts_stream.stream_weekly_counts_all(spark, sf_dir)
+    """Every week, from several micro-batches and two starts; on-time and late rows together."""
+    folder, base = _event_files(spark, sf_dir), alerts_stream.new_base(spark, "weekly-table")
+
+    def start(after):
+        alerts = alerts_stream.scored_alerts(_readings_stream(spark, folder), "NORMAL")
+        return alerts_stream.run_weekly_table(alerts, base, after_batch=after)
+
+    return _twice(start).select("week_start", "alert_level", (F.col("n") + F.col("n_late")).alias("n"))
+
+
+@query("stream_model_scores")
+def q_stream_model_scores(spark, sf_dir):
+    """A saved and loaded pipeline (the tool-wear rule as its stage) scores all readings as a stream in two starts."""
+    folder, base = _event_files(spark, sf_dir), alerts_stream.new_base(spark, "model-scores")
+    rule = SQLTransformer(statement="SELECT *, tool_wear_min / 254.0D AS probability FROM __THIS__")
+    learn.save_model(PipelineModel([rule]), f"{base}/model", {"model_type": "rule", "threshold": 0.5})
+
+    def start(after):
+        model, meta = learn.load_model(f"{base}/model")
+        return alerts_stream.run_model_scores(_readings_stream(spark, folder), model, base, meta["threshold"], "MEDIUM", after)
+
+    return finish(_twice(start))
+
+
+@query("stream_model_checks")
+def q_stream_model_checks(spark, sf_dir):
+    """A fitted logistic pipeline on the stream (two starts) against the same model on the batch: rows per label, rows
+    that are missing, there twice, or different."""
+    folder, base = _event_files(spark, sf_dir), alerts_stream.new_base(spark, "model-checks")
+    s = _ml_split(spark, sf_dir)
+    train = s.where(F.col("part") == "train")
+    learn.save_model(learn.build_pipeline(train, ML_FEATURES, "logistic_regression", "label", encode_type=False).fit(train),
+                     f"{base}/model", {"model_type": "logistic_regression", "threshold": 0.5})
+    model, meta = learn.load_model(f"{base}/model")
+
+    def start(after):
+        return alerts_stream.run_model_scores(sensor.derive(_readings_stream(spark, folder)), model, base, meta["threshold"],
+                                              after_batch=after)
+
+    streamed = _twice(start).groupBy("udi").agg(F.count(F.lit(1)).alias("rows"), F.max("failure_probability").alias("p"),
+                                                F.max("alert_level").alias("level"))
+    batch = alerts_stream.model_alerts(sensor.derive(_readings(spark, sf_dir)), model, meta["threshold"])
+    j = batch.join(streamed, "udi", "left")
+    return j.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("rows").isNull()).alias("missing"),
+        F.count_if(F.col("rows") > 1).alias("twice"),
+        F.count_if((F.abs(F.col("p") - F.col("failure_probability")) > 1e-12) | (F.col("level") != F.col("alert_level"))).alias("different"))
 
 
 @query("stream_weekly_counts")

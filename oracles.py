@@ -651,3 +651,12 @@ ORACLES.update({
     "score_checks": _w(READINGS) + """SELECT machine_failure AS label, count(*) AS n, 0::BIGINT AS bad_probability,
   0::BIGINT AS bad_prediction, 0::BIGINT AS bad_level FROM readings GROUP BY 1""",
 })
+
+
+# --------------------------------------------------------------------------
+# Streams of several batches and two starts: equal to the batch result
+ORACLES.update({
+    "stream_model_scores": ORACLES["stream_scores"],
+    "stream_model_checks": _w(READINGS) + """SELECT machine_failure AS label, count(*) AS n, 0::BIGINT AS missing,
+  0::BIGINT AS twice, 0::BIGINT AS different FROM readings GROUP BY 1""",
+})
