@@ -14,7 +14,7 @@ import json
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,6 +22,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import io
 from . import evaluate, prepare, sampling
 from .sensor import type_indexer
 
@@ -31,6 +32,7 @@ from .sensor import type_indexer
 GBT_DEFAULTS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.01, "subsamplingRate": 0.8,
                 "featureSubsetStrategy": "0.8", "seed": 42}
 RF_DEFAULTS = {"numTrees": 100, "maxDepth": 10, "seed": 42}
+SVC_DEFAULTS = {"maxIter": 100, "regParam": 0.01, "tol": 1e-4}   # a margin, no probability
 LR_DEFAULTS = {"maxIter": 100, "regParam": 0.0, "tol": 1e-4}   # tolerance of the usual library default
 
 
@@ -48,6 +50,9 @@ def balance_weights(df: DataFrame, label: str = "label", col: str = "weight") ->
 
 def scaler_stage(params: dict[str, tuple[float, float]], suffix: str = "_z") -> SQLTransformer:
     """D27 as a pipeline stage: ``(x - mean) / std_pop`` with fitted literals."""
+    empty = [c for c, (m, _) in params.items() if m is None]
+    if empty:
+        raise ValueError(f"nothing to train on: no values in {', '.join(empty)}")
     cols = ", ".join(f"(CAST(`{c}` AS double) - {m!r}D) / {s!r}D AS `{c}{suffix}`"
                      for c, (m, s) in params.items())
     return SQLTransformer(statement=f"SELECT *, {cols} FROM __THIS__")
@@ -61,6 +66,8 @@ def make_classifier(kind: str, label: str = "label", weight_col: str | None = No
         est = RandomForestClassifier(**common, **{**RF_DEFAULTS, **params})
     elif kind == "logistic_regression":
         est = LogisticRegression(**common, **{**LR_DEFAULTS, **params})
+    elif kind == "linear_svc":
+        est = LinearSVC(**common, **{**SVC_DEFAULTS, **params})
     else:
         raise ValueError(f"unknown model kind {kind!r}")
     if weight_col:
@@ -111,20 +118,64 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = 0.5,
     return out.withColumn("prediction", (F.col(prob_col) >= F.lit(float(threshold))).cast("int"))
 
 
+def best_rounds(losses: list[float], patience: int) -> int:
+    """Rounds up to the least loss, looking no further than ``patience`` rounds after the best one so far."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        if i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_stopped_early(train: DataFrame, valid: DataFrame, features: list[str], label: str = "label", patience: int = 10,
+                      **pipeline_kw) -> tuple[PipelineModel, DataFrame]:
+    """M5: boosted trees cut at the round with the least validation loss.
+
+    All rounds are fitted once.  One pass over ``valid`` adds up each row's
+    margin tree by tree and gives the loss of every prefix of the ensemble
+    (``evaluateEachIteration``).  A shorter ensemble is fitted anew with that
+    many rounds: rounds are seeded by their number, so its trees are the
+    prefix's.  Returns the pipeline and (round, loss, kept).
+    """
+    pipeline = build_pipeline(train, features, "gbt", label, **pipeline_kw)
+    full = pipeline.fit(train)
+    seen = valid
+    for stage in full.stages[:-1]:
+        seen = stage.transform(seen)
+    losses = full.stages[-1].evaluateEachIteration(seen.withColumn(label, F.col(label).cast("double")).select("features", label))
+    rounds = best_rounds(losses, patience)
+    model = full
+    if rounds < len(losses):
+        grown = train
+        for stage in full.stages[:-1]:
+            grown = stage.transform(grown)
+        model = PipelineModel([*full.stages[:-1], pipeline.getStages()[-1].copy().setMaxIter(rounds).fit(grown)])
+    history = train.sparkSession.createDataFrame([(i + 1, float(v), i < rounds) for i, v in enumerate(losses)],
+                                                 "round int, loss double, kept boolean")
+    return model, history
+
+
 def train_models(train: DataFrame, test: DataFrame, features: list[str], label: str = "label",
                  kinds=("gbt", "random_forest", "logistic_regression"), run: str = "run",
-                 params: dict | None = None, **pipeline_kw):
+                 params: dict | None = None, log_path: str | None = None, patience: int | None = 10, **pipeline_kw):
     """M9: fit several pipelines, evaluate each on ``test``, keep going when one
     fails.  Returns (models dict, metrics DataFrame (run, model, seq, part, metric,
     value, reason)): metrics of the train and the test side; a failed model has one
-    row with the reason."""
+    row with the reason.  Boosted trees are stopped early on ``test`` (the
+    reference's evaluation set) after ``patience`` rounds without gain (None: not).
+    With ``log_path`` the rows replace those of the same run in the metric log."""
     spark = train.sparkSession
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     models, rows = {}, []
     for seq, kind in enumerate(kinds):
         try:
-            pm = build_pipeline(train, features, kind, label, **pipeline_kw,
-                                **(params or {}).get(kind, {})).fit(train)
+            settings = {**pipeline_kw, **(params or {}).get(kind, {})}
+            if kind == "gbt" and patience is not None:
+                pm, _ = fit_stopped_early(train, test, features, label, patience, **settings)
+            else:
+                pm = build_pipeline(train, features, kind, label, **settings).fit(train)
         except Exception as e:  # noqa: BLE001 - one failing model must not stop the loop
             rows.append((run, kind, seq, "train", "error", None, f"{type(e).__name__}: {e}"[:1000]))
             continue
@@ -141,6 +192,8 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], label:
     train.unpersist()
     metrics = spark.createDataFrame(rows, "run string, model string, seq int, part string, metric string, "
                                           "value double, reason string")
+    if log_path:
+        io.append_metrics(metrics, log_path)
     return models, metrics
 
 
@@ -162,18 +215,10 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def node_importance(model: PipelineModel, path: str) -> DataFrame:
-    """M10 gain / weight / cover per feature from the saved tree-node table:
+def node_importance(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """M10 gain / weight / cover per feature from a tree-node table (``store.node_table``):
     average gain per split, number of splits, average instance count."""
-    model.write().overwrite().save(path)
-    n = len(model.stages)
-    clf = model.stages[-1]
-    # stage folders are "<index zero-padded to the digits of n>_<uid>"
-    clf_dir = f"{path.rstrip('/')}/stages/{str(n - 1).zfill(len(str(n)))}_{clf.uid}/data"
-    nodes = SparkSession.getActiveSession().read.parquet(clf_dir)
-    nd = nodes.select("nodeData.*") if "nodeData" in nodes.columns else nodes
-    splits = nd.where(F.col("split.featureIndex") >= 0)
-    names = feature_names(model)
+    splits = nodes.where(F.col("split.featureIndex") >= 0)
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_index") + 1)
     return (splits.groupBy(F.col("split.featureIndex").alias("feature_index"))
                   .agg(F.avg("gain").alias("gain"), F.count(F.lit(1)).alias("weight"),
@@ -181,18 +226,6 @@ def node_importance(model: PipelineModel, path: str) -> DataFrame:
                   .withColumn("feature", name))
 
 
-def model_info(model: PipelineModel, name: str, version: str, trained_at: str,
-               threshold: float, metrics: dict | None = None) -> DataFrame:
-    """One-row description of a model."""
-    spark = SparkSession.getActiveSession()
-    feats = feature_names(model)
-    row = (name, version, trained_at, len(feats), feats, float(threshold),
-           json.dumps(metrics or {}))
-    return spark.createDataFrame([row], "model_type string, version string, last_trained string, "
-                                        "n_features int, features array<string>, threshold double, "
-                                        "metrics string")
-
-
 def save_model(model: PipelineModel, path: str, metadata: dict) -> None:
     """The pipeline (all stages) plus a one-row JSON metadata table."""
     spark = SparkSession.getActiveSession()

@@ -11,7 +11,7 @@ The operators themselves keep full precision.
 
 from __future__ import annotations
 
-import datetime
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.errors import StreamingQueryException
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +27,9 @@ from ..functions import levels
 from ..operators import customer as cf
 from .. import config
 from ..operators import (evaluate, learn, monitor, neighbors, oversample, prepare, quality,
-                         sampling, scoring, sensor)
+                         sampling, scoring, sensor, store)
 from .. import schemas
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import io, tables
 from ..streaming import alerts as alerts_stream
 from . import features, ingest, training
@@ -408,11 +408,6 @@ def q_best_model(spark, sf_dir):
 # Learning (Spark ML).  Rows-only checks: tree training is not SQL.
 ML_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min",
                "power", "temperature_ratio", "tool_wear_rate"]
-# Models fitted in this Spark application, by application, folder and kind: the
-# queries that describe one model share it.  All use the default 100 rounds.
-_MODELS: dict = {}
-
-
 def _ml_split(spark, sf_dir):
     r = sensor.derive(_readings(spark, sf_dir)).withColumnRenamed("machine_failure", "label")
     return sampling.stratified_split(r, "label", "udi")
@@ -422,34 +417,113 @@ def _ml_split(spark, sf_dir):
 SMOTE_FEATURES = ML_FEATURES + ["type_encoded"]
 
 
-def _trained(spark, sf_dir, kind="gbt"):
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _MODELS:
-        from ..session import cut_lineage
-        s = sensor.encode_type(_ml_split(spark, sf_dir))
+def _trained(spark, sf_dir):
+    """Root of the model store with boosted trees for the folder's readings (and its split), trained if no version is published.
+
+    The store lies in the shared folder, by application: what a query reads is
+    the published version, whichever query trained it.
+    """
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{spark.sparkContext.applicationId}/{hashlib.md5(sf_dir.encode()).hexdigest()}"
+    s = sensor.encode_type(_ml_split(spark, sf_dir))
+    if not store.versions(spark, root, "gbt"):
         # notebook path: SMOTE on the train part (always), then scaling + model
-        train = cut_lineage(oversample.smote(s.where(F.col("part") == "train"), "label", "udi",
-                                             SMOTE_FEATURES))
-        model = learn.build_pipeline(train, SMOTE_FEATURES, kind, "label", encode_type=False).fit(train)
-        _MODELS.clear()
-        _MODELS[key] = (model, s, datetime.datetime.now(datetime.timezone.utc).isoformat(timespec="seconds"))
-    return _MODELS[key]
+        train = cut_lineage(oversample.smote(s.where(F.col("part") == "train"), "label", "udi", SMOTE_FEATURES))
+        test = s.where(F.col("part") == "test")
+        model, history = learn.fit_stopped_early(train, test, SMOTE_FEATURES, encode_type=False)
+        history.write.mode("overwrite").parquet(f"{root}/history")
+        g = evaluate.score_groups(learn.score(model, test), "label", "probability_1").persist()
+        m = evaluate.binary_metrics(g, weight="n").first()
+        auc = evaluate.roc_auc(g, "label", "probability_1", weight="n").first()["auc"]
+        g.unpersist()
+        store.publish(model, root, "gbt", {"model_type": "gbt", "threshold": 0.5, "metrics": {
+            **{k: m[k] for k in ("accuracy", "precision", "recall", "f1")}, "roc_auc": auc}})
+    return root, s
 
 
 @query("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
-    """M8: every reading scored, train and test part alike."""
-    model, s, _ = _trained(spark, sf_dir)
-    out = learn.score(model, s).drop("prediction")
-    out = scoring.score_equipment(out, "probability_1")
+    """M8: every reading scored by the newest published version, train and test part alike."""
+    root, s = _trained(spark, sf_dir)
+    model, meta = store.load(spark, root, "gbt")
+    out = scoring.score_equipment(learn.score(model, s, meta["threshold"]).drop("prediction"), "probability_1", meta["threshold"])
     return finish(out.select("udi", "label", F.col("probability_1").alias("failure_probability"),
                              "prediction", "alert_level", "recommended_action", "confidence"))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    model, _, _ = _trained(spark, sf_dir)
-    return finish(learn.feature_importance(model))
+    root, _ = _trained(spark, sf_dir)
+    return finish(learn.feature_importance(store.load(spark, root, "gbt")[0]))
+
+
+@query("early_stopping")
+def q_early_stopping(spark, sf_dir):
+    """M5: the validation loss after each boosting round, and whether the round was kept."""
+    root, _ = _trained(spark, sf_dir)
+    return finish(spark.read.parquet(f"{root}/history"))
+
+
+@query("model_checks")
+def q_model_checks(spark, sf_dir):
+    """Rows of the model tables, and those that break a rule of theirs."""
+    root, s = _trained(spark, sf_dir)
+    model, meta = store.load(spark, root, "gbt")
+    train = s.where(F.col("part") == "train")
+    names = spark.createDataFrame([(n,) for n in learn.feature_names(model)], "feature string")
+    forest = learn.build_pipeline(train, ML_FEATURES, "random_forest", "label", encode_type=False).fit(train)
+    parts = []
+
+    def check(table, df, *bad):
+        broken = F.lit(False)
+        for b in bad:
+            broken = broken | F.coalesce(b, F.lit(True))
+        parts.append(df.agg(F.lit(table).alias("table"), F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("broken")))
+
+    for kind, m in (("gbt", model), ("random_forest", forest)):
+        imp = learn.feature_importance(m)
+        total = imp.agg(F.abs(F.sum("importance") - 1).alias("off"))
+        above = Window.orderBy("rank")  # one row per feature
+        check(f"{kind} importance", imp.withColumn("before", F.lag("importance", 1, 1.0).over(above)).crossJoin(total),
+              F.col("off") > 1e-9, F.col("importance") < 0, F.col("importance") > F.col("before"),
+              F.col("feature") != F.element_at(F.array(*[F.lit(n) for n in learn.feature_names(m)]), F.col("feature_index") + 1))
+    nodes = store.node_table(spark, root, "gbt")
+    gain = learn.node_importance(nodes, learn.feature_names(model))
+    splits = nodes.where(F.col("split.featureIndex") >= 0).groupBy(F.col("split.featureIndex").alias("feature_index")).agg(
+        F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gains"), F.sum("rawCount").alias("rows"))
+    used = names.join(gain, "feature", "left").join(splits, "feature_index", "left").na.fill(0)
+    check("gbt gain", used, F.col("weight") != F.col("splits"), F.abs(F.col("gain") * F.col("weight") - F.col("gains")) > 1e-6 * (1 + F.col("gains")),
+          F.abs(F.col("cover") * F.col("weight") - F.col("rows")) > 1e-6 * (1 + F.col("rows")))
+    history = spark.read.parquet(f"{root}/history")
+    kept = history.where("kept").agg(F.max("round").alias("last"), F.min_by("round", "loss").alias("best"))
+    check("early stopping", history.crossJoin(kept), F.col("loss").isNull() | F.isnan("loss"), F.col("last") != F.col("best"),
+          F.col("kept") != (F.col("round") <= F.col("last")), F.col("last") != model.stages[-1].getNumTrees)
+    check("model info", store.describe(spark, root, "gbt"), F.col("n_features") != F.size("features"),
+          F.col("n_features") != len(SMOTE_FEATURES), F.to_timestamp("last_trained").isNull())
+    scores = scoring.score_equipment(learn.score(model, s).drop("prediction"), "probability_1")
+    p = F.col("probability_1")
+    check("gbt scores", scores, (p < 0) | (p > 1) | F.isnan(p), F.col("prediction") != (p >= 0.5).cast("int"))
+    margin = learn.build_pipeline(train, ML_FEATURES, "linear_svc", "label", encode_type=False).fit(train)
+    direct = margin.transform(s).select("udi", F.col("prediction").alias("own"))
+    check("margin model", learn.score(margin, s).join(direct, "udi"), F.col("probability_1") != F.col("own"),
+          ~F.col("probability_1").isin(0.0, 1.0), F.col("prediction") != F.col("own").cast("int"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("metric_log_checks")
+def q_metric_log_checks(spark, sf_dir):
+    """M9, A10: a training run that logs itself, run twice; a model that can't be fitted has its row. Rows and broken rows by model."""
+    path, s = _folder(spark, "training-log"), _ml_split(spark, sf_dir)
+    for _ in range(2):
+        learn.train_models(s.where(F.col("part") == "train"), s.where(F.col("part") == "test"), ML_FEATURES, "label",
+                           ("logistic_regression", "linear_svc", "no_such_model"), "nightly", log_path=path, encode_type=False)
+    failed = F.col("model") == "no_such_model"
+    good = F.col("value").between(0, 1) & F.col("reason").isNull()
+    return io.read_parquet(spark, path).groupBy("run", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("part", "metric").alias("distinct_metrics"),
+        F.count_if(F.when(failed, F.col("reason").isNull() | F.col("value").isNotNull()).otherwise(~F.coalesce(good, F.lit(False)))).alias("broken"))
 
 
 @query("model_metrics")
@@ -571,23 +645,17 @@ def q_churn_model_scores(spark, sf_dir):
 
 @query("feature_gain")
 def q_feature_gain(spark, sf_dir):
-    """Gain / weight / cover per feature from the saved tree-node table."""
-    from ..session import ensure_checkpoint_dir
-    import uuid
-    model, _, _ = _trained(spark, sf_dir)
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/gbt-{uuid.uuid4().hex}"
-    return finish(learn.node_importance(model, path))
+    """Gain / weight / cover per feature from the published version's tree-node table."""
+    root, _ = _trained(spark, sf_dir)
+    model, _ = store.load(spark, root, "gbt")
+    return finish(learn.node_importance(store.node_table(spark, root, "gbt"), learn.feature_names(model)))
 
 
 @query("model_info")
 def q_model_info(spark, sf_dir):
-    """When the model was fitted, and its metrics on the test part."""
-    model, s, trained_at = _trained(spark, sf_dir)
-    g = evaluate.score_groups(learn.score(model, s.where(F.col("part") == "test")), "label", "probability_1")
-    m = evaluate.binary_metrics(g, weight="n").first()
-    auc = evaluate.roc_auc(g, "label", "probability_1", weight="n").first()["auc"]
-    return learn.model_info(model, "gbt", "1", trained_at, 0.5,
-                            {**{k: m[k] for k in ("accuracy", "precision", "recall", "f1")}, "roc_auc": auc})
+    """The newest published version: when it was fitted, its features, its metrics on the test part."""
+    root, _ = _trained(spark, sf_dir)
+    return store.describe(spark, root, "gbt")
 
 
 @query("top_correlations")
@@ -713,9 +781,9 @@ def q_metric_log(spark, sf_dir):
     path = _folder(spark, "metrics")
     e = scoring.equipment_scores(_readings(spark, sf_dir))
     m = evaluate.threshold_metrics(e, THRESHOLDS, "label", "failure_probability")
-    for run in ("first", "second"):
+    for run in ("first", "second", "first"):  # the first run is logged twice, as by a retry
         io.append_metrics(m.select(F.lit(run).alias("run"), "model", "metric", "value"), path)
-    return finish(io.read_parquet(spark, path))
+    return finish(io.read_parquet(spark, path).select("run", "model", "metric", "value"))
 
 
 @query("feature_columns")

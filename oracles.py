@@ -660,3 +660,13 @@ ORACLES.update({
     "stream_model_checks": _w(READINGS) + """SELECT machine_failure AS label, count(*) AS n, 0::BIGINT AS missing,
   0::BIGINT AS twice, 0::BIGINT AS different FROM readings GROUP BY 1""",
 })
+
+# Models: rows of their tables, none of which may break a rule
+ORACLES.update({
+    "model_checks": _w(READINGS, "c AS (SELECT count(*) AS n FROM readings)") + """SELECT * FROM (VALUES
+  ('gbt importance', 9::BIGINT, 0::BIGINT), ('random_forest importance', 8::BIGINT, 0::BIGINT), ('gbt gain', 9::BIGINT, 0::BIGINT),
+  ('early stopping', 100::BIGINT, 0::BIGINT), ('model info', 1::BIGINT, 0::BIGINT)) v("table", n, broken)
+  UNION ALL SELECT t, n, 0::BIGINT FROM c, (VALUES ('gbt scores'), ('margin model')) w(t)""",
+    "metric_log_checks": """SELECT 'nightly' AS run, * FROM (VALUES ('logistic_regression', 10::BIGINT, 10::BIGINT, 0::BIGINT),
+  ('linear_svc', 10::BIGINT, 10::BIGINT, 0::BIGINT), ('no_such_model', 1::BIGINT, 1::BIGINT, 0::BIGINT)) v(model, n, distinct_metrics, broken)""",
+})
