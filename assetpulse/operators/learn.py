@@ -22,6 +22,7 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from ..sources import io
 from . import evaluate, prepare, sampling
 from .sensor import type_indexer
@@ -242,14 +243,18 @@ def load_model(path: str) -> tuple[PipelineModel, dict]:
     return model, meta
 
 
+def fold_of(id_col, folds: int = 5, seed: int = 42):
+    """The fold of a row: a portable draw from its id."""
+    return (draw(seed, id_col) % F.lit(folds)).cast("int")
+
+
 def cross_val_scores(df: DataFrame, features: list[str], id_col: str, label: str = "label",
                      kind: str = "logistic_regression", folds: int = 5, seed: int = 42,
                      **pipeline_kw) -> DataFrame:
-    """M7 ``cross_val_score``: fold = pmod(xxhash64(id, seed), folds); each fold is
-    scored by a pipeline fitted on the other folds (scaling statistics
+    """M7 ``cross_val_score``: each fold (:func:`fold_of`) is scored by a pipeline fitted on the other folds (scaling statistics
     included).  Returns (fold, accuracy, precision, recall, f1, roc_auc)."""
     spark = df.sparkSession
-    d = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)))
+    d = df.withColumn("_fold", fold_of(F.col(id_col), folds, seed))
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for k in range(folds):

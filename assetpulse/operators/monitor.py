@@ -7,7 +7,7 @@ already-aggregated rows (a handful of groups), never over row-level data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import levels
@@ -76,30 +76,51 @@ def monthly_churn(tx: DataFrame, at_risk=(15, 30), churned: int = 90) -> DataFra
 
     Day level: one row per (customer, purchase day) -- partially aggregated --
     then ``lead`` gives the next purchase day (the window runs over distinct
-    days, bounded by the time span).  Each interval [day, next day) is
-    expanded to the month-ends it contains (``sequence``, bounded by the
-    number of months), kept only for months that have purchases (a small
-    broadcast table), and counted per month.
+    days, bounded by the time span).  A customer is in a state from one
+    month-end of the interval [day, next day) to another; each state is two
+    events, +1 at its first month and -1 after its last, so an interval makes
+    at most six rows however long it is.  Events are summed by month (partial
+    aggregation) and a running sum over the months, of which there are as many
+    as the time span has, gives the counts.  Months without a purchase have no
+    row in the result.
     """
-    tx = cf.clean(tx)
-    days = tx.select(cf.KEY, F.to_date("invoice_date").alias("d")).distinct()
-    month_ends = days.select(F.last_day("d").alias("month_end")).distinct()
-    max_me = month_ends.agg(F.max("month_end").alias("_max_me"))
+    days = cf.clean(tx).select(cf.KEY, F.to_date("invoice_date").alias("d")).distinct()
+    last_month = days.agg(F.max(_month("d")).alias("_end"))
     w = Window.partitionBy(cf.KEY).orderBy("d")
-    iv = days.withColumn("nxt", F.lead("d").over(w)).crossJoin(F.broadcast(max_me))
+    iv = days.withColumn("nxt", F.lead("d").over(w)).crossJoin(F.broadcast(last_month))
     # month-ends in [d, next purchase day): the last one is the month-end
     # before the next purchase's month (or the latest month-end overall)
-    stop = F.coalesce(F.last_day(F.add_months(F.col("nxt"), -1)), F.col("_max_me"))
-    n_months = F.months_between(F.trunc(stop, "month"), F.trunc("d", "month")).cast("int")
-    ex = iv.where(F.last_day("d") <= stop).select(
-        cf.KEY, "d", F.explode(F.sequence(F.lit(0), n_months)).alias("i"))
-    ex = ex.select(cf.KEY, "d", F.last_day(F.add_months(F.trunc("d", "month"), F.col("i"))).alias("month_end"))
-    ex = ex.join(F.broadcast(month_ends), "month_end")
-    gap = F.datediff("month_end", "d")
-    return ex.groupBy("month_end").agg(
-        F.count(F.lit(1)).alias("customers"),
-        F.count(F.when((gap >= at_risk[0]) & (gap < at_risk[1]), 1)).alias("at_risk"),
-        F.count(F.when(gap >= churned, 1)).alias("churned"))
+    stop = F.coalesce(_month("nxt") - 1, F.col("_end"))
+
+    def reached(n):             # the month of the first month-end n or more days after d
+        return _month(F.date_add("d", n))
+
+    def before(n):              # the month of the last month-end less than n days after d
+        return _month(F.date_add("d", n)) - 1
+
+    spans = [("customers", _month("d"), stop),
+             ("at_risk", reached(at_risk[0]), F.least(before(at_risk[1]), stop)),
+             ("churned", reached(churned), stop)]
+    events = F.flatten(F.array(*[F.when(first <= last, F.array(_event(name, first, 1), _event(name, last + 1, -1)))
+                                 .otherwise(F.array().cast("array<struct<state:string,month:int,step:int>>")) for name, first, last in spans]))
+    steps = iv.select(F.explode(events).alias("e")).select("e.*")
+    marks = days.select(F.lit("seen").alias("state"), _month("d").alias("month"), F.lit(1).alias("step")).distinct()
+    names = [name for name, _, _ in spans]
+    by_month = (steps.unionByName(marks).groupBy("month")
+                .agg(*[F.sum(F.when(F.col("state") == n, F.col("step")).otherwise(0)).alias(n) for n in [*names, "seen"]]))
+    run = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, 0)      # one row for each month
+    month_end = F.last_day(F.make_date(F.expr("month div 12"), F.col("month") % 12 + 1, F.lit(1)))
+    return (by_month.select("month", "seen", *[F.sum(n).over(run).alias(n) for n in names]).where("seen > 0")
+            .select(month_end.alias("month_end"), *names))
+
+
+def _month(day) -> Column:
+    """Months since year 0."""
+    return F.year(day) * 12 + F.month(day) - 1
+
+
+def _event(state: str, month: Column, step: int) -> Column:
+    return F.struct(F.lit(state).alias("state"), month.cast("int").alias("month"), F.lit(step).alias("step"))
 
 
 def feature_drift(baseline: DataFrame, current: DataFrame, features: list[str],

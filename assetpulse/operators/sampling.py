@@ -13,12 +13,10 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw
 from . import customer as cf
 from .ranks import lex_kth, lex_le
 
-HASH_BITS = (1 << 53) - 1        # keep hashes exactly representable as double
-
-
 def epoch_micros(col: str) -> Column:
     """Microseconds since 1970-01-01 of a timestamp, independent of the session time zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
@@ -56,10 +54,9 @@ def time_split(df: DataFrame, ts_col: str, id_col: str, train_share: float = 0.8
 def stratified_split(df: DataFrame, label: str, id_col: str, test_share: float = 0.2,
                      seed: int = 42) -> DataFrame:
     """Per class, the ``round(test_share * n_class)`` rows with the smallest
-    (hash(id, seed), id) are test.  Class shares are exact; the row choice is a
-    seeded hash, not NumPy's generator."""
-    h = F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit(HASH_BITS)).alias("_h")
-    d = df.withColumn("_h", h).persist(StorageLevel.MEMORY_AND_DISK)
+    (draw(seed, id), id) are test.  Class shares are exact; the row choice is a
+    portable seeded draw (:mod:`draws`), not NumPy's generator."""
+    d = df.withColumn("_h", draw(seed, F.col(id_col))).persist(StorageLevel.MEMORY_AND_DISK)
     counts = d.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()   # one row per class
     cond = None
     for r in counts:

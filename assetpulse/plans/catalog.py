@@ -352,6 +352,18 @@ def q_stratified_split_counts(spark, sf_dir):
     return s.groupBy("machine_failure", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stratified_split_rows")
+def q_stratified_split_rows(spark, sf_dir):
+    """The part of every reading."""
+    return sampling.stratified_split(_readings(spark, sf_dir), "machine_failure", "udi").select("udi", "machine_failure", "part")
+
+
+@query("cv_folds")
+def q_cv_folds(spark, sf_dir):
+    """M7: the fold of every reading."""
+    return _readings(spark, sf_dir).select("udi", learn.fold_of(F.col("udi")).alias("fold"))
+
+
 @query("scaled_features")
 def q_scaled_features(spark, sf_dir):
     s = sampling.time_split(_readings(spark, sf_dir), "ts", "udi")
@@ -683,6 +695,14 @@ def q_oversampled_counts(spark, sf_dir):
     return out.groupBy("machine_failure", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("synthetic_rows")
+def q_synthetic_rows(spark, sf_dir):
+    """M4: every synthetic row of SMOTE on the stratified train part, with its values."""
+    s = sampling.stratified_split(_sensor(spark, sf_dir), "machine_failure", "udi")
+    out = oversample.smote(s.where(F.col("part") == "train"), "machine_failure", "udi", sensor.FEATURES)
+    return finish(out.where("synthetic").drop("synthetic"))
+
+
 @query("pr_points")
 def q_pr_points(spark, sf_dir):
     """M7 precision_recall_curve on the rule-based failure probability."""

@@ -670,3 +670,34 @@ ORACLES.update({
     "metric_log_checks": """SELECT 'nightly' AS run, * FROM (VALUES ('logistic_regression', 10::BIGINT, 10::BIGINT, 0::BIGINT),
   ('linear_svc', 10::BIGINT, 10::BIGINT, 0::BIGINT), ('no_such_model', 1::BIGINT, 1::BIGINT, 0::BIGINT)) v(model, n, distinct_metrics, broken)""",
 })
+
+# Portable draws: row choices and synthetic values
+from assetpulse.functions.draws import sql as _draw  # noqa: E402  (the generator's SQL text)
+
+_SPLIT = f"""sp AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY machine_failure ORDER BY {_draw(42, 'udi')}, udi)
+  <= floor(0.2 * count(*) OVER (PARTITION BY machine_failure) + 0.5) THEN 'test' ELSE 'train' END AS part FROM """
+
+
+def _smote_sql() -> str:
+    n = len(S_FEATURES)
+    vec = ", ".join(f"CAST({c} AS DOUBLE) AS f{j}" for j, c in enumerate(S_FEATURES))
+    d2 = " + ".join(f"(a.f{j} - b.f{j}) * (a.f{j} - b.f{j})" for j in range(n))
+    near = ", ".join(f"b.f{j} AS g{j}" for j in range(n))
+    u = f"({_draw(42, 'udi', 'copy', '2')} % 1000000) / 1000000.0::DOUBLE"
+    values = ", ".join(f"f{j} + u * (g{j} - f{j}) AS {c}" for j, c in enumerate(S_FEATURES))
+    return (_w(READINGS, SENSOR, _SPLIT + "sf)", "n AS (SELECT machine_failure, count(*) AS n FROM sp WHERE part = 'train' GROUP BY 1)",
+               "need AS (SELECT min(n) AS src, max(n) - min(n) AS need FROM n)",
+               f"m AS (SELECT udi, machine_failure, {vec} FROM sp WHERE part = 'train' AND machine_failure = (SELECT arg_min(machine_failure, n) FROM n))",
+               f"p AS (SELECT a.*, b.udi AS nb, {near}, {d2} AS d2 FROM m a JOIN m b ON a.udi <> b.udi)",
+               "q AS (SELECT *, row_number() OVER (PARTITION BY udi ORDER BY d2, nb) - 1 AS place FROM p)",
+               f"c AS (SELECT udi, need // src + CAST(row_number() OVER (ORDER BY {_draw(42, 'udi', '0')}, udi) <= need % src AS BIGINT) AS copies FROM m, need)",
+               "g AS (SELECT udi, unnest(range(1, copies + 1)) AS copy FROM c)",
+               f"d AS (SELECT *, {_draw(42, 'udi', 'copy', '1')} % 5 AS pick, {u} AS u FROM g)")
+            + f"SELECT d.udi, CAST(d.copy AS INT) AS copy, {values}, machine_failure FROM d JOIN q ON q.udi = d.udi AND q.place = d.pick")
+
+
+ORACLES.update({
+    "stratified_split_rows": _w(READINGS, _SPLIT + "readings)") + "SELECT udi, machine_failure, part FROM sp",
+    "cv_folds": _w(READINGS) + f"SELECT udi, CAST({_draw(42, 'udi')} % 5 AS INT) AS fold FROM readings",
+    "synthetic_rows": R(_smote_sql(), S_FEATURES),
+})
