@@ -112,7 +112,7 @@ def quintile_edges(base: DataFrame, accuracy: int = 10000) -> dict[str, list[flo
 
 
 def _edge_cols(edges: list[float]) -> list[Column]:
-    return [F.round(F.lit(float(e)), 6) for e in edges]
+    return [F.round(F.lit(None if e is None else float(e)).cast("double"), 6) for e in edges]
 
 
 def rfm_scores_from(base: DataFrame, edges: dict[str, list[float]]) -> DataFrame:

@@ -83,8 +83,9 @@ def classification_report(df: DataFrame, label: str = "label",
 
 
 def _score_groups(df: DataFrame, label: str, score: str, weight: str | None = None) -> DataFrame:
+    """Rows by distinct score; missing scores (null and NaN) are left out."""
     w = F.lit(1) if weight is None else F.col(weight)
-    return (df.where(F.col(score).isNotNull())
+    return (df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
               .groupBy(F.col(score).cast("double").alias("s"))
               .agg(F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("long").alias("pos"),
                    F.sum(w).cast("long").alias("cnt")))

@@ -11,6 +11,7 @@ import logging
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
 
@@ -28,17 +29,21 @@ def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def apply_filters(df: DataFrame, conditions: list[str], on_error: str = "skip") -> DataFrame:
     """Keep rows matching every Spark SQL predicate; a condition that does
     not parse or resolve is logged and skipped (``on_error='skip'``) or raised."""
-    out = df
+    return df.filter(filter_condition(df, conditions, on_error))
+
+
+def filter_condition(df: DataFrame, conditions: list[str], on_error: str = "skip") -> Column:
+    """The conjunction of the predicates that parse and resolve on ``df``; false where one is null."""
+    keep = F.lit(True)
     for cond in conditions:
         try:
-            cand = out.filter(F.expr(cond))
-            cand.schema          # forces analysis of this condition
-            out = cand
+            df.filter(F.expr(cond)).schema          # forces analysis of this condition
+            keep = keep & F.expr(cond)
         except (AnalysisException, ParseException) as e:
             if on_error != "skip":
                 raise
             log.warning("filter %r skipped: %s", cond, str(e).splitlines()[0])
-    return out
+    return F.coalesce(keep, F.lit(False))
 
 
 def derive_columns(df: DataFrame, derived: dict) -> DataFrame:
@@ -116,6 +121,46 @@ def check_sensor_requests(req: DataFrame) -> DataFrame:
     return req.withColumn("reasons", arr).withColumn("valid", F.size("reasons") == 0)
 
 
+CUSTOMER_NUMBERS = ["recency", "frequency", "monetary", "avg_order_value", "total_transactions", "days_since_last_purchase"]
+
+
+def check_customer_requests(req: DataFrame) -> DataFrame:
+    """Customer request -> ``valid`` and ``reasons``.
+
+    Required: customer_id.  The optional numbers must be finite.  A
+    ``probability`` (health requests, scores from outside) must lie in 0..1.
+    """
+    cid = F.col("customer_id")
+    reasons = [F.when(cid.isNull() | (F.trim(cid) == ""), F.lit("missing customer_id"))]
+    for c in [c for c in CUSTOMER_NUMBERS if c in req.columns]:
+        x = F.col(c).cast("double")
+        reasons.append(F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(f"{c} not a number")))
+    if "probability" in req.columns:
+        p = F.col("probability")
+        reasons.append(F.when(p.isNotNull() & (F.isnan(p) | (p < 0) | (p > 1)), F.lit("probability outside 0..1")))
+    arr = F.array_compact(F.array(*reasons))
+    return req.withColumn("reasons", arr).withColumn("valid", F.size("reasons") == 0)
+
+
+REQUEST_CHECKS = {"sensor": check_sensor_requests, "customer": check_customer_requests}
+
+
+def checked_lines(lines: DataFrame, kind: str, schema: T.StructType) -> DataFrame:
+    """JSON request lines (column ``value``) -> the schema's columns, ``raw``, ``reasons``, ``valid``.
+
+    A line that is no JSON object, or has a field of another type, keeps its
+    text and the reason ``unreadable record``; it never fails the run.
+    """
+    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField("_broken", T.StringType())]),
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.select(F.col("value").alias("raw"), parsed.alias("_p"))
+    rows = rows.select("raw", (F.col("_p").isNull() | F.col("_p._broken").isNotNull()).alias("_bad"),
+                       *[F.col(f"_p.{f.name}").alias(f.name) for f in schema.fields])
+    out = REQUEST_CHECKS[kind](rows)
+    reasons = F.when(F.col("_bad"), F.array(F.lit("unreadable record"))).otherwise(F.col("reasons"))
+    return out.withColumn("reasons", reasons).withColumn("valid", F.size("reasons") == 0).drop("_bad")
+
+
 def preprocess(df: DataFrame, config: dict) -> DataFrame:
     """A13 middle step: parse dates, filters, derived columns, date parts."""
     out = parse_dates(df, config.get("date_columns", []), config.get("date_format"))

@@ -10,13 +10,17 @@ all requested columns:
    this gives a value interval ``[lo, hi]`` that holds it (the sketch's rank
    error is at most ``n / accuracy``);
 2. one aggregate: rows below each ``lo``;
-3. one pass: rows inside the intervals grouped by (column, value) -- about
-   ``4 n / accuracy`` rows per interval -- and a running count per interval
-   (a bounded window).
-
-An interval that misses (we check; the sketch bound says it cannot) is
-replaced by the whole range and the passes repeated, so the result is exact
-either way.
+3. intervals with more than ``MAX_CANDIDATES`` distinct values are narrowed
+   again by a sketch of their own rows, as often as needed: each round leaves
+   a few thousandths of the rows, so the rounds grow with the logarithm of
+   the table;
+4. one pass: rows inside the intervals grouped by (column, value) and a
+   running count per interval, a window over a bounded number of values
+   whatever the table's size.
+
+An interval that misses its rank (we count; the sketch bound says it cannot)
+is replaced by the whole range and narrowed anew with a wider margin, so the
+result is exact either way.
 Results equal Spark's exact ``percentile`` (linear interpolation).
 """
 
@@ -34,12 +38,58 @@ DEFAULT_ACCURACY = 10000
 # tens of MB): Spark's exact percentile is then one cheap job.  Above it the
 # sketch + bounded refinement below is used.  Both give identical results.
 MAX_SINGLE_TASK_VALUES = 2_000_000
+# Distinct values of an interval that one window may run over.
+MAX_CANDIDATES = 100_000
 
 
 def _as_col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _narrowed(x: DataFrame, need: dict, accuracy: int) -> dict:
+    """``need``: (column index, rank) -> (lo, hi), None for no bound.  The same
+    ranks with intervals that hold them and at most ``MAX_CANDIDATES`` distinct
+    values (or one)."""
+    done, margin = {}, {t: 3.0 / accuracy for t in need}
+    todo = dict(need)
+    while todo:
+        keys, aggs, inside = list(todo), [], {}
+        for j, (i, k) in enumerate(keys):
+            c, (lo, hi) = F.col(f"c{i}"), todo[(i, k)]
+            cond = c.isNotNull()
+            if lo is not None:
+                cond = cond & (c >= F.lit(lo))
+            if hi is not None:
+                cond = cond & (c <= F.lit(hi))
+            inside[(i, k)] = cond
+            aggs += [F.count_if(cond).alias(f"in{j}"), F.approx_count_distinct(F.when(cond, c)).alias(f"d{j}"),
+                     (F.lit(0) if lo is None else F.count_if(c < F.lit(lo))).alias(f"below{j}")]
+        row = x.agg(*aggs).first()
+        wide, probs = [], {}
+        for j, t in enumerate(keys):
+            lo, hi = todo[t]
+            at = t[1] - row[f"below{j}"]
+            if not 0 <= at < row[f"in{j}"]:          # a miss: start again from everything
+                todo[t], margin[t] = (None, None), min(1.0, margin[t] * 8)
+                continue
+            if row[f"d{j}"] <= MAX_CANDIDATES or (lo is not None and lo == hi):
+                done[t] = todo.pop(t)
+                continue
+            p = at / max(1, row[f"in{j}"] - 1)
+            probs[t] = [max(0.0, p - margin[t]), min(1.0, p + margin[t])]
+            wide.append(t)
+        if wide:
+            edges = x.agg(*[F.percentile_approx(F.when(inside[t], F.col(f"c{t[0]}")), probs[t], accuracy).alias(f"e{j}")
+                            for j, t in enumerate(wide)]).first()
+            for j, t in enumerate(wide):
+                new = tuple(edges[f"e{j}"])
+                if new == todo[t]:                    # nothing left to cut: its values fit one window or are one
+                    done[t] = todo.pop(t)
+                else:
+                    todo[t] = new
+    return done
+
+
 def _find(x: DataFrame, targets: list[tuple[int, int, float | None, float | None]]):
     """targets: (column index, rank k, lo, hi).  Returns {(i, k): value|None}.
 
@@ -142,6 +192,7 @@ def exact_percentiles_many(df: DataFrame, cols: dict[str, str | Column], probs:
                 else:   # union of intervals for the same rank
                     need[(i, k)] = (None if lo is None or prev[0] is None else min(lo, prev[0]),
                                     None if hi is None or prev[1] is None else max(hi, prev[1]))
+    need = _narrowed(x, need, accuracy)
     found: dict[tuple[int, int], float] = {}
     for attempt in range(2):
         todo = [(i, k, lo, hi) for (i, k), (lo, hi) in need.items() if (i, k) not in found]
@@ -199,6 +250,7 @@ def kth_smallest(df: DataFrame, col: str | Column, ks: list[int],
     approx = x.agg(F.percentile_approx("c0", probs, accuracy).alias("q")).first()["q"]
     need = {k: (None if probs[2 * j] <= 0 else approx[2 * j],
                 None if probs[2 * j + 1] >= 1 else approx[2 * j + 1]) for j, k in enumerate(ks)}
+    need = {k: v for (_, k), v in _narrowed(x, {(0, k): v for k, v in need.items()}, accuracy).items()}
     found: dict[int, float] = {}
     for _ in range(2):
         todo = [(0, k) + need[k]

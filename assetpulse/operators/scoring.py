@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from ..functions import levels
 from . import customer as cf
 
+def stamp_run(df: DataFrame, now=None) -> DataFrame:
+    """H4: the run's time on every row, as a timestamp and as ISO text (``now``: a fixed time instead of the query's start)."""
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return df.withColumn("run_at", at).withColumn("run_at_text", F.date_format("run_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
 ALERT_RULE_SCHEMA = "type string, threshold double, severity string, enabled boolean"
 
 

@@ -783,7 +783,7 @@ def _ingested(spark, sf_dir):
 @query("ingested_readings")
 def q_ingested_readings(spark, sf_dir):
     """What the ingestion run saved, read back."""
-    out = io.read_parquet(spark, _ingested(spark, sf_dir)[3])
+    out = _ingested(spark, sf_dir)[0]
     return finish(out.select("udi", "equipment_id", "type", "rpm", "torque_nm", "power", "has_equipment",
                              "year", "month", "day", "day_of_week", "hour", "quarter"))
 
@@ -795,6 +795,53 @@ def q_ingestion_audit(spark, sf_dir):
     return quality.verdict(checks).select("valid", *[F.lit(v).cast("long").alias(k) for k, v in audit.items()])
 
 
+#: JSON lines of the requests, and how a line is spoiled by its number: cut off, a text for a number, no id.
+def _spoiled(line, n, number_field, id_field):
+    return (F.when(n % 17 == 0, F.substring(line, 1, 20))
+             .when(n % 19 == 0, F.regexp_replace(line, f'"{number_field}":[^,}}]*', f'"{number_field}":"much"'))
+             .when(n % 23 == 0, F.regexp_replace(line, f'"{id_field}":"[^"]*",', "")).otherwise(line))
+
+
+@query("request_quarantine")
+def q_request_quarantine(spark, sf_dir):
+    """Request lines of all readings and customers, some of them spoiled, checked and written once; the valid and the
+    quarantined ones read back: rows and distinct raw texts by kind, status and reasons."""
+    tx = _tx(spark, sf_dir)
+    customers = cf.rfm_base(tx).select(
+        F.col("customer_id").alias("n"), F.struct(F.col("customer_id").cast("string").alias("customer_id"),
+                                                  F.col("recency").cast("double").alias("recency"),
+                                                  F.col("frequency").cast("double").alias("frequency"), "monetary",
+                                                  F.when(F.col("customer_id") % 29 == 0, 1.5).otherwise(0.5).alias("probability")).alias("r"))
+    customers = customers.select(_spoiled(F.to_json("r"), F.col("n"), "monetary", "customer_id").alias("value"))
+    sensors = sensor_requests(_readings(spark, sf_dir)).select(F.col("udi").alias("n"), F.struct("equipment_id", "features", "threshold").alias("r"))
+    sensors = sensors.select(_spoiled(F.to_json("r"), F.col("n"), "torque_nm", "equipment_id").alias("value"))
+    health = T.StructType([*schemas.CUSTOMER_REQUEST.fields, T.StructField("probability", T.DoubleType())])
+    parts = []
+    for kind, lines, schema in (("customer", customers, health), ("sensor", sensors, schemas.SENSOR_REQUEST)):
+        source, sink = _folder(spark, f"{kind}.jsonl"), _folder(spark, f"{kind}-requests")
+        lines.write.text(source)
+        checked = prepare.checked_lines(spark.read.text(source), kind, schema)
+        io.save_requests(checked, sink)
+        for status in ("valid", "quarantined"):
+            rows = io.read_requests(spark, sink, checked.schema, status)
+            parts.append(rows.groupBy(F.lit(kind).alias("kind"), F.lit(status).alias("status"),
+                                      F.array_join("reasons", "|").alias("reasons"))
+                         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("raw") == 20).alias("cut_off")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("run_stamps")
+def q_run_stamps(spark, sf_dir):
+    """H4: all customer scores with the run's time; rows, distinct times, texts that are not that time in ISO form."""
+    s = scoring.stamp_run(_customer_scored(spark, sf_dir))
+    iso = F.col("run_at_text").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{6}$") & (F.to_timestamp("run_at_text") == F.col("run_at"))
+    return s.groupBy("risk_level").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_at").alias("times"),
+                                       F.count_if(~F.coalesce(iso, F.lit(False))).alias("bad_text"))
+
+
 @query("metric_log")
 def q_metric_log(spark, sf_dir):
     """A10: metrics of two runs over all readings appended to one log, read back."""

@@ -701,3 +701,19 @@ ORACLES.update({
     "cv_folds": _w(READINGS) + f"SELECT udi, CAST({_draw(42, 'udi')} % 5 AS INT) AS fold FROM readings",
     "synthetic_rows": R(_smote_sql(), S_FEATURES),
 })
+
+# Requests: what was spoiled is quarantined, with its reason
+def _quarantine_sql(kind: str, source: str, bad: str) -> str:
+    return f"""SELECT '{kind}' AS kind, CASE WHEN reasons = '' THEN 'valid' ELSE 'quarantined' END AS status, reasons, count(*) AS n,
+  count(*) FILTER (WHERE n % 17 = 0) AS cut_off FROM (SELECT n, CASE WHEN n % 17 = 0 OR n % 19 = 0 THEN 'unreadable record'
+  ELSE concat_ws('|', {bad}) END AS reasons FROM {source}) GROUP BY ALL"""
+
+
+ORACLES.update({
+    "request_quarantine": _quarantine_sql("sensor", f"({_w(READINGS)} SELECT udi AS n, equipment_id, torque_nm FROM readings)",
+        """CASE WHEN n % 23 = 0 OR equipment_id IS NULL THEN 'missing equipment_id' END, CASE WHEN torque_nm IS NULL THEN 'missing torque_nm' END,
+  CASE WHEN n % 13 > 10 THEN 'threshold outside 0..1' END""") + " UNION ALL "
+    + _quarantine_sql("customer", f"({_w(TX)} SELECT DISTINCT customer_id AS n FROM t)",
+        """CASE WHEN n % 23 = 0 THEN 'missing customer_id' END, CASE WHEN n % 29 = 0 THEN 'probability outside 0..1' END"""),
+    "run_stamps": f"SELECT risk_level, count(*) AS n, 1::BIGINT AS times, 0::BIGINT AS bad_text FROM ({ORACLES['risk_levels']}) GROUP BY 1",
+})
