@@ -227,6 +227,20 @@ def node_importance(nodes: DataFrame, names: list[str]) -> DataFrame:
                   .withColumn("feature", name))
 
 
+def model_info(model: PipelineModel, name: str, version: str, trained_at: str,
+               threshold: float, metrics: dict | None = None) -> DataFrame:
+    """One-row description of a model in hand (``store.describe`` reads a stored one)."""
+    return info_row(SparkSession.getActiveSession(), name, version, trained_at, feature_names(model), threshold, metrics)
+
+
+def info_row(spark: SparkSession, name: str, version: str, trained_at: str, features: list[str], threshold: float,
+             metrics: dict | None = None) -> DataFrame:
+    row = (name, version, trained_at, len(features), features, float(threshold), json.dumps(metrics or {}))
+    return spark.createDataFrame([row], "model_type string, version string, last_trained string, "
+                                        "n_features int, features array<string>, threshold double, "
+                                        "metrics string")
+
+
 def save_model(model: PipelineModel, path: str, metadata: dict) -> None:
     """The pipeline (all stages) plus a one-row JSON metadata table."""
     spark = SparkSession.getActiveSession()

@@ -651,7 +651,9 @@ def q_churn_model_metrics(spark, sf_dir):
 @query("churn_model_scores")
 def q_churn_model_scores(spark, sf_dir):
     feats = features.all_features(_tx(spark, sf_dir)).persist()
-    models, _, _ = training.train_churn(None, kinds=("logistic_regression",), feats=feats)
+    models, metrics, _ = training.train_churn(None, kinds=("logistic_regression",), feats=feats)
+    if not models:
+        raise ValueError(metrics.where("metric = 'error'").first()["reason"])
     return finish(training.score_customers(models["logistic_regression"], feats))
 
 

@@ -26,7 +26,7 @@ def run(spark: SparkSession, config: dict, save: bool = True):
     "output_dir": path, "filename": optional}.
 
     Returns (processed DataFrame, check results DataFrame, audit dict or None,
-    output path or None).  Without ``save`` nothing runs and both frames read
+    path of the kept rows or None).  Without ``save`` nothing runs and both frames read
     the source.
     """
     raw = io.load_data(spark, config["source"])
@@ -45,7 +45,10 @@ def run(spark: SparkSession, config: dict, save: bool = True):
                                                     for c in raw.columns]), expectations)
     counts = {r[KEPT]: r["n"] for r in written.groupBy(KEPT).agg(F.count(F.lit(1)).alias("n")).collect()}
     kept, removed = counts.get(True, 0), counts.get(False, 0)
-    return processed(written), checks, {"rows_before": kept + removed, "rows_after": kept, "rows_removed": removed}, path
+    own = f"{path}/{KEPT}=true"
+    if not kept:                    # a readable dataset without rows
+        written.where(KEPT).drop(KEPT).write.parquet(own)
+    return processed(written), checks, {"rows_before": kept + removed, "rows_after": kept, "rows_removed": removed}, own
 
 
 def _changed(raw: DataFrame, steps: dict) -> list[str]:
@@ -58,4 +61,4 @@ def _changed(raw: DataFrame, steps: dict) -> list[str]:
 
 def processed(written: DataFrame) -> DataFrame:
     """The kept rows of a saved run, without the run's own columns."""
-    return written.where(KEPT).drop(KEPT, *[c for c in written.columns if c.startswith(RAW)])
+    return written.where(KEPT).drop(KEPT, *[c for c in written.columns if c.startswith(RAW) and c[len(RAW):] in written.columns])

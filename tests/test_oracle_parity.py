@@ -24,7 +24,7 @@ def test_every_query_has_oracle_or_is_documented():
     assert set(OWN) <= set(E.queries())
     no_oracle = set(OWN) - set(ORACLE)
     assert no_oracle <= {"gbt_scores", "feature_importance", "model_metrics", "feature_gain",
-                         "model_info", "churn_model_metrics", "churn_model_scores", "cv_scores"}
+                         "model_info", "churn_model_metrics", "churn_model_scores", "cv_scores", "early_stopping"}
 
 
 def test_entry_runs(spark):
