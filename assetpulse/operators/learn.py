@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import draw
-from ..sources import io
+from ..sources import files, io
 from . import evaluate, prepare, sampling
 from .sensor import type_indexer
 
@@ -216,8 +216,22 @@ def feature_importance(model: PipelineModel) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w))
 
 
-def node_importance(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """M10 gain / weight / cover per feature from a tree-node table (``store.node_table``):
+def saved_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of the trees of a saved pipeline's last stage."""
+    stages = f"{path.rstrip('/')}/stages"
+    last = max(files.children(spark, stages), key=lambda d: int(d.split("_")[0]))     # "<index>_<uid>"
+    nodes = spark.read.parquet(f"{stages}/{last}/data")
+    return nodes.select("treeID", "nodeData.*") if "nodeData" in nodes.columns else nodes
+
+
+def node_importance(model: PipelineModel, path: str) -> DataFrame:
+    """M10 of a model in hand, which is saved under ``path`` for it."""
+    model.write().overwrite().save(path)
+    return split_importance(saved_nodes(SparkSession.getActiveSession(), path), feature_names(model))
+
+
+def split_importance(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """M10 gain / weight / cover per feature from a tree-node table:
     average gain per split, number of splits, average instance count."""
     splits = nodes.where(F.col("split.featureIndex") >= 0)
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("feature_index") + 1)

@@ -499,7 +499,7 @@ def q_model_checks(spark, sf_dir):
               F.col("off") > 1e-9, F.col("importance") < 0, F.col("importance") > F.col("before"),
               F.col("feature") != F.element_at(F.array(*[F.lit(n) for n in learn.feature_names(m)]), F.col("feature_index") + 1))
     nodes = store.node_table(spark, root, "gbt")
-    gain = learn.node_importance(nodes, learn.feature_names(model))
+    gain = learn.split_importance(nodes, learn.feature_names(model))
     splits = nodes.where(F.col("split.featureIndex") >= 0).groupBy(F.col("split.featureIndex").alias("feature_index")).agg(
         F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gains"), F.sum("rawCount").alias("rows"))
     used = names.join(gain, "feature", "left").join(splits, "feature_index", "left").na.fill(0)
@@ -662,7 +662,7 @@ def q_feature_gain(spark, sf_dir):
     """Gain / weight / cover per feature from the published version's tree-node table."""
     root, _ = _trained(spark, sf_dir)
     model, _ = store.load(spark, root, "gbt")
-    return finish(learn.node_importance(store.node_table(spark, root, "gbt"), learn.feature_names(model)))
+    return finish(learn.split_importance(store.node_table(spark, root, "gbt"), learn.feature_names(model)))
 
 
 @query("model_info")
