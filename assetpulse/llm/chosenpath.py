@@ -10,11 +10,13 @@ its own hash, one always and a second with probability 1/4, so that a pair at
 the threshold expects one shared child (0.8 x 1.25), and its members go to
 the children named by their values there.  Nodes of one member end, nodes of
 at most ``LEAF`` members are compared by brute force on the coordinates, and
-larger ones are split again, up to ``DEPTH`` levels.  Members of a node that
-is still large then share that many sampled coordinates and are linked as
-candidates to the smallest of them.  A pair at the threshold survives a run
-with a known probability; runs are repeated until the target recall at the
-deepest level.
+larger ones are split again, up to ``DEPTH`` levels.  A large node whose
+members all agree with the smallest one on enough coordinates is a group of
+near copies: its members are linked as candidates to the smallest and it is
+split no further, as is a node that is still large at the deepest level.  A
+pair at the threshold survives a run with a known probability; runs are
+repeated until the target recall at the deepest level.  As all runs share the
+coordinates, that recall is an average over how many of them agree.
 
 Candidate links give candidate groups (connected components).  Inside a group
 all pairs are checked exactly, in blocks of bounded size: large groups are
@@ -26,8 +28,9 @@ Edge cases: null and empty texts, and texts without a word, have no shingle,
 link with nothing and are their own class; texts of one to four words are one
 shingle; words are runs of letters, digits and underscores, lower-cased.
 Texts of any length are taken whole.  Repeated rows count as copies.  An
-empty table gives an empty result; extra columns are ignored; a null doc_id
-is carried along but never names a class that has other members.
+empty table gives an empty result; extra columns are ignored.  A row without
+a doc_id takes part like any other but names a class (null) only if no member
+has an id; the kept row of such a class is that of the smallest text hash.
 """
 
 from __future__ import annotations
@@ -41,25 +44,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, min_labels, mix, ragged, sorted_groups, staged, text_slices
+from .common import Shared, fresh, min_labels, mix, ragged, sorted_groups, staged, text_slices
 from .components import components
 
 SHINGLE, THRESHOLD = 5, (4, 5)  # links: intersection / union >= 4 / 5, in integers
-TOKENS, LEAF, DEPTH, TARGET_RECALL = 64, 64, 6, 0.998
+TOKENS, LEAF, DEPTH, TARGET_RECALL = 64, 64, 6, 0.993
 CANDIDATE = 0.55  # share of equal coordinates; 0.8 is five standard deviations above
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 400_000
+BROADCAST_ROWS = 250_000  # of about 100 bytes in memory
 WORD = re.compile(r"\w+")
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
 def runs_needed(similarity: float = 0.8, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """Runs until a pair at ``similarity`` has met at ``depth`` with probability ``target``."""
-    lost = 0.0
-    for _ in range(depth):
-        one = 1 - similarity + similarity * lost
-        lost = one * (0.75 + 0.25 * one)
-    return math.ceil(math.log(1 - target) / math.log(lost))
+    """Runs until a pair at ``similarity`` has met at ``depth`` with probability ``target``.
+
+    The pair agrees on a binomial number of the ``TOKENS`` coordinates; given
+    that number, it is lost in each run independently.
+    """
+    shares = []
+    for n in range(TOKENS + 1):
+        equal, lost = n / TOKENS, 0.0
+        for _ in range(depth):
+            one = 1 - equal + equal * lost
+            lost = one * (0.75 + 0.25 * one)
+        shares.append((math.comb(TOKENS, n) * similarity ** n * (1 - similarity) ** (TOKENS - n), lost))
+    runs = 1
+    while sum(p * lost ** runs for p, lost in shares) > 1 - target:
+        runs += 1
+    return runs
 
 
 class Shingler:
@@ -121,12 +135,18 @@ def children(node: np.ndarray, coords: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row, mix(node[row] * _ODD[0] + mix(c.astype(np.uint64) << np.uint64(32) | coords[row, c].astype(np.uint64)))
 
 
-def _coords(batch) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, TOKENS)
+def _coords(batch, column: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), dtype=np.uint32).reshape(batch.num_rows, TOKENS)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, th): ``th`` hashes the text, so (doc_id, th) names a row also where ids are null or repeated."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.xxhash64("text").alias("th"))
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, cid, n, sig): class, set size and coordinates of each row (null for an empty set)."""
+    """(doc_id, th, cid, n, sig): class, set size and coordinates of each row (null for an empty set)."""
     shared = Shared(docs.sparkSession, Shingler)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +155,11 @@ def sketches(docs: DataFrame) -> DataFrame:
             full = [s for s in sets if len(s)]
             sig = iter(shared.value.coordinates(full) if full else [])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
+                [part.column("doc_id"), part.column("th"), pa.array([class_id(s) if len(s) else None for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "cid", "n", "sig"])
+                 pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())], ["doc_id", "th", "cid", "n", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        kernel, "doc_id long, cid long, n long, sig binary")
+    return _rows(docs).mapInArrow(kernel, "doc_id long, th long, cid long, n long, sig binary")
 
 
 def candidates(classes: DataFrame, runs: int | None = None) -> DataFrame:
@@ -164,18 +183,36 @@ def candidates(classes: DataFrame, runs: int | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(batch.column("cid").to_numpy()[row])],
                                                  ["node", "cid"])
 
+    def agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whether each member of a node agrees with the node's smallest one."""
+        for batch in batches:
+            if batch.num_rows:
+                near = (_coords(batch) == _coords(batch, "head_sig")).mean(axis=1) >= CANDIDATE
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cid", "head", "sig")), pa.array(near)],
+                                                 ["node", "cid", "head", "sig", "near"])
+
     level = classes.select("cid", "sig").mapInArrow(roots, "node long, cid long")
-    leaves, wide = [], None
+    leaves, stars = [], []
     for depth in range(1, DEPTH + 1):
         rows = staged(level, "nodes")
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+        # written, so that the joins below are plain ones whose hot nodes Spark can split
+        sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1"), "sizes")
         sized = staged(rows.join(sizes, "node"), "nodes-of-two")
         leaves.append(sized.where(F.col("size") <= LEAF).groupBy("node")
                       .agg(F.sort_array(F.collect_set("cid")).alias("members")).select("members"))  # at most LEAF
-        wide = sized.where(F.col("size") > LEAF).select("node", "cid")
-        if depth == DEPTH or wide.isEmpty():
+        wide = sized.where(F.col("size") > LEAF).select("node", "cid", "head")
+        if wide.isEmpty():
+            break
+        if depth == DEPTH:
+            stars.append(wide.select(F.col("cid").alias("u"), F.col("head").alias("v")))
             break
-        level = wide.join(classes.select("cid", "sig"), "cid").mapInArrow(split, "node long, cid long")
+        heads = staged(sizes.where(F.col("size") > LEAF).join(
+            classes.select(F.col("cid").alias("head"), F.col("sig").alias("head_sig")), "head").select("node", "head_sig"), "heads")
+        seen = staged(wide.join(classes.select("cid", "sig"), "cid").join(heads, "node")
+                      .mapInArrow(agreed, "node long, cid long, head long, sig binary, near boolean"), "agreed")
+        mixed = staged(seen.where("not near").select("node").distinct(), "mixed")
+        stars.append(seen.join(mixed, "node", "left_anti").select(F.col("cid").alias("u"), F.col("head").alias("v")))
+        level = seen.join(mixed, "node", "left_semi").mapInArrow(split, "node long, cid long")
     groups = leaves[0]
     for more in leaves[1:]:
         groups = groups.union(more)
@@ -198,9 +235,10 @@ def candidates(classes: DataFrame, runs: int | None = None) -> DataFrame:
         if held is not None and held.num_rows:
             yield _linked(held)
 
-    stars = (wide.groupBy("node").agg(F.min("cid").alias("v")).join(wide, "node")
-             .select(F.col("cid").alias("u"), "v").where("u <> v"))
-    return dealt.mapInArrow(compare, "u long, v long").union(stars).distinct()
+    found = dealt.mapInArrow(compare, "u long, v long")
+    for star in stars:
+        found = found.union(star.where("u <> v"))
+    return found.distinct()
 
 
 def _linked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -257,10 +295,13 @@ def _check(t: pa.Table) -> pa.RecordBatch:
 def links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(cid, links, peer) from every block pair of every candidate group (node: cid, root)."""
     shared = Shared(docs.sparkSession, Shingler)
-    own = groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "doc", "mult", "n"), "cid")
-    blocks = own.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb"))
-    asked = own.join(blocks, "grp").select(F.col("doc").alias("doc_id"), "cid", "grp", "mult", "nb")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(asked, "doc_id")
+    own = staged(groups.select(F.col("node").alias("cid"), F.col("root").alias("grp"))
+                 .join(classes.select("cid", "row", "mult", "n"), "cid"), "grouped")
+    blocks = staged(own.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("nb")), "blocks")
+    asked = staged(own.join(blocks, "grp").select(F.col("row.doc_id").alias("asked_id"), F.col("row.th").alias("asked_th"), "cid", "grp", "mult", "nb"), "asked")
+    few = asked.count() <= BROADCAST_ROWS
+    texts = _rows(docs).join(F.broadcast(asked) if few else asked,
+                             F.col("doc_id").eqNullSafe(F.col("asked_id")) & (F.col("th") == F.col("asked_th")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, text in text_slices(batches):
@@ -271,8 +312,9 @@ def links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
                 [*[kept.column(c) for c in ("grp", "cid", "mult", "nb")], pa.array([s[i].tobytes() for i in mine], pa.binary())],
                 ["grp", "cid", "mult", "nb", "set"])
 
-    dealt = (texts.mapInArrow(sets, "grp long, cid long, mult long, nb long, set binary")
-             .withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")))
+    one = (texts.select("text", "grp", "cid", "mult", "nb").mapInArrow(sets, "grp long, cid long, mult long, nb long, set binary")
+           .groupBy("grp", "cid", "mult", "nb").agg(F.first("set").alias("set")))  # repeated rows of one id are there once
+    dealt = (one.withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
              .select("grp", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "cid", "mult", "blk", "set")
              .repartition("grp", "bi", "bj").sortWithinPartitions("grp", "bi", "bj"))
@@ -284,8 +326,8 @@ def links(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.mapInArrow(check, "cid long, links long, peer long")
 
 
-def near_duplicates(docs: DataFrame, runs: int | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, n_links, kept.
+def _marked(docs: DataFrame, runs: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, kept, and the text's hash.
 
     Two rows link if their shingle sets have a Jaccard similarity of at least
     0.8.  ``class_id`` is the smallest doc_id reachable by links, ``n_links``
@@ -293,27 +335,35 @@ def near_duplicates(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """
     rows = staged(sketches(docs), "sketches")
     classes = staged(rows.where("cid is not null").groupBy("cid").agg(
-        F.min("doc_id").alias("doc"), F.count("*").alias("mult"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")).alias("row"), F.count("*").alias("mult"),
+        F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     groups = components(candidates(classes, runs))
     found = staged(links(docs, classes, groups), "links")
     roots = components(found.select(F.col("cid").alias("u"), F.col("peer").alias("v")))
     counts = found.groupBy(F.col("cid").alias("node")).agg(F.sum("links").alias("links"))
-    info = (classes.select(F.col("cid").alias("node"), "doc", "mult").join(roots, "node", "left").join(counts, "node", "left")
-            .select("node", "doc", "mult", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
-    names = info.groupBy("root").agg(F.min("doc").alias("class_id"))
-    info = info.join(names, "root").select(F.col("node").alias("cid"), "class_id", (F.col("links") + F.col("mult") - 1).alias("n_links"))
-    return (rows.select("doc_id", "cid").join(info, "cid", "left")
-            .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    info = staged(classes.select(F.col("cid").alias("node"), "row", "mult").join(roots, "node", "left").join(counts, "node", "left")
+                  .select("node", "row", "mult", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), "info")
+    names = staged(info.groupBy("root").agg(F.min("row").alias("name")), "names")
+    info = info.join(names, "root").select(F.col("node").alias("cid"), "name", (F.col("links") + F.col("mult") - 1).alias("n_links"))
+    own = F.col("name").isNull() | (F.col("doc_id").eqNullSafe(F.col("name.doc_id")) & (F.col("th") == F.col("name.th")))
+    return (rows.select("doc_id", "th", "cid").join(info, "cid", "left")
+            .select("doc_id", F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.doc_id")).alias("class_id"),
+                    F.coalesce("n_links", F.lit(0)).alias("n_links"), own.alias("kept"), "th"))
+
+
+def near_duplicates(docs: DataFrame, runs: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id, n_links, kept; see ``_marked``."""
+    return _marked(docs, runs).drop("th")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of smallest doc_id of each class; repeated rows are one."""
-    marks = staged(near_duplicates(docs), "marks").where("kept")
-    kept = marks.select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    repeated = not marks.where("n_links > 0").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates() if repeated else out
+    """``docs`` with the row of smallest doc_id of each class; of rows with one id and text, one stays."""
+    marks = staged(_marked(docs), "marks").where("kept").groupBy("doc_id", "th").agg(F.count("*").alias("rows"))
+    marks = staged(marks, "kept")
+    name, h = fresh(docs, "kept_id"), fresh(docs, "kept_hash")
+    kept = marks.select(F.col("doc_id").alias(name), F.col("th").alias(h))
+    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[name]) & (F.xxhash64(docs["text"].cast("string")) == kept[h]), "left_semi")
+    return out if marks.where("rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:
