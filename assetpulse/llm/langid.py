@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Shared, bounded_sample, crc_mod, text_slices
+from .common import Shared, crc_mod, fresh, staged, text_slices
 
 #: Training documents for each language, about, and the longest text that the sample takes.
 SAMPLE_PER_LANG, SAMPLE_CHARS = 200, 20_000
@@ -108,10 +108,17 @@ class Emitter:
 
 
 def posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Forward-backward for many sequences laid end to end: label probabilities of every word.
+    """Forward-backward for many sequences laid end to end: label probabilities of every word."""
+    return expectations(scores, lengths, trans, False)[0]
+
+
+def expectations(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Label probabilities of every word, and (with ``pairs``) the expected number of transitions between labels.
 
     ``scores`` [words, labels] are log emissions, ``trans`` log transitions,
-    ``lengths`` the words of each sequence (each at least 1).
+    ``lengths`` the words of each sequence (each at least 1).  A transition's
+    probability is the forward message before it, times the step, the next
+    word's emission and the backward message after it.
     """
     n, k = scores.shape
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
@@ -155,17 +162,21 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np
         nxt = nxt * em[:, t]
         a = nxt / nxt.sum(axis=1, keepdims=True)
         alpha[t] = a
-    out = np.empty((n, k))
+    out, moved = np.empty((n, k)), np.zeros((k, k))
     beta = right
     for t in range(BLOCK - 1, -1, -1):
         live = t < size
+        if pairs:
+            own = np.flatnonzero(live & ~head if t == 0 else live)
+            joint = (left if t == 0 else alpha[t - 1])[own][:, :, None] * step * (em[own, t] * beta[own])[:, None, :]
+            moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         post = alpha[t] * beta
         post /= post.sum(axis=1, keepdims=True)
         out[begin[live] + t] = post[live]
         nxt = (beta * em[:, t]) @ step.T
         nxt /= nxt.sum(axis=1, keepdims=True)
         beta = np.where(live[:, None], nxt, beta)
-    return out
+    return out, moved
 
 
 def fit(texts: list[str], langs: list[str], rounds: int = 30, seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -203,15 +214,11 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, seed: int = 7) ->
     for _ in range(rounds):
         rows = _sums(w[flat], owner, len(vocab)) * scale[:, None]
         scores = rows[words]
-        post = posteriors(scores, lengths, t)
+        post, moved = expectations(scores, lengths, t)
         diff = hot - post
         per_word = _sums(diff, words, len(vocab)) * scale[:, None]
         grad = _sums(per_word[owner], flat, BUCKETS) - 0.05 * w
-        # expected transitions; neighbours' joint probability from their posteriors and the step between
-        a, b = post[:-1][inner[1:]], post[1:][inner[1:]]
-        joint = a[:, :, None] * np.exp(t)[None] * b[:, None, :]
-        joint /= joint.sum(axis=(1, 2), keepdims=True)
-        tg = seen - joint.sum(axis=0) - 0.05 * t
+        tg = seen - moved - 0.05 * t
         gw += grad * grad
         gt += tg * tg
         w += 0.5 * grad / np.sqrt(gw)
@@ -221,37 +228,34 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, seed: int = 7) ->
 
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Fit on about ``per_lang`` documents of each language, of those with text and language."""
-    seen = docs.where("lang is not null and length(text) between 1 and %d" % SAMPLE_CHARS)
-    sizes = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    texts, langs = [], []
-    for lang, n in sorted(sizes.items()):
-        part = bounded_sample(seen.where(F.col("lang") == lang), F.xxhash64("doc_id", "text"), per_lang, n)
-        for r in part.select("text").collect():  # about per_lang rows of at most SAMPLE_CHARS
-            texts.append(r["text"])
-            langs.append(lang)
-    return fit(texts, langs)
+    seen = docs.where("lang is not null and length(text) between 1 and %d" % SAMPLE_CHARS).select("doc_id", "text", "lang")
+    sizes = seen.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
+    draw = F.pmod(F.xxhash64(F.lit(0), F.xxhash64("doc_id", "text")), F.lit(1 << 30))
+    picked = (seen.join(F.broadcast(sizes), "lang").where((F.col("n") <= per_lang) | (draw < (F.lit(float(per_lang << 30)) / F.col("n")).cast("long")))
+              .select("lang", "text").collect())  # about per_lang rows of each, of at most SAMPLE_CHARS
+    picked.sort(key=lambda r: (r["lang"], r["text"]))
+    return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], spans: bool = False,
-            through: list[str] | None = None) -> DataFrame:
+            through: list[str] | None = None, new: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """doc_id, lang_pred and score for each row, by summed word probabilities.
 
     With ``spans``, also the runs of equally labelled words of code-switched
     text: an array of (first word, words, label).  ``through`` names the
-    columns to carry along instead of doc_id; the new columns are then
-    ``_lang_pred`` and ``_score``.
+    columns to carry along instead of doc_id, ``new`` the new ones (a third:
+    the number of words).
     """
     names, weights, trans = model
-    emitter = Shared(docs.sparkSession, Emitter, weights)
-    new = ["lang_pred", "score"] if through is None else ["_lang_pred", "_score"]
+    emitter, text = Shared(docs.sparkSession, Emitter, weights), fresh(docs, "whole_text")
     if through is None:
-        rows, carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text")), ["doc_id"]
+        rows, carried = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias(text)), ["doc_id"]
     else:
-        rows, carried = docs.select(*through, F.col("text").alias("_text")), through
+        rows, carried = docs.select(*through, F.col("text").alias(text)), through
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emit = emitter.value
-        for part, texts in text_slices(batches, "_text"):
+        for part, texts in text_slices(batches, text):
             words = [WORD.findall(t.lower()) for t in texts]
             lengths = np.array([len(x) for x in words])
             lang, sure = ["und"] * len(texts), np.zeros(len(texts))
@@ -271,10 +275,12 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], sp
                         cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                         runs[i] = [{"first": int(c), "words": int(e - c), "label": names[own[c]]}
                                    for c, e in zip(cuts, np.append(cuts[1:], len(own)))]
-            cols = [*part.columns[:-1], pa.array(lang), pa.array(sure), *([pa.array(runs, SPANS)] if spans else [])]
+            cols = [*part.columns[:-1], pa.array(lang), pa.array(sure), *([pa.array(lengths, pa.int64())] if len(new) > 2 else []),
+                    *([pa.array(runs, SPANS)] if spans else [])]
             yield pa.RecordBatch.from_arrays(cols, [*carried, *new, "spans"][:len(cols)])
 
-    fields = [*rows.schema.fields[:-1], T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType())]
+    fields = [*rows.schema.fields[:-1], T.StructField(new[0], T.StringType()), T.StructField(new[1], T.DoubleType()),
+              *([T.StructField(new[2], T.LongType())] if len(new) > 2 else [])]
     schema = T.StructType(fields)
     if spans:
         schema = schema.add("spans", T.ArrayType(T.StructType([
@@ -284,10 +290,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], sp
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("label", pa.string())]))
 
+
 def accepted(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose language can't be told (``und``); learns from the rows that have a language."""
-    found = predict(docs, train(docs), through=docs.columns)
-    return found.where(F.col("_lang_pred") != "und").drop("_lang_pred", "_score")
+    """``docs`` without the rows whose language can't be told; learns from the rows that have a language.
+
+    Texts without a letter go (``und``).  A row without a language of its own
+    also goes if the model is less sure of it than of any row that has one: the
+    floor is the least score among those, by their number of words (in powers
+    of four, as few words leave more doubt; no floor where no such row is).  So
+    no row that has a language is rejected by the model.
+    """
+    pred, sure, words = (fresh(docs, c) for c in ("lang_pred", "score", "words"))
+    found = staged(predict(docs, train(docs), through=docs.columns, new=(pred, sure, words)), "languages")
+    size = F.floor(F.log2(F.col(words).cast("double")) / 2)
+    told = found.where(F.col(pred) != "und")
+    floors = {r["size"]: r["floor"] for r in told.where("lang is not null").groupBy(size.alias("size"))
+              .agg(F.min(sure).alias("floor")).collect()}  # one row for each power of four
+    if floors:
+        floor = F.coalesce(F.create_map(*[F.lit(v) for pair in floors.items() for v in pair])[size], F.lit(0.0))
+        told = told.where(F.col("lang").isNotNull() | (F.col(sure) >= floor))
+    return told.drop(pred, sure, words)
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

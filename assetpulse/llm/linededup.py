@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, sorted_groups, staged, text_slices
+from .common import bound_batches, fresh, sorted_groups, staged, text_slices
 
 MIN_CHARS, MIN_DOCS = 20, 3
 WHITE = b" \t\n\x0b\x0c\r"
@@ -157,12 +157,13 @@ def _decide(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Rec
     yield out()
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with one more column ``_kept``: the bitmap of its row, null if all lines stay."""
-    with_id = docs.withColumn("_txt", text_id(F.col("text")))
-    b = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_id").alias("_id"), F.col("bitmap").alias("_kept"))
-    return (with_id.join(b, with_id["doc_id"].cast("long").eqNullSafe(b["_doc"]) & (with_id["_txt"] == b["_id"]), "left")
-            .drop("_doc", "_id", "_txt"))
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, column: str = "bitmap") -> DataFrame:
+    """``docs`` with one more column (a name that it doesn't have): the bitmap of its row, null if all lines stay."""
+    txt, doc, own = fresh(docs, "txt"), fresh(docs, "doc"), fresh(docs, "own_txt")
+    with_id = docs.withColumn(own, text_id(F.col("text")))
+    b = bitmaps.select(F.col("doc_id").alias(doc), F.col("text_id").alias(txt), F.col("bitmap").alias(column))
+    return (with_id.join(b, with_id["doc_id"].cast("long").eqNullSafe(b[doc]) & (with_id[own] == b[txt]), "left")
+            .drop(doc, txt, own))
 
 
 def kept_lines(text: str, bitmap: bytes | None) -> tuple[int, int, str]:
@@ -179,13 +180,14 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines dropped from ``text`` (null texts stay null); ``n_chars``, if there, follows."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            new = [t if b is None else kept_lines(t, b)[2] for t, b in zip(texts, part.column("_kept").to_pylist())]
+            new = [t if b is None else kept_lines(t, b)[2] for t, b in zip(texts, part.column(column).to_pylist())]
             null = part.column("text").is_null().to_pylist()
             yield part.set_column(part.schema.get_field_index("text"), "text",
                                   pa.array([None if z else t for z, t in zip(null, new)], pa.string()))
 
-    both = apply_bitmaps(docs, keep_bitmaps(docs))
-    out = both.mapInArrow(cut, both.schema).drop("_kept")
+    column = fresh(docs, "bitmap")
+    both = apply_bitmaps(docs, keep_bitmaps(docs), column)
+    out = both.mapInArrow(cut, both.schema).drop(column)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -198,7 +200,7 @@ def op5_query(spark, sf_dir: str) -> DataFrame:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(batches):
-            out = [kept_lines(t, b) for t, b in zip(texts, part.column("_kept").to_pylist())]
+            out = [kept_lines(t, b) for t, b in zip(texts, part.column("bitmap").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
                  pa.array([hashlib.sha256(o[2].encode("utf-8", "surrogatepass")).hexdigest() for o in out])],

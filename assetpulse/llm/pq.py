@@ -19,11 +19,15 @@ spanning forest, never pairs.  A link may be found from either side: a query
 counts its finds, and a member counts the query only if it doesn't probe the
 query's list itself, so each link counts once for each end.
 
-Edge cases: vectors that are null, empty, zero, of another length than most,
-or that hold null or non-finite components link with nothing and are their
-own component; equal vectors link; repeated rows of one vec_id are told apart
-for counting but share a component; an empty table gives an empty result;
-extra columns (labels too) are ignored.
+Equal vectors are one member with a weight, so copies cost nothing in a list
+and count in each other's links.
+
+Edge cases: vectors that are null, empty, zero or that hold null or non-finite
+components link with nothing and are their own component; vectors link with
+those of their own length, each length having an index; repeated rows of one
+vec_id are one vector (of different ones the smallest in array order) and get
+a row each; rows without an id link with nothing; an empty table gives an
+empty result; extra columns (labels too) are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +111,7 @@ class Index:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, row, e) for the vectors that can link: finite and not zero."""
+    """(vec_id, row, e) for the vectors that can link: finite and not zero (``row``: a hash of both)."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     ok = v.where("e is not null and size(e) > 0 and not exists(e, x -> x is null or isnan(x) or abs(x) = double('Infinity')) "
                  "and exists(e, x -> x <> 0)")
@@ -147,23 +151,23 @@ def link_counts(vectors: DataFrame, index: Index, threshold: float = THRESHOLD)
                 unit = unit_rows(_matrix(part, dim))
                 lst, codes, off = own.code(unit)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("vec_id"), part.column("row"), part.column("e"), pa.array(lst, pa.int32()),
+                    [part.column("vec_id"), part.column("row"), part.column("mult"), part.column("e"), pa.array(lst, pa.int32()),
                      pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off),
                      pa.array([p.astype(np.int32) for p in own.probes(unit)], pa.list_(pa.int32()))],
-                    ["vec_id", "row", "e", "lst", "codes", "off", "probes"])
+                    ["vec_id", "row", "mult", "e", "lst", "codes", "off", "probes"])
 
-    coded = staged(vectors.mapInArrow(encode, "vec_id long, row long, e array<double>, lst int, codes binary, off double, probes array<int>"), "codes")
-    asked = coded.select("vec_id", "row", "e", "lst", "probes", F.explode("probes").alias("at"))
+    coded = staged(vectors.mapInArrow(encode, "vec_id long, row long, mult long, e array<double>, lst int, codes binary, off double, probes array<int>"), "codes")
+    asked = coded.select("vec_id", "row", "mult", "e", "lst", "probes", F.explode("probes").alias("at"))
     # at most MAX_LISTS rows each
     members = coded.groupBy(F.col("lst").alias("at")).agg(F.ceil(F.count("*") / MEMBERS).alias("blocks"))
     queries = (coded.select(F.explode("probes").alias("at")).groupBy("at").agg(F.ceil(F.count("*") / QUERIES).alias("parts")))
     deal = F.broadcast(members.join(queries, "at"))
     stored = (coded.join(deal, coded["lst"] == deal["at"]).withColumn("block", F.pmod("row", "blocks"))
               .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-              .select("at", "block", "part", F.lit(0).alias("kind"), "vec_id", "row", "e", "lst", "probes", "codes", "off"))
+              .select("at", "block", "part", F.lit(0).alias("kind"), "vec_id", "row", "mult", "e", "lst", "probes", "codes", "off"))
     sent_to = (asked.join(deal, "at").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
                .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-               .select("at", "block", "part", F.lit(1).alias("kind"), "vec_id", "row", "e", "lst",
+               .select("at", "block", "part", F.lit(1).alias("kind"), "vec_id", "row", "mult", "e", "lst",
                        F.lit(None).cast("array<int>").alias("probes"), F.lit(None).cast("binary").alias("codes"),
                        F.lit(0.0).alias("off")))
     dealt = (stored.unionByName(sent_to).repartition("at", "block", "part").sortWithinPartitions("at", "block", "part", "kind"))
@@ -205,22 +209,22 @@ def _members(parts: list, dim: int) -> tuple:
     wide = np.full((len(unit), int(counts.max())), -1, dtype=np.int32)
     at = np.repeat(np.arange(len(unit)), counts)
     wide[at, ragged(np.zeros(len(counts), dtype=np.int64), counts)] = probes.flatten().to_numpy()
-    return unit, codes, t.column("off").to_numpy(), t.column("vec_id").to_numpy(), t.column("row").to_numpy(), wide
+    return unit, codes, t.column("off").to_numpy(), t.column("vec_id").to_numpy(), t.column("mult").to_numpy(), wide
 
 
 def _search(index: Index, lst: int, store: tuple, queries, dim: int, threshold: float) -> pa.RecordBatch:
-    unit, codes, off, vec, row, probes = store
+    unit, codes, off, vec, mult, probes = store
     q = unit_rows(_matrix(queries, dim))
-    q_vec, q_row, q_lst = (queries.column(c).to_numpy() for c in ("vec_id", "row", "lst"))
+    q_vec, q_mult, q_lst = (queries.column(c).to_numpy() for c in ("vec_id", "mult", "lst"))
     near = index.table_distances(lst, q, codes) <= (off + index.reach + 1e-5).astype(np.float32)
     a, b = np.nonzero(near)
-    other = (q_row[a] != row[b]) | (q_vec[a] != vec[b])
+    other = q_vec[a] != vec[b]
     a, b = a[other], b[other]
     same = np.concatenate([np.einsum("ij,ij->i", q[a[i:i + 65536]], unit[b[i:i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
     hit = same >= threshold
     a, b = a[hit], b[hit]
     back = ~(probes[b] == q_lst[a][:, None]).any(axis=1)  # the member doesn't look into the query's list
-    links = np.append(np.bincount(a, minlength=len(q)), np.bincount(b[back], minlength=len(unit)))
+    links = np.append(np.bincount(a, mult[b], len(q)), np.bincount(b[back], q_mult[a[back]], len(unit))).astype(np.int64)
     label = min_labels(len(links), a, b + len(q))
     names = np.append(q_vec, vec)
     own = np.flatnonzero((links > 0) | (label != np.arange(len(links))))
@@ -229,21 +233,24 @@ def _search(index: Index, lst: int, store: tuple, queries, dim: int, threshold:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding)."""
-    good = usable(vectors)
+    """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding); links count other vec_ids."""
+    own = staged(usable(vectors).where("vec_id is not null").groupBy("vec_id").agg(F.min("e").alias("e")), "vectors")
+    # a row for each distinct vector, named by its smallest id
+    good = staged(own.groupBy("e").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("mult")).withColumn("row", F.xxhash64("vec_id")), "distinct-vectors")
     all_ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"))
-    dims = good.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").collect()  # one row for each length
+    dims = good.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n"), F.sum("mult").alias("rows")).where("rows > 1").orderBy("d").collect()  # one row for each length
     if not dims:
         return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = None  # vectors link with those of their own length only: an index for each
     for r in dims:
-        own = good.where(F.size("e") == r["d"])
-        part = staged(link_counts(own, fit(own, r["n"], threshold), threshold), "vector-links")
+        same = good.where(F.size("e") == r["d"])
+        part = staged(link_counts(same, fit(same, r["n"], threshold), threshold), "vector-links")
         found = part if found is None else found.union(part)
     roots = components(found.select(F.col("vec_id").alias("u"), F.col("peer").alias("v")))
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
-    info = counts.join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    return (all_ids.join(info, "vec_id", "left")
+    info = staged(good.select("vec_id", "mult", "e").join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+                  .select("e", (F.coalesce("links", F.lit(0).cast("long")) + F.col("mult") - 1).alias("links"), F.coalesce("root", "vec_id").alias("root")), "info")
+    return (all_ids.join(own.join(info, "e").drop("e"), "vec_id", "left")
             .select("vec_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id"))
             .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
 

@@ -1,12 +1,14 @@
 """Toxicity: a weighted finite-state grammar over clauses.
 
-Words become symbols (insult, threat, target, negation, report, other).  Four
-small transducers, each rewriting a symbol sequence, are composed into one
-table: negation marks insults in its scope, reported speech marks what
-follows it, and the target transducer joins a person word with an insult or
-threat near it.  A clause (between sentence signs) is run through the
-composed table, and each event it emits (targeted insult, plain insult,
-negated insult, ...) carries a weight.  A document's score is the logistic of
+Words become symbols (insult, threat, target, negation, report, other).  Small
+transducers, each rewriting a symbol sequence, are composed into one table:
+negation marks insults in its scope, reported speech marks what follows it,
+and the target transducer joins a person word with an insult or threat after
+it.  The person may also come last ("I will kill you"); that needs the words
+to come, so a second table reads the clause from its end and marks what a
+person word follows.  The two tables make one two-way machine: a clause
+(between sentence signs) is run through both, and each event (targeted insult,
+plain insult, negated insult, ...) carries a weight.  A document's score is the logistic of
 its weighted event counts.
 
 The insult lexicon is learned: words and word beginnings that occur in many
@@ -89,7 +91,7 @@ def compose(first: Transducer, second: Transducer, symbols) -> tuple[Transducer,
 
 
 def grammar() -> tuple[Transducer, set]:
-    """Negation, reported speech and target, composed.  Symbols after the first are (class, flags)."""
+    """Negation, reported speech and a target before, composed.  Symbols after the first are (class, flags)."""
     charged = (INSULT, SEED, THREAT)
     plain = range(8)
     # 1. negation: an insult or threat within the scope of a negation gets the flag "n"
@@ -106,14 +108,21 @@ def grammar() -> tuple[Transducer, set]:
             after = 0 if s[0] == BREAK else 1 if s[0] == REPORT or on else 0
             rep[on, s] = (after, (s[0], s[1] + "r") if on and s[0] in charged else s)
     both, outs = compose(Transducer(neg), Transducer(rep), plain)
-    # 3. target: a person word and a charged word within the scope, in either order, get the flag "t"
-    #    (state: steps left since a target, or -steps left since a charged word that is still alone)
-    tgt = {}
+    # 3. target: a charged word within the scope of a person word before it gets the flag "t"
+    return compose(both, target(sorted(outs)), plain)
+
+
+def target(symbols) -> Transducer:
+    """Flags what follows a person word within the scope; on a clause read from its end: what a person word follows.
+
+    State: the steps left of the scope.
+    """
+    arcs = {}
     for left in range(TARGET_SCOPE + 1):
-        for s in sorted(outs):
+        for s in symbols:
             after = 0 if s[0] == BREAK else TARGET_SCOPE if s[0] == TARGET else max(0, left - 1)
-            tgt[left, s] = (after, (s[0], s[1] + "t") if left and s[0] in charged else s)
-    return compose(both, Transducer(tgt), plain)
+            arcs[left, s] = (after, (s[0], s[1] + "t") if left and s[0] in (INSULT, SEED, THREAT) else s)
+    return Transducer(arcs)
 
 
 def event_of(symbol) -> int | None:
@@ -131,7 +140,9 @@ class Matcher:
     def __init__(self, words: set[str], stems: set[str]):
         self.words, self.stems = words, stems
         table, _ = grammar()
-        self.table = {k: (v[0], event_of(v[1])) for k, v in table.arcs.items()}
+        self.table = table.arcs
+        back = target([(s, "") for s in range(8)]).arcs
+        self.back = {(state, s[0]): (after, "t" in out[1]) for (state, s), (after, out) in back.items()}
         self.fixed = {w: c for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS),
                                          (THREAT, THREATS), (SEED, INSULTS)) for w in ws}
         self.fixed |= dict.fromkeys(".!?;:\n", BREAK)
@@ -154,13 +165,29 @@ class Matcher:
         symbols = [known[w] for w in tokens]
         if not {INSULT, SEED, THREAT}.intersection(symbols):
             return counts
-        state, table = 0, self.table
-        for s in symbols:
-            state, event = table[state, s]
-            if event is not None:
-                counts[event] += 1
+        state, table, marked = 0, self.table, []
+        for i, s in enumerate(symbols):
+            state, out = table[state, s]
+            if out[0] in (INSULT, SEED, THREAT):
+                marked.append((i, out))
+        after = self._followed([i for i, _ in marked], symbols)
+        for (i, out), t in zip(marked, after):
+            counts[event_of((out[0], out[1] + "t") if t else out)] += 1
         return counts
 
+    def _followed(self, places: list[int], symbols: list[int]) -> list[bool]:
+        """Whether a person word follows each charged word: the second table, from the end of its scope or clause."""
+        out = []
+        for i in places:
+            end = i + 1
+            while end < len(symbols) and end <= i + TARGET_SCOPE and symbols[end] != BREAK:
+                end += 1
+            state, flag = 0, False
+            for s in reversed(symbols[i:end]):
+                state, flag = self.back[state, s]
+            out.append(flag)
+        return out
+
 
 def _features(text: str) -> set[str]:
     words = {w for w in TOKEN.findall(text.lower()) if len(w) > 2}

@@ -111,7 +111,7 @@ def test_vector_dedup_edges(spark):
         if i in (7, 8, 9):
             assert (n, c) == (2, 7)
         elif i in (10, 12):
-            assert c == 10 and n >= 1
+            assert (n, c) == (1, 10)
         else:
             assert (n, c) == (0, i)
     assert len(got) == len(rows) and pq.near_duplicates(df.limit(0)).count() == 0
@@ -227,7 +227,7 @@ def test_toxicity_grammar():
     assert count("she said: fine. An idiot!") == {"insult": 1}
     assert count("the man said that idiot word") == {"reported insult": 1}
     assert count("a loweitum thing") == {"insult": 1}
-    assert count("I will kill you") == {"threat": 1} and count("they will kill us") == {"targeted threat": 1}
+    assert count("I will kill you") == {"targeted threat": 1} and count("they will kill us") == {"targeted threat": 1}
     assert count("you. idiot") == {"insult": 1}                    # clauses end at sentence signs
     assert count("") == {}
 
