@@ -197,18 +197,19 @@ def candidates(classes: DataFrame, runs: int | None = None) -> DataFrame:
         rows = staged(level, "nodes")
         # written, so that the joins below are plain ones whose hot nodes Spark can split
         sizes = staged(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("cid").alias("head")).where("size > 1"), "sizes")
-        sized = staged(rows.join(sizes, "node"), "nodes-of-two")
+        large = sizes.where(F.col("size") > LEAF).join(classes.select(F.col("cid").alias("head"), F.col("sig").alias("head_sig")), "head")
+        heads = staged(large.select("node", "size", "head", "head_sig").union(
+            sizes.where(F.col("size") <= LEAF).select("node", "size", "head", F.lit(None).cast("binary"))), "heads")
+        sized = staged(rows.join(heads, "node"), "nodes-of-two")
         leaves.append(sized.where(F.col("size") <= LEAF).groupBy("node")
                       .agg(F.sort_array(F.collect_set("cid")).alias("members")).select("members"))  # at most LEAF
-        wide = sized.where(F.col("size") > LEAF).select("node", "cid", "head")
+        wide = sized.where(F.col("size") > LEAF).select("node", "cid", "head", "head_sig")
         if wide.isEmpty():
             break
         if depth == DEPTH:
             stars.append(wide.select(F.col("cid").alias("u"), F.col("head").alias("v")))
             break
-        heads = staged(sizes.where(F.col("size") > LEAF).join(
-            classes.select(F.col("cid").alias("head"), F.col("sig").alias("head_sig")), "head").select("node", "head_sig"), "heads")
-        seen = staged(wide.join(classes.select("cid", "sig"), "cid").join(heads, "node")
+        seen = staged(wide.join(classes.select("cid", "sig"), "cid")
                       .mapInArrow(agreed, "node long, cid long, head long, sig binary, near boolean"), "agreed")
         mixed = staged(seen.where("not near").select("node").distinct(), "mixed")
         stars.append(seen.join(mixed, "node", "left_anti").select(F.col("cid").alias("u"), F.col("head").alias("v")))
