@@ -206,13 +206,15 @@ def test_lm_exact_parts(spark, make_docs, small_texts):
     held = [x for x in a if x[0] >= 100 and (x[0] % 3 == 0)]
     assert sum(x[4] for x in held) > sum(x[3] for x in held)           # better than the base on unseen texts
     # a word's probability after each context sums to one over the vocabulary and the unknown word
-    words = model.words.collect()
-    for slot in (0, 1, 2, pitmanyor.CONTEXTS + 1):
-        total = float(np.mean(model.shares[:, slot] * model.unknown))
-        for r in words:
-            at = r["ctx"].index(slot) if slot in r["ctx"] else -1
-            total += r["p"][at] if at >= 0 and slot else float(np.mean(model.shares[:, slot] * np.array(r["p1"])))
-        assert total == pytest.approx(1.0, abs=1e-6)
+    words = {r["h"]: np.array(r["p1"]) for r in model.words().collect()}
+    pairs = collections.defaultdict(dict)
+    for r in model.pairs().collect():
+        pairs[r["u"]][r["h"]] = r["p"]
+        pairs[r["u"]]["share"] = np.array(r["share"])
+    assert len(words) == v and len(pairs) > 200
+    for near in list(pairs.values())[:30] + [pairs[pitmanyor.hashes([b""])[0]]]:
+        total = sum(near[h] if h in near else float(np.mean(near["share"] * p1)) for h, p1 in words.items())
+        assert total + float(np.mean(near["share"] * model.unknown)) == pytest.approx(1.0, abs=1e-4)
 
 
 def test_lm_tail_join_equals_head(make_docs, small_texts, monkeypatch):
@@ -230,12 +232,12 @@ def _lm_scores(model, docs):
     return {r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in pitmanyor.score(model, docs).collect()}
 
 
-def test_lm_words_without_a_slot_have_contexts(make_docs, small_texts, monkeypatch):
+def test_lm_rare_words_have_contexts(make_docs, small_texts, monkeypatch):
     filler = " ".join(f"filler{i}" for i in range(400))
     train = [(i, f"{filler} {filler} zeta omega kappa sigma") for i in range(8)] + [(9, "lonely pair")]
     tests = make_docs([(1, "zeta omega"), (2, "kappa sigma"), (3, "zeta sigma"), (4, "kappa omega"), (5, "lonely pair"), (6, "new word"), (7, "zeta word")])
     model = pitmanyor.train(make_docs(train))
-    assert not {b"zeta", b"kappa", b"lonely"} & set(model.contexts)
+    assert not set(pitmanyor.hashes([b"zeta", b"kappa", b"lonely"])) & set(model.layout.hot)
     one = _lm_scores(model, tests)
     assert one[1][0] + one[2][0] > one[3][0] + one[4][0] + 2          # the same words, met after the other context
     # tokens by the joins are scored as with the texts
@@ -244,19 +246,12 @@ def test_lm_words_without_a_slot_have_contexts(make_docs, small_texts, monkeypat
     two = _lm_scores(model, tests)
     for i in one:
         assert one[i] == pytest.approx(two[i], rel=1e-4)
-    # after each such context the probabilities sum to one
-    words = {r["h"]: np.array(r["p1"]) for r in model.words.collect()}
-    pairs = model.pairs.collect()
-    for r in model.rare.collect()[:20]:
-        seen = {x["h"]: x["p"] for x in pairs if x["u"] == r["u"]}
-        total = sum(seen[h] if h in seen else float(np.mean(np.array(r["share"]) * p1)) for h, p1 in words.items())
-        assert total + float(np.mean(np.array(r["share"]) * model.unknown)) == pytest.approx(1.0, abs=1e-5)
 
 
-def test_lm_slots_are_only_a_layout(make_docs, small_texts, monkeypatch):
+def test_lm_hot_contexts_are_only_a_layout(make_docs, small_texts, monkeypatch):
     train, held = make_docs([x for x in small_texts.items() if x[0] % 3]), make_docs([x for x in small_texts.items() if not x[0] % 3])
     one = _lm_scores(pitmanyor.train(train), held)
-    monkeypatch.setattr(pitmanyor, "top_words", lambda *_: {})
+    monkeypatch.setattr(pitmanyor, "top_words", lambda *_: [])
     two = _lm_scores(pitmanyor.train(train), held)
     assert sum(x[0] for x in two.values()) == pytest.approx(sum(x[0] for x in one.values()), rel=0.01)
     assert all(one[i][1:] == pytest.approx(two[i][1:], rel=1e-5) for i in one)
