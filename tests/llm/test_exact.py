@@ -184,6 +184,12 @@ def test_segment_round_trip_and_random_access(high):
         assert len(tokenfile.write_segment([1], np.array([len(wide)]), wide)) < 1.2 * len(wide)
 
 
+@pytest.fixture(autouse=True)
+def many_parts(monkeypatch):
+    """Small texts on several parts too."""
+    monkeypatch.setattr(pitmanyor, "PART_BYTES", 60_000)
+
+
 def test_lm_exact_parts(spark, make_docs, small_texts):
     rows = [*EDGES, *((100 + i, t) for i, t in small_texts.items())]
     docs = make_docs(rows)
@@ -252,6 +258,7 @@ def test_lm_hot_contexts_are_only_a_layout(make_docs, small_texts, monkeypatch):
     train, held = make_docs([x for x in small_texts.items() if x[0] % 3]), make_docs([x for x in small_texts.items() if not x[0] % 3])
     one = _lm_scores(pitmanyor.train(train), held)
     monkeypatch.setattr(pitmanyor, "top_words", lambda *_: [])
+    monkeypatch.setattr(pitmanyor, "SPREAD", 2)               # contexts on several parts
     two = _lm_scores(pitmanyor.train(train), held)
     assert sum(x[0] for x in two.values()) == pytest.approx(sum(x[0] for x in one.values()), rel=0.01)
     assert all(one[i][1:] == pytest.approx(two[i][1:], rel=1e-5) for i in one)
