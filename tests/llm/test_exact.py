@@ -303,6 +303,21 @@ def test_seater_draws_from_the_conditional():
     assert seat.draw(np.array([1, 1]), np.array([5.0, 5.0]), rng).tolist() == [1, 1]
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_lookup_equals_binary_search(n):
+    rng, top = np.random.default_rng(n), np.uint64(0xFFFFFFFFFFFFFFFF)
+    spread = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    for keys in (np.unique(spread), np.unique(np.append(spread, top)), np.unique(spread % np.uint64(5000))):     # the last ones share their leading bits
+        wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64), [np.uint64(0), top]])
+        assert np.array_equal(pitmanyor.Lookup(keys)(wanted), pitmanyor.find(keys, wanted))
+
+
+def test_runs_of_packed_tokens_are_bounded_and_whole():
+    rows = [(s, [None, None, None, np.zeros(k)]) for s, k in enumerate([3, 9, 1, 1, 20, 2])]
+    runs = list(pitmanyor._runs(rows, 10))
+    assert [r for run in runs for r in run] == rows and [[len(a[3]) for _, a in run] for run in runs] == [[3], [9, 1], [1], [20], [2]]
+
+
 def test_crc_split(spark, make_docs):
     from assetpulse.llm.common import crc_mod
     from pyspark.sql import functions as F
