@@ -40,7 +40,7 @@ def _fmt(v) -> str:
 
 def _specs(df: DataFrame, exp: dict):
     """(check, column, severity, count Column | python int, message parts)."""
-    # fixed values: the wording of the messages, which report readers match on
+    # fixed values: the wording of the messages
     types = {f.name: f.dataType for f in df.schema.fields}
     specs = []
     st = exp.get("structure", {})
