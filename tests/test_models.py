@@ -101,3 +101,18 @@ def test_draws_are_the_same_in_sql(spark, duck):
     assert got == {i: None if i is None else plain(42, i, 5) for i in ids}
     want = duck.execute(f"SELECT {draws.sql(42, 'id', '5')} FROM (VALUES (7), (1099511627779)) t(id)").fetchall()
     assert [w[0] for w in want] == [got[7], got[2 ** 40 + 3]]
+
+
+def test_fits_run_in_tasks_that_follow_the_rows(spark, parts, monkeypatch):
+    """Few rows out of many shuffle partitions are trained in few tasks, all rows of them."""
+    assert [learn.fit_tasks(n, 12) for n in (0, 1, 10_001, 10 ** 6, 10 ** 7, 5 * 10 ** 7)] == [1, 1, 2, 12, 12, 50]
+    train, test = parts
+    seen, build = [], learn.build_pipeline
+
+    def noted(data, *a, **kw):
+        seen.append((data.rdd.getNumPartitions(), data.count()))
+        return build(data, *a, **kw)
+
+    monkeypatch.setattr(learn, "build_pipeline", noted)
+    learn.train_models(train.repartition(60), test, FEATURES, kinds=("logistic_regression", "linear_svc"), encode_type=False)
+    assert seen == [(1, train.count())] * 2
