@@ -16,6 +16,7 @@ Null semantics follow the reference's pandas behaviour:
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
+#: Rows of one task of :func:`table_metrics`, about: some 100 MB of grouped rows.
+GROUP_ROWS = 500_000
 LONG_SCHEMA = "check_name string, column_name string, severity string, n long, message string"
 
 
@@ -198,8 +201,12 @@ def table_metrics(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:      # map columns cannot be compared: compare their JSON
         if isinstance(f.dataType, T.MapType):
             plain = plain.withColumn(f.name, F.to_json(F.col(f.name)))
-    # one pass: rows grouped by all columns, then their sum and their number
-    g = plain.groupBy(*plain.columns).agg(F.count(F.lit(1)).alias("_n"))
+    # rows grouped by all columns, then their sum and their number.  Tables mostly hold distinct rows, so
+    # tasks follow the rows; copies are first summed within the partition they come from, as they may be many
+    tasks = max(1, math.ceil(df.count() / GROUP_ROWS))
+    cols = plain.columns
+    g = (plain.withColumn("_part", F.spark_partition_id()).repartition(tasks, *cols, "_part").groupBy(*cols, "_part")
+         .agg(F.count(F.lit(1)).alias("_n")).repartition(tasks, *cols).groupBy(*cols).agg(F.sum("_n").alias("_n")))
     return g.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("_u")).select(
         "row_count", F.lit(len(df.columns)).alias("column_count"),
         (F.col("row_count") - F.col("_u")).alias("duplicate_rows"))

@@ -116,3 +116,15 @@ def test_missing_scores_have_no_rank(spark):
     df = spark.createDataFrame([(1, float("nan")), (0, 0.9), (1, 0.1), (0, None)], "label int, score double")
     assert evaluate.roc_auc(df).first()["auc"] == 0.0
     assert all(r["threshold"] == r["threshold"] for r in evaluate.roc_points(df).collect())
+
+
+def test_table_metrics_groups_in_tasks_that_follow_the_rows(spark, monkeypatch):
+    """Copies, among them nulls, NaN and both zeros, are told in small tasks, whatever the partitions they come from."""
+    monkeypatch.setattr(quality, "GROUP_ROWS", 5)
+    data = [(i, float(i)) for i in range(40)] + [(None, None)] * 30 + [(1, float("nan"))] * 5 + [(7, 0.0), (7, -0.0)] * 4 + [(8, -0.0), (8, 0.0)]
+    df = spark.createDataFrame(data, "a int, b double").repartition(6)
+    out = quality.table_metrics(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 17)") >= 2, plan                          # 85 rows, 5 to a task
+    row = out.first()
+    assert (row["row_count"], row["column_count"], row["duplicate_rows"]) == (85, 2, 29 + 4 + 7 + 1)
