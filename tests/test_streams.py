@@ -74,3 +74,25 @@ def test_weekly_table_counts_late_rows(spark, tmp_path):
     again = {(r["week_start"], r["alert_level"]): (r["n"], r["n_late"]) for r in run().collect()}
     week = monday + dt.timedelta(days=56)
     assert again[week, "HIGH"] == (weeks[week, "HIGH"][0] + 1, 0) and again[monday, "HIGH"] == (3, 1)
+
+
+def test_event_files_follow_the_rows(spark, tmp_path, monkeypatch):
+    """A larger table is dealt into more files, read in the same three micro-batches; every row is there once."""
+    from assetpulse.plans import catalog
+    source = str(tmp_path / "sf")
+    rows = spark.range(3000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, id) AS ts", "id AS user_id",
+                                        "'x' AS event_type", "id * 1.0D AS value", "'{}' AS props")
+    rows.write.parquet(f"{source}/events.parquet")
+    assert catalog._event_files(spark, source)[1] == 2         # few rows
+    monkeypatch.setattr(catalog, "EVENTS_PER_FILE", 100)
+    folder, each = catalog._event_files(spark, source)
+    files = spark.read.parquet(folder).select("_metadata.file_path").distinct().count()
+    assert (files, each) == (30, 10)
+    sizes = []
+
+    def write(batch, number):
+        sizes.append((number, batch.count(), batch.select("udi").distinct().count()))
+
+    batches.run(catalog._readings_stream(spark, folder, each), base(tmp_path), write)
+    assert [n for n, _, _ in sorted(sizes)] == [0, 1, 2]
+    assert sum(n for _, n, _ in sizes) == sum(d for _, _, d in sizes) == 3000
