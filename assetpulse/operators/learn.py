@@ -207,10 +207,10 @@ def train_models(train: DataFrame, test: DataFrame, features: list[str], label:
             continue
         models[kind] = pm
         for part, data in (("train", train), ("test", test)):
-            # grouped by (label, score) once: every metric comes from that small table
-            g = evaluate.score_groups(score(pm, data), label, "probability_1", "prediction").persist()
-            m = evaluate.binary_metrics(g, label, "prediction", weight="n").first()
-            auc = evaluate.roc_auc(g, label, "probability_1", weight="n").first()["auc"]
+            # grouped by score once: every metric comes from that table
+            g = evaluate.score_counts(score(pm, data), label, "probability_1", "prediction").persist()
+            m = evaluate.grouped_metrics(g).first()
+            auc = evaluate.grouped_auc(g, "probability_1").first()["auc"]
             g.unpersist()
             for name in ("accuracy", "precision", "recall", "f1"):
                 rows.append((run, kind, seq, part, name, float(m[name]), None))

@@ -421,8 +421,10 @@ def q_best_model(spark, sf_dir):
 # Learning (Spark ML).  Rows-only checks: tree training is not SQL.
 ML_FEATURES = ["air_temp_k", "process_temp_k", "rpm", "torque_nm", "tool_wear_min",
                "power", "temperature_ratio", "tool_wear_rate"]
-def _ml_split(spark, sf_dir):
+def _ml_split(spark, sf_dir, *columns):
+    """The derived readings with their part; only ``columns`` of them, if any are named."""
     r = sensor.derive(_readings(spark, sf_dir)).withColumnRenamed("machine_failure", "label")
+    r = r.select("udi", "label", *columns) if columns else r
     return sampling.stratified_split(r, "label", "udi")
 
 
@@ -445,9 +447,9 @@ def _trained(spark, sf_dir):
         model, history = learn.fit_stopped_early(train, test, SMOTE_FEATURES, encode_type=False)
         train.unpersist()
         history.write.mode("overwrite").parquet(f"{root}/history")
-        g = evaluate.score_groups(learn.score(model, test), "label", "probability_1").persist()
-        m = evaluate.binary_metrics(g, weight="n").first()
-        auc = evaluate.roc_auc(g, "label", "probability_1", weight="n").first()["auc"]
+        g = evaluate.score_counts(learn.score(model, test), "label", "probability_1").persist()
+        m = evaluate.grouped_metrics(g).first()
+        auc = evaluate.grouped_auc(g, "probability_1").first()["auc"]
         g.unpersist()
         store.publish(model, root, "gbt", {"model_type": "gbt", "threshold": 0.5, "metrics": {
             **{k: m[k] for k in ("accuracy", "precision", "recall", "f1")}, "roc_auc": auc}})
@@ -529,7 +531,7 @@ def q_model_checks(spark, sf_dir):
 @query("metric_log_checks")
 def q_metric_log_checks(spark, sf_dir):
     """M9, A10: a training run that logs itself, run twice; a model that can't be fitted has its row. Rows and broken rows by model."""
-    path, s = _folder(spark, "training-log"), _ml_split(spark, sf_dir)
+    path, s = _folder(spark, "training-log"), _ml_split(spark, sf_dir, *ML_FEATURES)
     for _ in range(2):
         learn.train_models(s.where(F.col("part") == "train"), s.where(F.col("part") == "test"), ML_FEATURES, "label",
                            ("logistic_regression", "linear_svc", "no_such_model"), "nightly", log_path=path, encode_type=False)

@@ -166,3 +166,29 @@ def test_weighted_metrics_equal_plain_ones(spark):
     g = evaluate.score_groups(df, "label", "s")
     assert evaluate.binary_metrics(df).first() == evaluate.binary_metrics(g, weight="n").first()
     assert evaluate.roc_auc(df, "label", "s").first() == evaluate.roc_auc(g, "label", "s", weight="n").first()
+
+
+def test_grouped_metrics_equal_those_of_the_rows(spark, monkeypatch):
+    """Rows grouped by score give the metrics and AUC of the rows (missing scores, missing labels, ties), without another grouping."""
+    nan = float("nan")
+    rows = [(i % 3 == 0, (i * 37 % 50) / 50) for i in range(200)] + [(True, nan), (False, None), (None, 0.9), (None, nan), (True, -0.0), (False, 0.0)]
+    df = spark.createDataFrame([(None if y is None else float(y), s) for y, s in rows], "label double, score double") \
+              .withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+    want = evaluate.binary_metrics(df).first(), evaluate.roc_auc(df).first()
+    g = evaluate.score_counts(df)
+    monkeypatch.setattr(evaluate, "_score_groups", None)
+    assert g.count() < len(rows)
+    assert evaluate.grouped_metrics(g).first() == want[0]
+    assert evaluate.grouped_auc(g).first() == want[1]
+    got = evaluate.grouped_auc(g, max_single=7).first()           # in range buckets
+    assert abs(got["auc"] - want[1]["auc"]) < 1e-12 and got[1:] == want[1][1:]
+    assert evaluate.grouped_auc(g.limit(0)).first()["auc"] is None
+
+
+def test_training_log_caches_only_what_its_models_read(spark):
+    from conftest import SF_SMALL
+
+    from assetpulse.plans import catalog
+    narrow, whole = catalog._ml_split(spark, SF_SMALL, "rpm"), catalog._ml_split(spark, SF_SMALL)
+    assert narrow.columns == ["udi", "label", "rpm", "part"]
+    assert narrow.exceptAll(whole.select(*narrow.columns)).isEmpty() and narrow.count() == whole.count()
