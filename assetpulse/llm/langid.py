@@ -11,7 +11,8 @@ Long texts stay exact and fast: words are cut into blocks, each block's
 transfer matrix is formed for all blocks at once, and boundary messages run
 from block to block before the words inside are labelled.
 
-Training takes a bounded, documented sample of labelled documents.  Sequences
+:func:`train` takes a bounded, documented sample of labelled documents,
+:func:`train_whole` all of them, in one pass that starts from that sample's model.  Sequences
 that splice runs of words from documents of different languages teach the
 transitions; a run's words keep their document's label.
 
@@ -37,6 +38,8 @@ from .common import Shared, crc_mod, fresh, staged, text_slices
 #: Training documents for each language, about, and the longest text that the sample takes.
 SAMPLE_PER_LANG, SAMPLE_CHARS = 200, 20_000
 BUCKETS = 1 << 16
+#: Words of a gradient step in a task, and the weights of a row of what it returns.
+LESSON, CELLS = 200_000, 1 << 15
 BLOCK = 64
 #: A run of letters; longer ones (scripts without spaces) become consecutive words of at most 40.
 WORD = re.compile(r"[^\W\d_]{1,40}")
@@ -179,62 +182,150 @@ def expectations(scores: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pai
     return out, moved
 
 
+class Sequences:
+    """Labelled words spliced into sequences of runs of different documents, ready for gradient steps."""
+
+    def __init__(self, words: list[list[str]], labels: list[int], k: int, rng: np.random.Generator):
+        runs, vocab = [], {}
+        for own, label in zip(words, labels):
+            ids = [vocab.setdefault(w, len(vocab)) for w in own]
+            at = 0
+            while at < len(ids):
+                n = int(rng.integers(4, 60))
+                runs.append((np.array(ids[at:at + n]), label))
+                at += n
+        order = rng.permutation(len(runs))
+        self.words = np.concatenate([runs[i][0] for i in order]) if runs else np.zeros(0, np.int64)
+        if not runs:
+            return
+        gold = np.concatenate([np.full(len(runs[i][0]), runs[i][1]) for i in order])
+        lengths, left = [], len(self.words)  # spliced sequences, a few runs each
+        while left:
+            lengths.append(min(left, int(rng.integers(16, 256))))
+            left -= lengths[-1]
+        self.lengths, self.size = np.array(lengths), len(vocab)
+        ends = np.cumsum(self.lengths)
+        inner = np.ones(len(self.words), dtype=bool)
+        inner[ends - self.lengths] = False  # words that follow another of their sequence
+        self.flat, self.owner = features(list(vocab))
+        self.scale = 1 / np.sqrt(np.bincount(self.owner))
+        self.hot = np.eye(k)[gold]
+        self.seen = np.bincount(gold[:-1][inner[1:]] * k + gold[1:][inner[1:]], minlength=k * k).reshape(k, k).astype(float)
+
+
+class Learner:
+    """Feature weights and transitions, with the sums of squared gradients that size their steps."""
+
+    def __init__(self, w: np.ndarray, t: np.ndarray, gw: np.ndarray, gt: np.ndarray):
+        self.w, self.t, self.gw, self.gt = w, t, gw, gt
+
+    @classmethod
+    def new(cls, k: int) -> Learner:
+        return cls(np.zeros((BUCKETS, k)), np.zeros((k, k)), np.full((BUCKETS, k), 1e-2), np.full((k, k), 1e-2))
+
+    def step(self, s: Sequences) -> None:
+        """One gradient step on the sequences' log-likelihood."""
+        rows = _sums(self.w[s.flat], s.owner, s.size) * s.scale[:, None]
+        post, moved = expectations(rows[s.words], s.lengths, self.t)
+        per_word = _sums(s.hot - post, s.words, s.size) * s.scale[:, None]
+        grad = _sums(per_word[s.owner], s.flat, BUCKETS) - 0.05 * self.w
+        tg = s.seen - moved - 0.05 * self.t
+        self.gw += grad * grad
+        self.gt += tg * tg
+        self.w += 0.5 * grad / np.sqrt(self.gw)
+        self.t += 0.2 * tg / np.sqrt(self.gt)
+
+
+def _fitted(texts: list[str], langs: list[str], names: list[str], rounds: int, seed: int) -> Learner:
+    at, own = {n: i for i, n in enumerate(names)}, Learner.new(len(names))
+    seqs = Sequences([WORD.findall(t.lower()) for t in texts], [at[x] for x in langs], len(names), np.random.default_rng(seed))
+    for _ in range(rounds if len(seqs.words) else 0):
+        own.step(seqs)
+    return own
+
+
 def fit(texts: list[str], langs: list[str], rounds: int = 30, seed: int = 7) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Labels, feature weights and transitions, by gradient steps on the sequences' log-likelihood."""
     names = sorted(set(langs))
-    rng = np.random.default_rng(seed)
-    k, runs = len(names), []
-    vocab: dict[str, int] = {}
-    for text, lang in zip(texts, langs):
-        ids = [vocab.setdefault(w, len(vocab)) for w in WORD.findall(text.lower())]
-        at = 0
-        while at < len(ids):
-            n = int(rng.integers(4, 60))
-            runs.append((np.array(ids[at:at + n]), names.index(lang)))
-            at += n
-    if not runs:
-        return names, np.zeros((BUCKETS, k)), np.zeros((k, k))
-    order = rng.permutation(len(runs))
-    words = np.concatenate([runs[i][0] for i in order])
-    gold = np.concatenate([np.full(len(runs[i][0]), runs[i][1]) for i in order])
-    lengths, left = [], len(words)  # spliced sequences, a few runs each
-    while left:
-        lengths.append(min(left, int(rng.integers(16, 256))))
-        left -= lengths[-1]
-    lengths = np.array(lengths)
-    ends = np.cumsum(lengths)
-    inner = np.ones(len(words), dtype=bool)
-    inner[ends - lengths] = False  # words that follow another of their sequence
-    flat, owner = features(list(vocab))
-    scale = 1 / np.sqrt(np.bincount(owner))
-    hot = np.eye(k)[gold]
-    w, t = np.zeros((BUCKETS, k)), np.zeros((k, k))
-    gw, gt = np.full((BUCKETS, k), 1e-2), np.full((k, k), 1e-2)
-    seen = np.array([[np.sum((gold[:-1] == a) & (gold[1:] == b) & inner[1:]) for b in range(k)] for a in range(k)], float)
-    for _ in range(rounds):
-        rows = _sums(w[flat], owner, len(vocab)) * scale[:, None]
-        scores = rows[words]
-        post, moved = expectations(scores, lengths, t)
-        diff = hot - post
-        per_word = _sums(diff, words, len(vocab)) * scale[:, None]
-        grad = _sums(per_word[owner], flat, BUCKETS) - 0.05 * w
-        tg = seen - moved - 0.05 * t
-        gw += grad * grad
-        gt += tg * tg
-        w += 0.5 * grad / np.sqrt(gw)
-        t += 0.2 * tg / np.sqrt(gt)
-    return names, w, t
+    own = _fitted(texts, langs, names, rounds, seed)
+    return names, own.w, own.t
 
 
-def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Fit on about ``per_lang`` documents of each language, of those with text and language."""
+def _sample(docs: DataFrame, per_lang: int) -> tuple[list[str], list[str]]:
+    """Texts and languages of about ``per_lang`` documents of each language, of those with text and language."""
     seen = docs.where("lang is not null and length(text) between 1 and %d" % SAMPLE_CHARS).select("doc_id", "text", "lang")
     sizes = seen.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     draw = F.pmod(F.xxhash64(F.lit(0), F.xxhash64("doc_id", "text")), F.lit(1 << 30))
     picked = (seen.join(F.broadcast(sizes), "lang").where((F.col("n") <= per_lang) | (draw < (F.lit(float(per_lang << 30)) / F.col("n")).cast("long")))
               .select("lang", "text").collect())  # about per_lang rows of each, of at most SAMPLE_CHARS
     picked.sort(key=lambda r: (r["lang"], r["text"]))
-    return fit([r["text"] for r in picked], [r["lang"] for r in picked])
+    return [r["text"] for r in picked], [r["lang"] for r in picked]
+
+
+def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Fit on about ``per_lang`` documents of each language, of those with text and language."""
+    return fit(*_sample(docs, per_lang))
+
+
+def train_whole(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Fit on every document that has text and a language, whatever its length.
+
+    The sample of :func:`train` gives the start.  Every task goes on from it with a gradient
+    step for each megabyte of its documents, all of them once; the tasks' weights are then
+    averaged by the words that taught them.
+    """
+    spark = docs.sparkSession
+    known = docs.where("lang is not null and length(text) > 0").select("lang", "text")
+    names = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # a row for each language
+    if not names:
+        return fit([], [])
+    texts, langs = _sample(docs, per_lang)
+    start, k = _fitted(texts, langs, names, 30, 7), len(names)
+    shared = Shared(spark, dict, [("names", names), ("start", (start.w, start.t, start.gw, start.gt))])
+
+    def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = {n: i for i, n in enumerate(shared.value["names"])}
+        own, rng, taught = Learner(*[x.copy() for x in shared.value["start"]]), np.random.default_rng(7), 0
+        for part, some in text_slices(batches):
+            labels = [at[x] for x in part.column("lang").to_pylist()]
+            for words, of in _lessons([WORD.findall(t.lower()) for t in some], labels):
+                seqs = Sequences(words, of, k, rng)
+                own.step(seqs)
+                taught += len(seqs.words)
+        if taught:
+            flat = np.concatenate([own.w.ravel(), own.t.ravel()]) * taught
+            cuts = range(0, len(flat), CELLS)
+            yield pa.RecordBatch.from_arrays([pa.array([taught] * len(cuts), pa.int64()), pa.array(list(cuts), pa.int64()),
+                                              pa.array([flat[i:i + CELLS].tobytes() for i in cuts], pa.binary())], ["taught", "cell", "sums"])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in t.column("sums"))
+        return pa.table({"taught": pa.array([sum(t.column("taught").to_pylist())], pa.int64()),
+                         "cell": t.column("cell").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    # so that what the tasks return is bounded by the cores, not by the rows
+    tasks = known.coalesce(max(64, 2 * spark.sparkContext.defaultParallelism))
+    schema = "taught long, cell long, sums binary"
+    sums = sorted(tasks.mapInArrow(teach, schema).groupBy("cell").applyInArrow(added, schema).collect(), key=lambda r: r["cell"])  # one model
+    if not sums:
+        return names, start.w, start.t
+    flat = np.concatenate([np.frombuffer(r["sums"]) for r in sums]) / sums[0]["taught"]
+    return names, flat[:BUCKETS * k].reshape(BUCKETS, k), flat[BUCKETS * k:].reshape(k, k)
+
+
+def _lessons(words: list[list[str]], labels: list[int]) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """The documents in groups of about ``LESSON`` words; a longer one is cut into several."""
+    some, of, n = [], [], 0
+    for own, label in zip(words, labels):
+        for lo in range(0, len(own), LESSON):
+            some.append(own[lo:lo + LESSON])
+            of.append(label)
+            n += len(some[-1])
+            if n >= LESSON:
+                yield some, of
+                some, of, n = [], [], 0
+    if n:
+        yield some, of
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], spans: bool = False,
@@ -301,7 +392,7 @@ def accepted(docs: DataFrame) -> DataFrame:
     no row that has a language is rejected by the model.
     """
     pred, sure, words = (fresh(docs, c) for c in ("lang_pred", "score", "words"))
-    found = staged(predict(docs, train(docs), through=docs.columns, new=(pred, sure, words)), "languages")
+    found = staged(predict(docs, train_whole(docs), through=docs.columns, new=(pred, sure, words)), "languages")
     size = F.floor(F.log2(F.col(words).cast("double")) / 2)
     told = found.where(F.col(pred) != "und")
     floors = {r["size"]: r["floor"] for r in told.where("lang is not null").groupBy(size.alias("size"))

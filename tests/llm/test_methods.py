@@ -177,3 +177,29 @@ def test_clashing_names_and_maps_everywhere(spark):
             lambda: quality.document_statistics(wide)]
     for run in runs:
         assert run().count() > 0
+
+
+def test_every_labelled_document_teaches_the_pipeline_its_languages(spark, make_docs, monkeypatch):
+    """The bounded sample only starts the training: documents outside it, long ones too, teach the model, whatever the partitions."""
+    rows = [(i, "the house and the garden " * 4, "en") for i in range(60)] + [(100 + i, "das haus und der garten " * 4, "de") for i in range(60)]
+    rows += [(200 + i, "talo puutarha kissa vesi " * 1000, "fi") for i in range(3)]  # over SAMPLE_CHARS: none is in the sample
+    rows += [(300, "zyx " * 20, None), (301, "", "en"), (302, None, "de"), (303, "1 2 3", "en")]
+    docs = make_docs(rows).repartition(7, "doc_id")
+    assert langid.train(docs)[0] == ["de", "en"]
+    names, weights, trans = langid.train_whole(docs, per_lang=1)
+    assert names == ["de", "en", "fi"] and np.isfinite(weights).all() and trans.shape == (3, 3)
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, (names, weights, trans)).collect()}
+    assert all(got[i] == lang for i, text, lang in rows[:-4])
+    monkeypatch.setattr(langid, "train", None)                  # the pipeline's stage trains on all rows
+    assert {r["doc_id"] for r in langid.accepted(docs).collect()} >= {i for i, _, lang in rows[:-4]}
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.train_whole(none)[0] == langid.train_whole(docs.limit(0))[0] == []
+
+
+def test_lessons_hold_every_word(monkeypatch):
+    monkeypatch.setattr(langid, "LESSON", 10)
+    words = [["a"] * 25, [], ["b"] * 3, ["c"] * 8]
+    got = list(langid._lessons(words, [0, 1, 2, 3]))
+    assert sum((w for some, _ in got for w in some), []) == sum(words, [])
+    assert all(len(some) == len(of) and sum(map(len, some)) < 20 for some, of in got)
+    assert [x for _, of in got for x in of] == [0, 0, 0, 2, 3]
