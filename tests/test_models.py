@@ -1,11 +1,14 @@
 """Early stopping, the model store, the metric log, draws."""
 import math
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import functions as F
 
 from assetpulse.functions import draws
-from assetpulse.operators import learn, sampling, sensor, store
+from assetpulse.operators import boost, learn, sampling, sensor, store
 from assetpulse.sources import files, io, tables
 
 from conftest import SF_SMALL
@@ -116,3 +119,77 @@ def test_fits_run_in_tasks_that_follow_the_rows(spark, parts, monkeypatch):
     monkeypatch.setattr(learn, "build_pipeline", noted)
     learn.train_models(train.repartition(60), test, FEATURES, kinds=("logistic_regression", "linear_svc"), encode_type=False)
     assert seen == [(1, train.count())] * 2
+
+
+def boosted_rows(spark, n, parts):
+    """Rows with two continuous features, one of few values, one category, and a label that follows them with noise."""
+    rng = np.random.default_rng(n)
+    rows = [(float(a), float(b), int(c), "xyzu"[k], float(a + 0.5 * b * (k == 1) + 0.3 * c + e > 0.4), float(w))
+            for a, b, c, k, e, w in zip(rng.normal(size=n), rng.normal(size=n), rng.integers(0, 4, n), rng.integers(0, 4, n),
+                                        rng.normal(size=n), rng.integers(1, 4, n))]
+    df = spark.createDataFrame(rows, "a double, b double, c int, k string, label double, w double").repartition(parts)
+    df = StringIndexer(inputCol="k", outputCol="ki").fit(df).transform(df)
+    return VectorAssembler(inputCols=["a", "b", "c", "ki"], outputCol="features").transform(df).persist()
+
+
+def node_texts(model):
+    """The lines of the trees, with numbers cut to 9 digits."""
+    import re
+    return [re.sub(r"-?\d+\.\d+(E-?\d+)?", lambda m: f"{float(m.group()):.9g}", ln) for ln in model.toDebugString.splitlines()[1:]]
+
+
+@pytest.mark.parametrize("n, parts, settings", [
+    (3000, 1, {"maxIter": 5, "maxDepth": 5, "stepSize": 0.3, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "seed": 42}),
+    (40_000, 1, {"maxIter": 3, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.5, "minInstancesPerNode": 200, "seed": 7}),
+    (3000, 3, {"maxIter": 12, "maxDepth": 3, "stepSize": 0.2, "weightCol": "w", "maxBins": 8, "minInfoGain": 0.001, "seed": 3}),
+    (300, 2, {"maxIter": 2, "maxDepth": 9, "maxMemoryInMB": 0, "seed": 5}),
+])
+def test_packed_boosting_grows_the_library_s_trees(spark, n, parts, settings):
+    df = boosted_rows(spark, n, parts)
+    want, got = GBTClassifier(**settings).fit(df), boost.PackedGBTClassifier(**settings).fit(df)
+    assert node_texts(got) == node_texts(want)
+    assert np.allclose(got.featureImportances.toArray(), want.featureImportances.toArray(), rtol=1e-9)
+    assert got.treeWeights == want.treeWeights and np.allclose(got.evaluateEachIteration(df), want.evaluateEachIteration(df), rtol=1e-9)
+    df.unpersist()
+
+
+def test_draws_of_the_library_s_generator(spark):
+    """More draws than two blocks hold, against plain steps; the first ones against the library's class."""
+    tables, seed = boost.jump_tables(), 43 + 2 ** 40
+    blocks = boost.draws(seed, tables)
+    got = np.concatenate([next(blocks) for _ in range(3)])
+    java = spark._jvm.org.apache.spark.util.random.XORShiftRandom(seed)
+    assert got[:50].tolist() == [java.nextDouble() for _ in range(50)]
+    s, want = boost.hash_seed(seed), []
+    for _ in range(2 * boost.BLOCK_ROWS + 9):
+        s = boost._step(s)
+        high, s = s & (2 ** 26 - 1), boost._step(s)
+        want.append(((high << 27) + (s & (2 ** 27 - 1))) * 2.0 ** -53)
+    assert got[:len(want)].tolist() == want
+
+
+def test_boosting_holds_packed_rows(spark, monkeypatch):
+    """What a fit keeps of its rows: some 30 bytes each, not objects; nothing is left behind."""
+    df, held, grow = boosted_rows(spark, 40_000, 2), [], boost.grow
+    df.count()
+    kept = {r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()}
+
+    def noted(*a):
+        nodes = grow(*a)
+        held.append(sum(r.memSize() + r.diskSize() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo() if r.id() not in kept))
+        return nodes
+
+    monkeypatch.setattr(boost, "grow", noted)
+    learn.make_classifier("gbt", maxIter=12, maxDepth=2).fit(df)
+    assert len(held) == 12 and 0 < max(held) < 45 * 40_000
+    assert {r.id() for r in spark.sparkContext._jsc.sc().getRDDStorageInfo()} <= kept
+    df.unpersist()
+
+
+def test_a_shorter_ensemble_is_cut_not_fitted_again(spark, parts, monkeypatch):
+    train, valid = parts
+    fits, fit = [], boost.PackedGBTClassifier._fit_java
+    monkeypatch.setattr(boost.PackedGBTClassifier, "_fit_java", lambda self, df: fits.append(1) or fit(self, df))
+    model, history = learn.fit_stopped_early(train, valid, FEATURES, patience=2, maxIter=8, stepSize=0.9, maxDepth=5, encode_type=False)
+    assert len(fits) == 1 and model.stages[-1].getNumTrees == history.where("kept").count() < 8
+    assert model.stages[-1].getMaxDepth() == 5 and model.stages[-1].numFeatures == len(FEATURES)
