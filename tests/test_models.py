@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.serializers import BatchedSerializer, CPickleSerializer
 from pyspark.sql import functions as F
 
 from assetpulse.functions import draws
@@ -142,6 +143,7 @@ def node_texts(model):
     (3000, 1, {"maxIter": 5, "maxDepth": 5, "stepSize": 0.3, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.6", "seed": 42}),
     (40_000, 1, {"maxIter": 3, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.5, "minInstancesPerNode": 200, "seed": 7}),
     (3000, 3, {"maxIter": 12, "maxDepth": 3, "stepSize": 0.2, "weightCol": "w", "maxBins": 8, "minInfoGain": 0.001, "seed": 3}),
+    (70_000, 5, {"maxIter": 3, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8, "minInstancesPerNode": 500, "seed": 42}),
     (300, 2, {"maxIter": 2, "maxDepth": 9, "maxMemoryInMB": 0, "seed": 5}),
 ])
 def test_packed_boosting_grows_the_library_s_trees(spark, n, parts, settings):
@@ -168,6 +170,20 @@ def test_draws_of_the_library_s_generator(spark):
     assert got[:len(want)].tolist() == want
 
 
+def test_blocks_are_spread_over_the_cores(spark):
+    """Five partitions on four cores: four even tasks, every block once, in order, with the subsample of its partition."""
+    one = BatchedSerializer(CPickleSerializer(), 1)
+    blocks = spark.sparkContext.parallelize([(p, i) for p in range(5) for i in range(4)], 5)._reserialize(one).persist()
+    got = boost.spread(blocks, 4, one).glom().collect()
+    assert got == [[(p, i) for p in range(5) for i in range(4)][5 * t:5 * t + 5] for t in range(4)]
+    same = spark.sparkContext.parallelize(range(8), 8)
+    assert boost.spread(same, 4, one) is same and boost.spread(same, 9, one) is same
+    tables, whole = boost.jump_tables(), boost.draws(9 + 2 + 1, boost.jump_tables())
+    out, want = boost.left_out(9, 0.8, tables), [next(whole) >= 0.8 for _ in range(4)]
+    for block, rows in ((2, 50), (3, 7), (0, 20), (1, 5)):
+        assert out(2, block, rows).tolist() == want[block][:rows].tolist()
+
+
 def test_boosting_holds_packed_rows(spark, monkeypatch):
     """What a fit keeps of its rows: some 30 bytes each, not objects; nothing is left behind."""
     df, held, grow = boosted_rows(spark, 40_000, 2), [], boost.grow
